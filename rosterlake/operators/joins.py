@@ -88,8 +88,7 @@ def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, m
 
     if len(head) <= max_literals:
         return by_literals(head or [("", "\u0000", 0.0)])
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))),
-                                         lambda i: F.substring(F.col("_t"), i, F.lit(3))))
+    grams = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?s)(?=(.{3}))"), 1))
     longer = lex.filter(F.length("keyword") >= 3).withColumn("_g", F.substring("keyword", 1, 3))
     # the text column is fetched again by key after the gram join, so grams travel without it
     pairs = base.select(key, F.explode(grams).alias("_g")).join(longer, "_g").drop("_g")

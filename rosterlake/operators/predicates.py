@@ -146,9 +146,9 @@ def validation_gate(df: DataFrame, org_hurdle: float = 0.7, name_hurdle: float =
     n = F.col(name_score)
     org_ok = o >= org_hurdle
     name_ok = n.isNotNull() & (n >= name_hurdle)
-    low_org = F.concat(F.lit("Low org confidence ("), F.format_number(o, "0.00"), F.lit(")"))
+    low_org = F.concat(F.lit("Low org confidence ("), F.format_string("%.2f", o), F.lit(")"))
     low_name = F.when(n.isNull(), F.lit("Missing name confidence")).otherwise(
-        F.concat(F.lit("Low name confidence ("), F.format_number(n, "0.00"), F.lit(")")))
+        F.concat(F.lit("Low name confidence ("), F.format_string("%.2f", n), F.lit(")")))
     missing = blank_to_null(email).isNull() | F.col(organization).isNull()
     no_name = org_ok & n.isNull() & blank_to_null(first).isNull()
     decision = first_case([(missing, "rejected"), (no_name, "no_name"), (org_ok & name_ok, "accepted")], "rejected")
