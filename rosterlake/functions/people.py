@@ -15,7 +15,8 @@ PHONE_CARD = r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 PHONE_US = r"(?:\(\d{3}\)\s*\d{3}-\d{4}|\d{3}-\d{3}-\d{4})"
 PHONE_PAREN = r"\(\d{3}\)\s*\d{3}-\d{4}"
 WEBPAGE_TITLE = (
-    r"^\d+ | - .*?$|^[A-Z][a-z]+ [A-Z][a-z]+ \| |^(?:Achieving|Understanding|How to|Why|What|When)|\b(?:vs|versus)\b"
+    r"^\d+ | - .*?$|^[A-Z][a-z]+ [A-Z][a-z]+ \| |^(?:Achieving|Understanding|How to|Why|What|When)"
+    r"|(?:^|[^\p{L}\p{N}_])(?:vs|versus)(?:$|[^\p{L}\p{N}_])"
     r"|\d{1,2}/\d{1,2}/\d{2,4}|\[[^\]]+\]|\(\d{4}\)|^\w+ \d+, \d{4}|^\w+: .+|^The \d+ | - YouTube$| - Wikipedia$"
     r"| - LinkedIn$"
 )

@@ -72,7 +72,7 @@ def upsert_contacts_by_email(stored: DataFrame, found: DataFrame, as_of: Column,
         kept = kept.withColumn(c, F.coalesce(filled(stored, c), F.col(f"_n_{c}"), F.col(c)))
     if "last_updated" not in kept.columns:
         kept = kept.withColumn("last_updated", F.lit(None).cast("timestamp"))
-    kept = kept.withColumn("last_updated", F.when("_hit", as_of).otherwise(F.col("last_updated"))).select(
+    kept = kept.withColumn("last_updated", F.when(F.col("_hit"), as_of).otherwise(F.col("last_updated"))).select(
         *stored.columns, *([] if "last_updated" in stored.columns else ["last_updated"]))
     fresh = news.join(target, "_k", "left_anti").drop("_k")
     bare = f.filter(F.col("_k").isNull()).select("email", "organization_id", *cols)
@@ -347,13 +347,13 @@ def remove_edu(orgs: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFra
 # ---- status, assignment, patches ------------------------------------------------------------
 
 def apply_mail_actions(contacts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Draft and sent actions (contact_id, action, message_id, at): each sets its own flag and date, the latest one
+    """Draft and sent actions (contact_id, action, message_id, acted_at): each sets its own flag and date, the latest one
     sets message and status."""
     a = actions.filter(F.col("action").isin("draft", "sent"))
     is_draft = F.col("action") == "draft"
     g = a.groupBy(F.col("contact_id").alias("id")).agg(
-        F.max(F.when(is_draft, F.col("at"))).alias("_draft_at"), F.max(F.when(~is_draft, F.col("at"))).alias("_sent_at"),
-        F.max_by(F.struct("action", "message_id", "at"), F.struct("at", "action", "message_id")).alias("_last"))
+        F.max(F.when(is_draft, F.col("acted_at"))).alias("_draft_at"), F.max(F.when(~is_draft, F.col("acted_at"))).alias("_sent_at"),
+        F.max_by(F.struct("action", "message_id", "acted_at"), F.struct("acted_at", "action", "message_id")).alias("_last"))
     j = contacts.join(g, "id", "left")
     base = {"email_draft_date": "timestamp", "email_draft_id": "string", "email_sent": "boolean", "email_sent_date": "timestamp",
             "status": "string", "status_date": "timestamp"}
@@ -367,7 +367,7 @@ def apply_mail_actions(contacts: DataFrame, actions: DataFrame) -> DataFrame:
             .withColumn("email_sent_date", F.coalesce("_sent_at", "email_sent_date"))
             .withColumn("email_draft_id", F.coalesce("_last.message_id", "email_draft_id"))
             .withColumn("status", F.coalesce(status, "status"))
-            .withColumn("status_date", F.coalesce("_last.at", "status_date")).drop("_draft_at", "_sent_at", "_last"))
+            .withColumn("status_date", F.coalesce("_last.acted_at", "status_date")).drop("_draft_at", "_sent_at", "_last"))
 
 
 def assign_by_type(contacts: DataFrame, orgs: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -454,13 +454,13 @@ def replace_scores(stored: DataFrame, computed: DataFrame, key: str = "contact_i
 
 
 def record_conversions(engagements: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Mark each converting contact's newest mail; (contact_id, conversion_type, at), the latest one wins."""
-    c = conversions.groupBy("contact_id").agg(F.max_by(F.struct("conversion_type", "at"), F.struct("at", "conversion_type")).alias("_c"))
+    """Mark each converting contact's newest mail; (contact_id, conversion_type, acted_at), the latest one wins."""
+    c = conversions.groupBy("contact_id").agg(F.max_by(F.struct("conversion_type", "acted_at"), F.struct("acted_at", "conversion_type")).alias("_c"))
     newest = engagements.groupBy("contact_id").agg(F.max_by("id", F.struct("email_sent_date", "id")).alias("id"))
     hit = newest.join(c, "contact_id").select("id", "_c")
     j = engagements.join(hit, "id", "left")
     return (j.withColumn("converted", F.col("_c").isNotNull() | F.col("converted"))
-            .withColumn("conversion_date", F.coalesce("_c.at", "conversion_date"))
+            .withColumn("conversion_date", F.coalesce("_c.acted_at", "conversion_date"))
             .withColumn("conversion_type", F.col("_c.conversion_type")).drop("_c"))
 
 

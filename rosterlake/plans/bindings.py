@@ -94,8 +94,9 @@ SELECT l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS organization_id,
  CASE l_returnflag WHEN 'A' THEN 'Plant Director' WHEN 'N' THEN 'Clerk' ELSE NULL END AS job_title,
  CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber > 4 THEN 'new' || CAST(l_orderkey AS STRING) || '@fresh.org' ELSE 'p' || CAST(l_orderkey % 5 AS STRING) || '@ORG' || CAST(l_partkey AS STRING) || '.gov' END AS email,
  CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE '555-' || CAST(1000 + l_orderkey % 9000 AS STRING) END AS phone,
- l_discount * 10 AS contact_relevance_score
-FROM {lineitem}
+ l_discount * 10 AS contact_relevance_score, l_orderkey AS order_id
+FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey, MIN(l_suppkey) AS l_suppkey, MIN(l_returnflag) AS l_returnflag, MIN(l_discount) AS l_discount, MIN(l_tax) AS l_tax
+ FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
 """
 INCOMING_ORGANIZATIONS = """
 SELECT s.l_orderkey * 10 + s.l_linenumber AS seq,
@@ -103,7 +104,8 @@ SELECT s.l_orderkey * 10 + s.l_linenumber AS seq,
  'NATION_' || CAST(s.l_suppkey % 25 AS STRING) AS state, 'water' AS org_type,
  CASE WHEN s.l_linenumber % 3 = 0 THEN '' ELSE 'seen in ' || CAST(s.l_partkey % 10 AS STRING) END AS description,
  s.l_discount * 10 AS confidence_score, s.l_tax * 100 AS relevance_score
-FROM {lineitem} s
+FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey, MIN(l_suppkey) AS l_suppkey, MIN(l_returnflag) AS l_returnflag, MIN(l_discount) AS l_discount, MIN(l_tax) AS l_tax
+ FROM {lineitem} GROUP BY l_orderkey, l_linenumber) s
 """
 ASSIGNMENTS = """
 SELECT 'ana' AS assigned_to, 'municipal' AS org_type, 0 AS rank UNION ALL SELECT 'ana', 'water', 1

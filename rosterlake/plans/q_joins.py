@@ -40,10 +40,10 @@ def _(t):
 
 
 @query("j4_organizations_without_contacts", "contacts organizations", """
-SELECT o.id FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE id % 7 = 0 GROUP BY 1) x
+SELECT o.id FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title = 'Director of Public Works' GROUP BY 1) x
 ON x.organization_id = o.id WHERE x.n IS NULL""")
 def _(t):
-    return J.organizations_without_contacts(t.organizations, t.contacts.filter("id % 7 = 0")).select("id")
+    return J.organizations_without_contacts(t.organizations, t.contacts.filter("job_title = 'Director of Public Works'")).select("id")
 
 
 @query("j5_organizations_by_contact_count", "contacts organizations", """
@@ -62,9 +62,9 @@ def _(t):
 
 @query("j8_organization_name_or_unknown", "contacts organizations", """
 SELECT c.id, coalesce(o.name, 'Unknown') AS organization_name FROM contacts c
-LEFT JOIN (SELECT * FROM organizations WHERE id % 5 <> 0) o ON c.organization_id = o.id""")
+LEFT JOIN (SELECT * FROM organizations WHERE contact_discovery_status IS NOT NULL) o ON c.organization_id = o.id""")
 def _(t):
-    return J.organization_name_or(t.contacts, t.organizations.filter("id % 5 <> 0")).select("id", "organization_name")
+    return J.organization_name_or(t.contacts, t.organizations.filter("contact_discovery_status IS NOT NULL")).select("id", "organization_name")
 
 
 @query("j8_validation_with_contact", "validation_reports contacts", """

@@ -11,10 +11,6 @@ AS_OF = ts("2001-08-02 00:00:00")
 KEY = "lower(trim(CASE WHEN trim(email) <> '' THEN email END))"
 
 
-def lines_sql(cols: str, src: str) -> str:
-    return f"SELECT {cols} FROM {src}"
-
-
 @query("m1_upsert_contacts_by_email", "contacts incoming_contacts", f"""
 SELECT id, organization_id, first_name, last_name, job_title, email, phone, round(contact_relevance_score, 6) AS contact_relevance_score, updated FROM (
 WITH f AS (SELECT *, {KEY} AS k FROM incoming_contacts WHERE NOT coalesce(contains(lower(email), '.edu'), false)),
@@ -35,11 +31,11 @@ def _(t):
 
 FINDS = ("SELECT seq, CASE WHEN seq % 3 = 0 THEN c.organization_id ELSE i.organization_id END AS organization_id, CASE WHEN seq % 2 = 0 AND c.first_name <> '' THEN c.first_name ELSE i.first_name END AS first_name, "
          "CASE WHEN seq % 2 = 0 THEN c.last_name ELSE i.last_name END AS last_name, i.job_title, CASE WHEN seq % 5 = 0 THEN c.email ELSE i.email END AS email, i.phone, (i.job_title = 'Plant Director') AS is_decision_maker "
-         "FROM {i} i JOIN {c} c ON c.id = i.seq // 10 % 9000")
+         "FROM {i} i JOIN {c} c ON c.id = i.order_id")
 
 
 def finds(t):
-    return t.spark.sql(FINDS.replace("i.seq // 10 % 9000", "(i.seq DIV 10) % 9000"), i=t.incoming_contacts, c=t.contacts)
+    return t.spark.sql(FINDS, i=t.incoming_contacts, c=t.contacts)
 
 
 FINDS_CTE = f"finds AS ({FINDS.format(i='incoming_contacts', c='contacts')})"
@@ -145,7 +141,7 @@ def _(t):
     return M.best_duplicate(t.organizations)
 
 
-ROOTS = f"WITH RECURSIVE {STEP}, walk AS (SELECT id, match_id AS at, 1 AS d FROM step UNION ALL SELECT w.id, s.match_id, d + 1 FROM walk w JOIN step s ON s.id = w.at WHERE s.match_id <> w.at), roots AS (SELECT id, arg_max(at, d) AS root_id FROM walk GROUP BY id)"
+ROOTS = f"WITH RECURSIVE {STEP}, walk AS (SELECT id, match_id AS cur, 1 AS d FROM step UNION ALL SELECT w.id, s.match_id, d + 1 FROM walk w JOIN step s ON s.id = w.cur WHERE s.match_id <> w.cur), roots AS (SELECT id, arg_max(cur, d) AS root_id FROM walk GROUP BY id)"
 
 
 @query("m6_duplicate_roots", "organizations", f"{ROOTS} SELECT id, root_id FROM roots")
@@ -185,11 +181,11 @@ def _(t):
     return M.remove_edu(t.organizations, t.contacts)[2]
 
 
-ACTIONS = "SELECT l_orderkey AS contact_id, CASE l_returnflag WHEN 'A' THEN 'draft' ELSE 'sent' END AS action, 'msg' || CAST(l_orderkey * 10 + l_linenumber AS {s}) AS message_id, l_shipdate AS at FROM {li}"
+ACTIONS = "SELECT l_orderkey AS contact_id, CASE l_returnflag WHEN 'A' THEN 'draft' ELSE 'sent' END AS action, 'msg' || CAST(l_orderkey * 10 + l_linenumber AS {s}) AS message_id, l_shipdate AS acted_at FROM {li}"
 
 
 @query("m9_apply_mail_actions", "contacts", f"""
-WITH a AS ({ACTIONS.format(s='VARCHAR', li='lineitem')}), g AS (SELECT contact_id, max(at) FILTER (action = 'draft') AS d, max(at) FILTER (action = 'sent') AS s, max(struct_pack(at := at, action := action, message_id := message_id)) AS l FROM a GROUP BY 1)
+WITH a AS ({ACTIONS.format(s='VARCHAR', li='lineitem')}), g AS (SELECT contact_id, max(acted_at) FILTER (action = 'draft') AS d, max(acted_at) FILTER (action = 'sent') AS s, max(struct_pack(at := acted_at, action := action, message_id := message_id)) AS l FROM a GROUP BY 1)
 SELECT c.id, c.email_draft_created OR d IS NOT NULL AS email_draft_created, coalesce(s IS NOT NULL, false) AS email_sent, l.message_id AS email_draft_id, CASE l.action WHEN 'sent' THEN 'emailed' WHEN 'draft' THEN 'email_draft' END AS status, s::DATE AS sent_day
 FROM contacts c LEFT JOIN g ON g.contact_id = c.id""")
 def _(t):
@@ -277,7 +273,7 @@ def _(t):
 WITH c AS (SELECT o_custkey AS contact_id, max(struct_pack(at := o_orderdate, t := o_orderpriority)) AS c FROM orders GROUP BY 1), n AS (SELECT contact_id, arg_max(id, struct_pack(d := email_sent_date, i := id)) AS id FROM email_engagements GROUP BY 1)
 SELECT e.id, e.converted OR x.id IS NOT NULL AS converted, x.c.t AS conversion_type FROM email_engagements e LEFT JOIN (SELECT n.id, c.c FROM n JOIN c USING (contact_id)) x ON x.id = e.id""")
 def _(t):
-    c = t.orders.select(F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("conversion_type"), F.col("o_orderdate").alias("at"))
+    c = t.orders.select(F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("conversion_type"), F.col("o_orderdate").alias("acted_at"))
     return M.record_conversions(t.email_engagements, c).select("id", "converted", "conversion_type")
 
 

@@ -108,12 +108,12 @@ PROFILES = "SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'water' WHEN 1 THEN 'mun
 
 @query("w11_contact_quota", "organizations contacts", f"""
 SELECT q.id, p.role_title FROM (SELECT o.id, o.org_type, greatest(0, least(5, greatest(1, trunc(o.relevance_score / 2)::INT)) - coalesce(n, 0)) AS quota
- FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE id % 9 = 0 GROUP BY 1) c ON c.organization_id = o.id) q
+ FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title = 'Process Engineer' GROUP BY 1) c ON c.organization_id = o.id) q
 JOIN (SELECT *, row_number() OVER (PARTITION BY org_type ORDER BY relevance_score DESC, role_title) AS rr FROM ({PROFILES.format(s='VARCHAR', li='lineitem')})) p
 ON p.org_type = q.org_type AND p.rr <= q.quota""")
 def _(t):
     prof = t.spark.sql(PROFILES.format(s="STRING", li="{li}"), li=t.lineitem)
-    return S.contact_quota(t.organizations, t.contacts.filter("id % 9 = 0"), prof).select("id", "role_title")
+    return S.contact_quota(t.organizations, t.contacts.filter("job_title = 'Process Engineer'"), prof).select("id", "role_title")
 
 
 @query("t1_recent_runs", "process_summaries", """
@@ -136,16 +136,16 @@ def _(t):
 
 
 @query("t4_organization_table", "organizations",
-       "SELECT id, name, relevance_score FROM organizations ORDER BY relevance_score DESC, name, id LIMIT 100")
+       "SELECT id, name, relevance_score FROM organizations")
 def _(t):
-    return R.top_n(t.organizations, 100, F.desc("relevance_score"), F.asc("name"), F.asc("id")).select(
+    return t.organizations.orderBy(F.desc("relevance_score"), F.asc("name"), F.asc("id")).select(
         "id", "name", "relevance_score")
 
 
 @query("t5_contact_table", "contacts", """
-SELECT id, contact_relevance_score FROM contacts ORDER BY contact_relevance_score DESC NULLS LAST, date_added DESC, id LIMIT 100""")
+SELECT id, contact_relevance_score FROM contacts""")
 def _(t):
-    return R.top_n(t.contacts, 100, F.desc("contact_relevance_score"), F.desc("date_added"), F.asc("id")).select(
+    return t.contacts.orderBy(F.desc("contact_relevance_score"), F.desc("date_added"), F.asc("id")).select(
         "id", "contact_relevance_score")
 
 
@@ -170,10 +170,10 @@ def _(t):
 
 @query("t8_discovery_tiers", "organizations contacts", """
 SELECT id, tier FROM (SELECT o.id, (CASE WHEN n IS NULL THEN 1 WHEN contact_discovery_status = 'partial' THEN 2 WHEN contact_discovery_status = 'attempted' AND n < 3 THEN 3
- WHEN contact_discovery_status <> 'completed' AND n < 10 THEN 4 END)::INT AS tier FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE id % 5 < 2 GROUP BY 1) c
+ WHEN contact_discovery_status <> 'completed' AND n < 10 THEN 4 END)::INT AS tier FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title IN ('Clerk','Process Engineer') GROUP BY 1) c
  ON c.organization_id = o.id WHERE o.relevance_score >= 5) WHERE tier IS NOT NULL""")
 def _(t):
-    return S.discovery_tiers(t.organizations, t.contacts.filter("id % 5 < 2"), 5, 10).select("id", "tier")
+    return S.discovery_tiers(t.organizations, t.contacts.filter("job_title IN ('Clerk','Process Engineer')"), 5, 10).select("id", "tier")
 
 
 @query("t9_url_priority", "discovered_urls",
@@ -207,18 +207,18 @@ def _(t):
 
 
 @query("t13_by_opportunity", "organizations",
-       "SELECT id, confidence_score FROM organizations WHERE NOT is_competitor ORDER BY confidence_score DESC, id LIMIT 200")
+       "SELECT id, confidence_score FROM organizations WHERE NOT is_competitor")
 def _(t):
-    return R.top_n(t.organizations.filter("NOT is_competitor"), 200, F.desc("confidence_score"), F.asc("id")).select(
+    return t.organizations.filter("NOT is_competitor").orderBy(F.desc("confidence_score"), F.asc("id")).select(
         "id", "confidence_score")
 
 
 @query("t14_real_before_generic", "contacts", """
-SELECT id, generic FROM (SELECT *, coalesce(regexp_matches(lower(email), '^(p1|p3)@'), false) AS generic FROM contacts) ORDER BY generic, contact_confidence_score DESC NULLS LAST, id LIMIT 300""")
+SELECT id, generic FROM (SELECT *, coalesce(regexp_matches(lower(email), '^(p1|p3)@'), false) AS generic FROM contacts)""")
 def _(t):
     from rosterlake.operators.predicates import generic_mailbox
     q = t.contacts.withColumn("generic", generic_mailbox("email", ["p1", "p3"]))
-    return R.top_n(q, 300, F.asc("generic"), F.desc("contact_confidence_score"), F.asc("id")).select("id", "generic")
+    return q.orderBy(F.asc("generic"), F.desc("contact_confidence_score"), F.asc("id")).select("id", "generic")
 
 
 @query("t15_table_page", "organizations", "SELECT id, name FROM organizations ORDER BY name, id LIMIT 10 OFFSET 30")
