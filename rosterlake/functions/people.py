@@ -93,7 +93,7 @@ def person_name(full: str | Column) -> Column:
             .when(n == 2, pair(at(0), at(1)))
             .when((n == 3) & (F.length(at(1)) == 1), pair(at(0), at(2)))
             .when(n == 3, pair(at(0), F.concat_ws(" ", at(1), at(2))))
-            .when(n > 3, pair(at(0), F.element_at(p, -1))))
+            .when(n > 3, pair(at(0), F.try_element_at(p, F.lit(-1)))))
 
 
 def split_name(full: str | Column) -> Column:

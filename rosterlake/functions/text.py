@@ -1,7 +1,8 @@
 """Text helpers shared by every operator. All return Spark columns; nothing runs per row in Python."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,16 +28,33 @@ def strings(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
+def _is_plain(c: Column) -> bool:
+    """A bare column, which costs nothing to name many times; anything else should be computed once."""
+    return re.fullmatch(r"Column<'[\w.]+'>", str(c)) is not None
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it many times inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_word(text: str | Column, words: Sequence[str]) -> Column:
-    """Substring test against a short fixed list; compiles to one short-circuit OR."""
+    """Substring test against a short fixed list. A bare column gets one short-circuit OR; a computed text is
+    evaluated once and matched against one alternation of literals."""
     t = col(text)
-    return F.coalesce(reduce(lambda a, b: a | b, [t.contains(w) for w in words], F.lit(False)), F.lit(False))
+    if not words:
+        return F.lit(False)
+    if _is_plain(t):
+        return F.coalesce(reduce(lambda a, b: a | b, [t.contains(w) for w in words]), F.lit(False))
+    return F.coalesce(t.rlike("|".join(rf"\Q{w}\E" for w in words)), F.lit(False))
 
 
 def count_words(text: str | Column, words: Sequence[str]) -> Column:
     """How many of the words occur (each counted once); NULL text counts 0."""
+    def total(x: Column) -> Column:
+        return reduce(lambda a, b: a + b, [x.contains(w).cast("int") for w in words], F.lit(0))
     t = col(text)
-    return F.coalesce(reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in words], F.lit(0)), F.lit(0))
+    return F.coalesce(total(t) if _is_plain(t) else let(t, total), F.lit(0))
 
 
 def found_words(text: str | Column, words: Sequence[str]) -> Column:
@@ -63,6 +81,8 @@ def lookup(key: str | Column, table: dict, default: object = None) -> Column:
 
 def map_of(table: dict[str, Sequence[str]]) -> Column:
     """Map literal category -> word array."""
+    if not table:
+        return F.create_map().cast("map<string,array<string>>")
     args: list[Column] = []
     for k, v in table.items():
         args += [F.lit(k), strings(v)]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import any_word, col, first_case, lookup, strings
+from rosterlake.functions.text import any_word, col, first_case, let, lookup, strings
 
 # ---- fixed values ---------------------------------------------------------------------------
 OFFICIAL_SUFFIXES = [".gov", ".org", ".us", ".edu"]
@@ -133,7 +133,7 @@ def looks_official(url: str | Column, name: str | Column, state: str | Column |
     def w(i: int) -> Column:
         return F.get(ws, F.lit(i))
 
-    last = F.element_at(ws, -1)
+    last = F.try_element_at(ws, F.lit(-1))
     several = n >= 2
     hits = d.contains(alnum(col(name)))
     hits = hits | (several & d.contains(initials(ws)))
@@ -204,7 +204,7 @@ def candidate_websites(name: str | Column, state: str | Column) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), F.array(*sites)).otherwise(F.array().cast("array<string>"))
 
     of_form = (n >= 3) & w(0).isin("city", "town") & (w(1) == "of")
-    kind, place, last = w(0), w(2), F.element_at(ws, -1)
+    kind, place, last = w(0), w(2), F.try_element_at(ws, F.lit(-1))
     main = F.get(F.filter(ws, lambda x: ~x.isin(WATER_NAME_FILLERS)), F.lit(0))
     water = clean.contains("water") & (clean.contains("district") | clean.contains("authority")) & main.isNotNull()
     a, b = w(0), w(1)
@@ -233,14 +233,16 @@ def first_snippet_site(snippet: str | Column, blocked: Sequence[str] = BLOCKED_S
 
 def short_id(*parts: str | Column) -> Column:
     """12 easily read characters from a digest of the parts; the same link always gets the same id."""
-    digest = F.md5(F.concat_ws("|", *[col(p).cast("string") for p in parts]))
-    out = []
-    for start in (1, 13):
-        n = F.conv(F.substring(digest, start, 12), 16, 10).cast("bigint")
-        for k in range(6):
-            i = F.expr(f"{len(SHORT_ID_ALPHABET) ** k}L")
-            out.append(F.substring(F.lit(SHORT_ID_ALPHABET), (F.floor(n / i) % len(SHORT_ID_ALPHABET) + 1).cast("int"), F.lit(1)))
-    return F.concat(*out)
+    base = len(SHORT_ID_ALPHABET)
+
+    def six(n: Column) -> Column:
+        return F.concat(*[F.substring(F.lit(SHORT_ID_ALPHABET), (F.floor(n / F.lit(base ** k)) % base + 1).cast("int"), F.lit(1))
+                          for k in range(6)])
+
+    def halves(d: Column) -> Column:
+        return F.concat(*[let(F.conv(F.substring(d, i, 12), 16, 10).cast("bigint"), six) for i in (1, 13)])
+
+    return let(F.md5(F.concat_ws("|", *[col(p).cast("string") for p in parts])), halves)
 
 
 def tracking_url(base: str, link_id: str | Column) -> Column:

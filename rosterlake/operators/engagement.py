@@ -18,7 +18,8 @@ FLAGS = {"opens": "email_opened", "replies": "email_replied", "clicks": "clicked
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86_400_000_000)).cast("long")
+    us = [F.unix_micros(c.cast("timestamp")) for c in (later, earlier)]
+    return F.floor((us[0] - us[1]) / F.lit(86_400_000_000)).cast("long")
 
 
 def contact_fold(engagements: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def apply_opens(engagements: DataFrame, opens: DataFrame) -> DataFrame:
 def apply_clicks_to_links(links: DataFrame, clicks: DataFrame) -> DataFrame:
     g = clicks.groupBy(F.col("tracking_id").alias("short_id")).agg(F.max("ts").alias("_last"), F.count("*").alias("_n"))
     j = links.join(g, "short_id", "left")
-    last = F.col("last_clicked") if "last_clicked" in links.columns else F.lit(None).cast("timestamp")
+    last = F.col("last_clicked") if "last_clicked" in links.columns else F.lit(None).cast(clicks.schema["ts"].dataType)
     return (j.withColumn("clicks", (F.coalesce(F.col("clicks"), F.lit(0)) + F.coalesce(F.col("_n"), F.lit(0))).cast("long"))
             .withColumn("last_clicked", F.greatest(last, F.col("_last"))).drop("_last", "_n"))
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from rosterlake import lexicons as L
 from rosterlake.functions import people as N
-from rosterlake.functions.text import (any_word, blank_to_null, col, count_words, first_case, found_words, lookup, map_of,
-                                       nonblank, strings)
+from rosterlake.functions.text import (any_word, blank_to_null, col, count_words, first_case, found_words, let, lookup,
+                                       map_of, nonblank, strings)
 from rosterlake.functions.urls import host_without_www
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -194,9 +194,10 @@ def role_flags(title: str | Column) -> Column:
 
 def industry_indicators(text: str | Column, terms: dict[str, Sequence[str]] = L.INDUSTRY_TERMS) -> Column:
     """Map industry -> share of its terms found."""
-    t = F.lower(col(text))
-    return F.map_from_arrays(strings(list(terms)), F.array(*[
-        F.least(F.lit(1.0), count_words(t, ws) / F.lit(float(len(ws)))) for ws in terms.values()]))
+    def shares(t: Column) -> Column:
+        hits = [reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in ws]) for ws in terms.values()]
+        return F.array(*[h / F.lit(float(len(ws))) for h, ws in zip(hits, terms.values())])
+    return F.map_from_arrays(strings(list(terms)), let(F.lower(col(text)), shares))
 
 
 def infrastructure_evidence(df: DataFrame, text: str, industry: str, processes: dict[str, Sequence[str]] = L.PROCESS_KEYWORDS,
@@ -376,7 +377,7 @@ def title_synonyms(title: str | Column) -> Column:
 def last_word_synonyms(title: str | Column, table: dict[str, Sequence[str]] = LAST_WORD_SYNONYMS) -> Column:
     w = F.split(col(title), r"\s+")
     head = F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), " ")
-    alts = F.coalesce(map_of(table)[F.element_at(w, -1)], F.array().cast("array<string>"))
+    alts = F.coalesce(map_of(table)[F.try_element_at(w, F.lit(-1))], F.array().cast("array<string>"))
     return F.when(F.size(w) > 1, F.transform(alts, lambda a: F.concat(head, F.lit(" "), a))).otherwise(F.array().cast("array<string>"))
 
 

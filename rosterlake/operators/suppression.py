@@ -4,7 +4,7 @@ Both depend on order, but neither needs a key's whole history in one task.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,89 +40,105 @@ def _enter(starts: Sequence[int], ends: Sequence[int], last: int, gap: int) -> i
 
 
 def suppress_repeats(events: DataFrame, keys: Sequence[str] = ("event_type", "tracking_id"), ts: str = "ts", row: str = "event_id",
-                     seconds: float = 60, chunk_seconds: int = 3600, chunks_per_span: int = 24) -> DataFrame:
+                     seconds: float = 60, long_run: int = 2_000_000, chunk_seconds: int = 3600) -> DataFrame:
     """Accepted events only: an event is dropped when it comes less than ``seconds`` after the last *accepted* one of
-    its key. Dropped events do not extend the wait.
+    its key. Dropped events do not extend the wait. ``row`` is the unique event id.
 
-    A key's time line is cut into chunks. How a chunk maps "last accepted before" to "last accepted after" depends on
-    its first ``seconds`` only, so a chunk is summed up by a short step function; these are joined over spans of
-    chunks, spans over the key, and the results handed back down. The heavy passes work per (key, chunk).
+    A silence of the full wait makes the next event accepted whatever came before, so a key's time line falls into
+    independent runs; they are found on a table of time buckets one wait long (no such silence fits inside one). Runs
+    shorter than the wait are settled by their first event. The others are scanned in order with one number
+    of state; a run with more than ``long_run`` distinct times is cut into chunks, see :func:`_scan_in_chunks`.
     """
-    gap, chunk = int(seconds * 1_000_000), chunk_seconds * 1_000_000
-    if chunk < gap:
-        raise ValueError("a chunk must be at least as long as the wait")
+    gap = int(seconds * 1_000_000)
     k = list(keys)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # equal times of one key: only the first row can be accepted, so repeats are reduced before any shuffle
-    e = events.groupBy(*k, us.alias("us")).agg(F.min(row).alias(row))
-    e = e.withColumn("chunk", F.floor(F.col("us") / F.lit(chunk)).cast("long")).withColumn(
+    e = events.groupBy(*k, us.alias("us")).agg(F.min(row).alias(row)).withColumn("b", F.floor(F.col("us") / F.lit(gap)).cast("long"))
+    buckets = e.groupBy(*k, "b").agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n"),
+                                     F.min_by(row, "us").alias("first_row"))
+    w = Window.partitionBy(*k).orderBy("b")
+    opens = F.coalesce(F.col("lo") - F.lag("hi").over(w) >= gap, F.lit(True))
+    buckets = buckets.withColumn("rid", F.last(F.when(opens, F.col("first_row")), True).over(w))
+    runs = buckets.groupBy(*k, "rid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    alone = runs.filter(F.col("hi") - F.col("lo") < gap).select(*k, F.col("rid").alias(row))
+    longer = runs.filter(F.col("hi") - F.col("lo") >= gap).select(*k, "rid", (F.col("n") > long_run).alias("huge"))
+    where = buckets.join(longer, [*k, "rid"]).select(*k, "b", "rid", "huge")
+    work = e.join(where, [*k, "b"]).drop("b")
+    plain = _scan(work.filter("NOT huge").select(*k, "rid", "us", row), k, row, gap)
+    huge = _scan_in_chunks(work.filter("huge").select(*k, "rid", "us", row), k, row, gap, max(chunk_seconds * 1_000_000, gap))
+    return alone.unionByName(plain).unionByName(huge)
+
+
+def _scan(work: DataFrame, keys: Sequence[str], row: str, gap: int) -> DataFrame:
+    """Walk every run in time order; a run may span any number of batches, only the last accepted time is kept."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, NONE
+        for pdf in batches:
+            keep = []
+            for i, (r, t) in enumerate(zip(pdf["rid"].tolist(), pdf["us"].tolist())):
+                if r != run or t - last >= gap:
+                    run, last = r, t
+                    keep.append(i)
+            yield pdf.iloc[keep][[*keys, row]]
+
+    schema = T.StructType([work.schema[c] for c in [*keys, row]])
+    return work.repartition("rid").sortWithinPartitions("rid", "us").mapInPandas(walk, schema)
+
+
+def _scan_in_chunks(work: DataFrame, keys: Sequence[str], row: str, gap: int, chunk: int, chunks_per_span: int = 24) -> DataFrame:
+    """A run too long for one task. How a chunk of it maps "last accepted before" to "last accepted after" depends on
+    the chunk's first wait only, so a chunk is summed up by a short step function; these are joined over spans of
+    chunks, spans over the run, and the results handed back down. The heavy passes work per (run, chunk).
+    """
+    e = work.withColumn("chunk", F.floor(F.col("us") / F.lit(chunk)).cast("long")).withColumn(
         "span", F.floor(F.col("chunk") / F.lit(chunks_per_span)).cast("long"))
-    key_fields = [e.schema[c] for c in k]
-    longs = T.ArrayType(T.LongType())
-
-    def schema(*more: T.StructField) -> T.StructType:
-        return T.StructType([*key_fields, *more])
-
-    f_span, f_chunk = T.StructField("span", T.LongType()), T.StructField("chunk", T.LongType())
-    f_map = [T.StructField("starts", longs), T.StructField("ends", longs)]
-    f_last = T.StructField("last", T.LongType())
-
-    def ident(key: tuple, names: Sequence[str]) -> dict:
-        return dict(zip(names, key))
+    rid = T.StructField("rid", work.schema["rid"].dataType)
+    f_span, f_chunk, f_last = (T.StructField(c, T.LongType()) for c in ("span", "chunk", "last"))
+    f_map = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]
 
     def chunk_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.sort(pdf["us"].to_numpy())
         n = int(np.searchsorted(a, key[-1] * chunk + gap)) + 1
         starts, ends = _steps(a[:n], _orbit_ends(a, gap)[:n])
-        return pd.DataFrame([{**ident(key, [*k, "span", "chunk"]), "starts": starts, "ends": ends}])
+        return pd.DataFrame([{"rid": key[0], "span": key[1], "chunk": key[2], "starts": starts, "ends": ends}])
 
     def span_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        starts = np.asarray(pdf["starts"].iloc[0], dtype=np.int64)
-        ends = np.asarray(pdf["ends"].iloc[0], dtype=np.int64)
         # a wait that outlasts every start of the first chunk passes it unchanged, so later starts matter too
-        base = int(pdf["chunk"].iloc[0]) * chunk + gap
-        later = np.concatenate([np.asarray(s, dtype=np.int64) for s in pdf["starts"]])
-        every = np.unique(np.concatenate([starts, later[later < base], later[later >= base][:1]]))
+        edge = int(pdf["chunk"].iloc[0]) * chunk + gap
+        every = np.unique(np.concatenate([np.asarray(s, dtype=np.int64) for s in pdf["starts"]]))
+        every = every[:int(np.searchsorted(every, edge)) + 1]
         out = []
         for s in every:
-            last = s - gap
+            last = int(s) - gap
             for cs, ce in zip(pdf["starts"], pdf["ends"]):
                 last = _enter(cs, ce, last, gap)
             out.append(last)
         st, en = _steps(every, np.asarray(out, dtype=np.int64))
-        return pd.DataFrame([{**ident(key, [*k, "span"]), "starts": st, "ends": en}])
+        return pd.DataFrame([{"rid": key[0], "span": key[1], "starts": st, "ends": en}])
 
-    def key_fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = NONE, []
-        for r in pdf.sort_values("span").itertuples():
-            rows.append({**ident(key, k), "span": r.span, "last": last})
-            last = _enter(r.starts, r.ends, last, gap)
-        return pd.DataFrame(rows)
-
-    def span_fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        last, rows = int(pdf["last"].iloc[0]), []
-        for r in pdf.itertuples():
-            rows.append({**ident(key, [*k, "span"]), "chunk": r.chunk, "last": last})
-            last = _enter(r.starts, r.ends, last, gap)
+    def fold(pdf: pd.DataFrame, last: int, part: str) -> pd.DataFrame:
+        rows = []
+        for r in pdf.sort_values(part).to_dict("records"):
+            rows.append({"rid": r["rid"], "span": r["span"], part: r[part], "last": last})
+            last = _enter(r["starts"], r["ends"], last, gap)
         return pd.DataFrame(rows)
 
     def accept(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us")
-        a, pos, keep = pdf["us"].to_numpy(), 0, []
-        last = int(pdf["last"].iloc[0])
+        a, keep, last = pdf["us"].to_numpy(), [], int(pdf["last"].iloc[0])
         while (pos := int(np.searchsorted(a, last + gap))) < len(a):
             keep.append(pos)
             last = int(a[pos])
-        return pdf.iloc[keep][[*k, row]]
-
-    maps = e.groupBy(*k, "span", "chunk").applyInPandas(chunk_map, schema(f_span, f_chunk, *f_map))
-    spans = maps.groupBy(*k, "span").applyInPandas(span_map, schema(f_span, *f_map))
-    into_spans = spans.groupBy(*k).applyInPandas(key_fold, schema(f_span, f_last))
-    into_chunks = maps.join(into_spans, [*k, "span"]).groupBy(*k, "span").applyInPandas(span_fold, schema(f_span, f_chunk, f_last))
-    work = e.join(into_chunks.select(*k, "chunk", "last"), [*k, "chunk"])
-    return work.groupBy(*k, "chunk").applyInPandas(accept, schema(e.schema[row]))
+        return pdf.iloc[keep][[*keys, row]]
+
+    maps = e.groupBy("rid", "span", "chunk").applyInPandas(chunk_map, T.StructType([rid, f_span, f_chunk, *f_map]))
+    spans = maps.groupBy("rid", "span").applyInPandas(span_map, T.StructType([rid, f_span, *f_map]))
+    into_spans = spans.groupBy("rid").applyInPandas(lambda pdf: fold(pdf, NONE, "span"), T.StructType([rid, f_span, f_last]))
+    into_chunks = maps.join(into_spans, ["rid", "span"]).groupBy("rid", "span").applyInPandas(
+        lambda pdf: fold(pdf, int(pdf["last"].iloc[0]), "chunk"), T.StructType([rid, f_span, f_chunk, f_last]))
+    tasks = e.join(into_chunks.select("rid", "chunk", "last"), ["rid", "chunk"])
+    return tasks.groupBy("rid", "chunk").applyInPandas(accept, T.StructType([work.schema[c] for c in [*keys, row]]))
 
 
 def rate_limit(events: DataFrame, who: str = "ip_address", ts: str = "ts", row: str = "event_id", limit: int = 50,

@@ -111,8 +111,18 @@ ASSIGNMENTS = """
 SELECT 'ana' AS assigned_to, 'municipal' AS org_type, 0 AS rank UNION ALL SELECT 'ana', 'water', 1
 UNION ALL SELECT 'ben', 'engineering', 2 UNION ALL SELECT 'ben', 'transportation', 3
 """
+# one staff member per page; queries lay them out as cards, tables, lists and so on
+STAFF = """
+SELECT o_orderkey AS page_id, 'https://www.town' || CAST(o_custkey AS STRING) || '.gov/' || CASE o_orderkey % 3 WHEN 0 THEN 'staff' WHEN 1 THEN 'contact' ELSE 'about' END AS url,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Bert' WHEN 2 THEN 'Clara' ELSE 'Dirk' END AS fn, CASE o_orderkey % 5 WHEN 0 THEN 'Adams' WHEN 1 THEN 'Brown' WHEN 2 THEN 'Clark' WHEN 3 THEN 'Dunn' ELSE 'Evans' END AS ln,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'Operations Manager' WHEN '2-HIGH' THEN 'Director of Public Works' WHEN '3-MEDIUM' THEN 'Process Engineer' WHEN '4-NOT SPECIFIED' THEN 'City Clerk' ELSE 'Water Supervisor' END AS title,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 10.0 WHEN '2-HIGH' THEN 9.0 WHEN '3-MEDIUM' THEN 8.0 WHEN '4-NOT SPECIFIED' THEN 5.0 ELSE 10.0 END AS rel,
+ 'staff' || CAST(o_orderkey AS STRING) || '@town.gov' AS email, '555-123-' || CAST(1000 + o_orderkey % 9000 AS STRING) AS phone, o_custkey AS town
+FROM {orders}
+"""
 
 VIEWS = {
+    "staff": (STAFF, "orders"),
     "organizations": (ORGANIZATIONS, "customer nation documents orders"),
     "contacts": (CONTACTS, "orders"),
     "email_engagements": (EMAIL_ENGAGEMENTS, "events"),

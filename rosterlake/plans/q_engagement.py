@@ -98,22 +98,22 @@ def _(t):
     return parse_lines(lines, keep=["event_id"]).drop("ts")
 
 
-@query("k2_suppress_repeats", "tracking_events", """
+@query("k2_suppress_repeats_6h_in_chunks", "tracking_events", """
 WITH RECURSIVE e AS (SELECT event_type, tracking_id, ts, min(event_id) AS event_id FROM tracking_events GROUP BY 1, 2, 3),
-nx AS (SELECT a.*, (SELECT min(b.ts) FROM e b WHERE b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.ts + INTERVAL 6 HOUR) AS nts FROM e a),
+nx AS (SELECT a.*, b.ts AS nts FROM (SELECT *, ts + INTERVAL 6 HOUR AS due FROM e) a ASOF LEFT JOIN e b ON b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.due),
 acc AS (SELECT event_type, tracking_id, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT acc.event_type, acc.tracking_id, nx.nts FROM acc JOIN nx ON nx.event_type = acc.event_type AND nx.tracking_id = acc.tracking_id AND nx.ts = acc.ts WHERE nx.nts IS NOT NULL)
 SELECT e.event_type, e.tracking_id, e.event_id FROM acc JOIN e ON e.event_type = acc.event_type AND e.tracking_id = acc.tracking_id AND e.ts = acc.ts""")
 def _(t):
-    return K.suppress_repeats(t.tracking_events, seconds=6 * 3600, chunk_seconds=24 * 3600, chunks_per_span=7)
+    return K.suppress_repeats(t.tracking_events, seconds=6 * 3600, long_run=100, chunk_seconds=24 * 3600)
 
 
-@query("k2_suppress_repeats_60s", "tracking_events", """
+@query("k2_suppress_repeats", "tracking_events", """
 WITH RECURSIVE e AS (SELECT event_type, tracking_id, ts, min(event_id) AS event_id FROM tracking_events GROUP BY 1, 2, 3),
-nx AS (SELECT a.*, (SELECT min(b.ts) FROM e b WHERE b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.ts + INTERVAL 60 SECOND) AS nts FROM e a),
+nx AS (SELECT a.*, b.ts AS nts FROM (SELECT *, ts + INTERVAL 60 SECOND AS due FROM e) a ASOF LEFT JOIN e b ON b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.due),
 acc AS (SELECT event_type, tracking_id, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT acc.event_type, acc.tracking_id, nx.nts FROM acc JOIN nx ON nx.event_type = acc.event_type AND nx.tracking_id = acc.tracking_id AND nx.ts = acc.ts WHERE nx.nts IS NOT NULL)
 SELECT e.event_type, e.tracking_id, e.event_id FROM acc JOIN e ON e.event_type = acc.event_type AND e.tracking_id = acc.tracking_id AND e.ts = acc.ts""")
 def _(t):
-    return K.suppress_repeats(t.tracking_events, chunk_seconds=6 * 3600, chunks_per_span=28)
+    return K.suppress_repeats(t.tracking_events)
 
 
 @query("k3_rate_limit", "tracking_events", """
