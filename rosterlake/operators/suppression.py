@@ -177,6 +177,7 @@ def outcome_counts(resolved: DataFrame) -> DataFrame:
 def device_breakdown(events: DataFrame, *window: str) -> DataFrame:
     from rosterlake.functions.people import device
     d = events.withColumn("d", device("user_agent"))
-    keys = [F.window("ts", *window).getField("start").alias("window_start")] if window else []
-    return d.groupBy(*keys, F.col("d.device_type").alias("device_type"), F.col("d.browser").alias("browser"), F.col("d.os").alias("os")).agg(
+    keys = [F.window("ts", *window).alias("window")] if window else []
+    g = d.groupBy(*keys, F.col("d.device_type").alias("device_type"), F.col("d.browser").alias("browser"), F.col("d.os").alias("os")).agg(
         F.count("*").alias("n"))
+    return g.select(F.col("window.start").alias("window_start"), "device_type", "browser", "os", "n") if window else g

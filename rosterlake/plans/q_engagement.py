@@ -100,7 +100,7 @@ def _(t):
 
 @query("k2_suppress_repeats_6h_in_chunks", "tracking_events", """
 WITH RECURSIVE e AS (SELECT event_type, tracking_id, ts, min(event_id) AS event_id FROM tracking_events GROUP BY 1, 2, 3),
-nx AS (SELECT a.*, b.ts AS nts FROM (SELECT *, ts + INTERVAL 6 HOUR AS due FROM e) a ASOF LEFT JOIN e b ON b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.due),
+nx AS (SELECT *, min(ts) OVER (PARTITION BY event_type, tracking_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nts FROM e),
 acc AS (SELECT event_type, tracking_id, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT acc.event_type, acc.tracking_id, nx.nts FROM acc JOIN nx ON nx.event_type = acc.event_type AND nx.tracking_id = acc.tracking_id AND nx.ts = acc.ts WHERE nx.nts IS NOT NULL)
 SELECT e.event_type, e.tracking_id, e.event_id FROM acc JOIN e ON e.event_type = acc.event_type AND e.tracking_id = acc.tracking_id AND e.ts = acc.ts""")
 def _(t):
@@ -109,7 +109,7 @@ def _(t):
 
 @query("k2_suppress_repeats", "tracking_events", """
 WITH RECURSIVE e AS (SELECT event_type, tracking_id, ts, min(event_id) AS event_id FROM tracking_events GROUP BY 1, 2, 3),
-nx AS (SELECT a.*, b.ts AS nts FROM (SELECT *, ts + INTERVAL 60 SECOND AS due FROM e) a ASOF LEFT JOIN e b ON b.event_type = a.event_type AND b.tracking_id = a.tracking_id AND b.ts >= a.due),
+nx AS (SELECT *, min(ts) OVER (PARTITION BY event_type, tracking_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nts FROM e),
 acc AS (SELECT event_type, tracking_id, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT acc.event_type, acc.tracking_id, nx.nts FROM acc JOIN nx ON nx.event_type = acc.event_type AND nx.tracking_id = acc.tracking_id AND nx.ts = acc.ts WHERE nx.nts IS NOT NULL)
 SELECT e.event_type, e.tracking_id, e.event_id FROM acc JOIN e ON e.event_type = acc.event_type AND e.tracking_id = acc.tracking_id AND e.ts = acc.ts""")
 def _(t):

@@ -91,9 +91,20 @@ def _(t):
 EDGES = "SELECT 'http://h' || CAST(o_custkey % 7 AS {s}) || '.org/p' || CAST(o_custkey AS {s}) AS src, 'http://h' || CAST(o_custkey % 7 AS {s}) || '.org/' || CASE WHEN o_totalprice > 300000 THEN 'shop' ELSE 'p' END || CAST(o_orderkey {div} 10 AS {s}) AS dst, o_orderpriority AS prio FROM {o}"
 
 
-@query("p22_crawl_frontier", "", f"""
-WITH RECURSIVE e AS ({EDGES.format(s='VARCHAR', div='//', o='orders')}), w AS (SELECT DISTINCT src, dst FROM e WHERE NOT contains(dst, 'shop')),
-r AS (SELECT src AS url, 0 AS depth FROM (SELECT DISTINCT src FROM e WHERE prio = '1-URGENT') UNION SELECT w.dst, depth + 1 FROM r JOIN w ON w.src = r.url WHERE depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY 1""")
+HOST_OF = "regexp_extract({}, '://([^/]*)', 1)"
+
+
+def frontier_sql() -> str:
+    """The walk written out level by level, with the host quota of 500."""
+    out = [f"e AS ({EDGES.format(s='VARCHAR', div='//', o='orders')}), w AS (SELECT DISTINCT src, dst FROM e WHERE NOT contains(dst, 'shop'))",
+           f"s0 AS (SELECT url, host, 0 AS depth FROM (SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS r FROM (SELECT DISTINCT src AS url, {HOST_OF.format('src')} AS host FROM e WHERE prio = '1-URGENT')) WHERE r <= 500)"]
+    for d in (1, 2, 3):
+        out.append(f"n{d} AS (SELECT DISTINCT dst AS url, {HOST_OF.format('dst')} AS host FROM w JOIN s{d - 1} s ON s.url = w.src AND s.depth = {d - 1} WHERE dst NOT IN (SELECT url FROM s{d - 1}))")
+        out.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT url, host, {d} FROM (SELECT n.*, row_number() OVER (PARTITION BY n.host ORDER BY url) + coalesce(u.c, 0) AS r FROM n{d} n LEFT JOIN (SELECT host, count(*) AS c FROM s{d - 1} GROUP BY 1) u ON u.host = n.host) WHERE r <= 500)")
+    return "WITH " + ", ".join(out) + " SELECT url, depth FROM s3"
+
+
+@query("p22_crawl_frontier", "", frontier_sql())
 def _(t):
     e = t.spark.sql(EDGES.format(s="STRING", div="DIV", o="{o}"), o=t.orders)
     return P.crawl_frontier(e.filter("prio = '1-URGENT'").select(F.col("src").alias("url")), e).select("url", "depth")
