@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+FEW = 8  # lists up to this length are written out as one expression
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -39,11 +42,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def any_word(text: str | Column, words: Sequence[str]) -> Column:
-    """Substring test against a short fixed list. A bare column gets one short-circuit OR; a computed text is
-    evaluated once and matched against one alternation of literals."""
+    """Substring test against a short fixed list. A bare column gets one short-circuit OR, or for longer lists one
+    array test, which keeps the generated method small enough to be compiled; a computed text is evaluated once and
+    matched against one alternation of literals."""
     t = col(text)
     if not words:
         return F.lit(False)
+    if _is_plain(t) and len(words) > FEW:
+        return F.coalesce(F.exists(strings(words), lambda w: t.contains(w)), F.lit(False))
     if _is_plain(t):
         return F.coalesce(reduce(lambda a, b: a | b, [t.contains(w) for w in words]), F.lit(False))
     return F.coalesce(t.rlike("|".join(rf"\Q{w}\E" for w in words)), F.lit(False))
@@ -52,6 +58,8 @@ def any_word(text: str | Column, words: Sequence[str]) -> Column:
 def count_words(text: str | Column, words: Sequence[str]) -> Column:
     """How many of the words occur (each counted once); NULL text counts 0."""
     def total(x: Column) -> Column:
+        if len(words) > FEW:
+            return F.when(x.isNotNull(), F.size(F.filter(strings(words), lambda w: x.contains(w))))
         return reduce(lambda a, b: a + b, [x.contains(w).cast("int") for w in words], F.lit(0))
     t = col(text)
     return F.coalesce(total(t) if _is_plain(t) else let(t, total), F.lit(0))
@@ -87,3 +95,9 @@ def map_of(table: dict[str, Sequence[str]]) -> Column:
     for k, v in table.items():
         args += [F.lit(k), strings(v)]
     return F.create_map(*args)
+
+
+def rows_of(array: str | Column) -> Column:
+    """Explode a computed array column. Handed a bare column, Spark adds an emptiness test below the projection and
+    computes the array a second time there; an expression is left alone."""
+    return F.explode(F.filter(col(array), lambda x: x.isNotNull()))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,9 @@ def n_if(cond: Column, name: str) -> Column:
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Put one-row aggregates side by side without a cross product (equal join on a constant)."""
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    """Put one-row aggregates side by side: a union with the missing columns NULL, then the one value of each."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def overview(orgs: DataFrame, contacts: DataFrame, urls: DataFrame, start: dt.datetime,

@@ -69,22 +69,26 @@ def normalized(text: str | Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(spaced, r"\s+", " ")), F.lit(" "))
 
 
-def _has_keyword(norm: Column, keyword: str) -> Column:
+def _probe(keyword: str) -> str:
     k = keyword.lower()
-    return norm.contains(k if len(k.split()) > 1 else f" {k} ")
+    return k if len(k.split()) > 1 else f" {k} "
 
 
 def category_scores(df: DataFrame, lexicon: dict[str, Sequence[str]] = L.CATEGORY_KEYWORDS,
                     weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """Adds ``scores``: an array of (category, score) in lexicon order. One word = exact token, phrase = substring."""
+    def hit(field: str):
+        return lambda w: F.col(f"_n_{field}").contains(w)
+
     out = df
     for f in weights:
         out = out.withColumn(f"_n_{f}", normalized(f))
     entries = []
     for cat, words in lexicon.items():
-        parts = [F.when(_has_keyword(F.col(f"_n_{f}"), w), F.lit(float(p))).otherwise(F.lit(0.0))
-                 for f, p in weights.items() for w in words]
-        entries.append(F.struct(F.lit(cat).alias("category"), reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score")))
+        probes = strings([_probe(w) for w in words])
+        # an array test per field, not one CASE per keyword: the generated method stays small enough to be compiled
+        parts = [F.size(F.filter(probes, hit(f))) * F.lit(float(p)) for f, p in weights.items()]
+        entries.append(F.struct(F.lit(cat).alias("category"), reduce(lambda a, b: a + b, parts).alias("score")))
     return out.withColumn("scores", F.array(*entries)).drop(*[f"_n_{f}" for f in weights])
 
 
@@ -96,7 +100,7 @@ def website_category_scores(pages: DataFrame, key: str, text: str, lexicon: dict
     may hold any share of the pages.
     """
     lex = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w.lower()).alias("keyword"),
-                             F.lit(w.lower() if len(w.split()) > 1 else f" {w.lower()} ").alias("probe"))
+                             F.lit(_probe(w)).alias("probe"))
                     for c, ws in lexicon.items() for w in ws])
     p = pages.select(key, normalized(text).alias("_n"))
     hits = p.select(key, F.explode(F.filter(lex, lambda r: F.col("_n").contains(r["probe"]))).alias("h"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import lexicons as L
 from rosterlake.functions import urls as U
+from rosterlake.functions.text import rows_of
 from rosterlake.operators import scoring as S
 from rosterlake.plans.registry import query, sql_list
 from rosterlake.sources import lexicon as LX
@@ -47,7 +48,7 @@ def texts(t):
 
 @query("c1_category_scores", "", " UNION ALL ".join(f"SELECT id, '{k}' AS category, {k} AS score FROM {C1}" for k in LEX))
 def _(t):
-    return S.category_scores(texts(t), LEX).select("id", F.explode("scores").alias("s")).select("id", "s.category", "s.score")
+    return S.category_scores(texts(t), LEX).select("id", rows_of("scores").alias("s")).select("id", "s.category", "s.score")
 
 
 @query("c1_website_category_scores", "", f"""

@@ -16,6 +16,8 @@ def build_session(app: str = "rosterlake", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # larger generated methods are not compiled by the JVM and run many times slower than plain evaluation
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
         **conf,
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import content as C
 from rosterlake.functions import people as N
 from rosterlake.functions import urls as U
+from rosterlake.functions.text import rows_of
 from rosterlake.operators import engagement as E
 from rosterlake.operators import merge as M
 from rosterlake.operators import pages as P
@@ -66,7 +67,7 @@ def test_best_category_default(spark):
 
 def test_category_score_weights_and_tokens(spark):
     df = spark.createDataFrame([("Farm Water District", "a farming hospital.", "farmland")], "name string, description string, website_text string")
-    got = {r["category"]: r["score"] for r in S.category_scores(df).select(F.explode("scores").alias("s")).select("s.*").collect()}
+    got = {r["category"]: r["score"] for r in S.category_scores(df).select(rows_of("scores").alias("s")).select("s.*").collect()}
     # name: farm, water district; description: farming, hospital; "farmland" is another token
     assert got == {"water": 5.0, "agriculture": 7.0, "healthcare": 2.0, "emergency": 0.0}
 
