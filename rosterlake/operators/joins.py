@@ -81,10 +81,14 @@ def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, m
     base = texts.select(key, F.lower(text).alias("_t"))
 
     def by_literals(rows: list) -> DataFrame:
-        lit = F.array(*[F.struct(F.lit(r[0]).alias("category"), F.lit(r[1]).alias("keyword"),
-                                 F.lit(float(r[2])).alias("weight")) for r in rows])
+        # one test per distinct keyword; its lexicon rows follow from the hit
+        entries: dict[str, list] = {}
+        for category, keyword, weight in rows:
+            entries.setdefault(keyword, []).append(F.struct(F.lit(category).alias("category"), F.lit(float(weight)).alias("weight")))
+        lit = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("entries")) for k, v in entries.items()])
         hit = F.filter(lit, lambda r: F.col("_t").contains(r["keyword"]))
-        return base.select(key, F.explode(hit).alias("h")).select(key, "h.category", "h.keyword", "h.weight")
+        found = base.select(key, F.explode(hit).alias("h"))
+        return found.select(key, "h.keyword", F.explode("h.entries").alias("e")).select(key, "e.category", "keyword", "e.weight")
 
     if len(head) <= max_literals:
         return by_literals(head or [("", "\u0000", 0.0)])
