@@ -93,6 +93,11 @@ def extract_links(pages: DataFrame, page: str = "page_id", ignore: Sequence[str]
     return l.filter((host("link") == host("url")) & ~F.lower("link").rlike("|".join(ignore))).select(page, "url", "link").distinct()
 
 
+def prioritized_links(links: DataFrame, page: str = "page_id", words: Sequence[str] = PRIORITY_PAGES) -> DataFrame:
+    """Links with a priority word first."""
+    return links.withColumn("high", any_word(F.lower("link"), words)).orderBy(page, F.desc("high"), "link")
+
+
 def page_type(url: str | Column, title: Column, h1: Column) -> Column:
     """By the end of the address, then by title or first heading, then homepage, else other."""
     u = F.regexp_replace(F.lower(col(url)), "/+$", "")
@@ -262,17 +267,17 @@ def table_rows(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> D
     tables = F.filter(els, lambda e: e["tag"] == "table")
 
     def cells(r: Column) -> Column:
-        return F.filter(els, lambda e: H.inside(e, r) & e["tag"].isin("td", "th"))
+        return F.filter(H.descendants(r), lambda e: e["tag"].isin("td", "th"))
 
     def rows(t: Column) -> Column:
-        return F.filter(els, lambda e: H.inside(e, t) & (e["tag"] == "tr"))
+        return F.filter(H.descendants(t), lambda e: (e["tag"] == "tr"))
 
     def mail(c: Column) -> Column:
         return F.coalesce(H.mailto(H.first_inside(c, lambda e: (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False)))), F.lit(""))
 
     found = F.transform(tables, lambda t: F.struct(
         t["seq"].alias("seq"), H.text_of(t).alias("body"),
-        F.transform(F.filter(els, lambda e: H.inside(e, t) & (e["tag"] == "th")), lambda e: F.lower(H.text_of(e))).alias("th"),
+        F.transform(F.filter(H.descendants(t), lambda e: (e["tag"] == "th")), lambda e: F.lower(H.text_of(e))).alias("th"),
         F.transform(rows(t), lambda r: F.struct(r["seq"].alias("seq"), r["cls"].alias("cls"), F.transform(cells(r), lambda c: H.text_of(c)).alias("cells"),
                                                 F.transform(cells(r), mail).alias("mails"))).alias("rows")))
     q = parsed.select(*keep, F.explode(found).alias("t"))
@@ -375,7 +380,7 @@ def people_from_sections(parsed: DataFrame, keep: Sequence[str] = ("page_id", "u
     found = F.transform(paras, lambda p: F.struct(
         p["seq"].alias("seq"), H.text_of(p).alias("body"), H.text_of(_section_of(p, heads)).alias("heading"),
         H.mailto(H.first_inside(p, lambda e: (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False)))).alias("mail"),
-        F.exists("elements", lambda e: H.inside(e, p) & e["tag"].isin("p", "div", *heads)).alias("outer")))
+        F.exists(H.descendants(p), lambda e: e["tag"].isin("p", "div", *heads)).alias("outer")))
     q = parsed.select(*keep, F.explode(found).alias("p")).select(*keep, "p.*")
     q = q.filter(~F.col("outer") & (F.length("body") >= 10) & any_word(F.lower("heading"), SECTION_WORDS))
     title = F.trim(F.regexp_extract("body", TWO_WORD_NAME + r"[,:\s]+([^,\n]+?)(?:,|\n|$)", 2))
@@ -401,7 +406,7 @@ def people_from_departments(parsed: DataFrame, keep: Sequence[str] = ("page_id",
     found = F.transform(people, lambda p: F.struct(
         p["seq"].alias("seq"), H.text_of(p).alias("name"), H.text_of(department(p)).alias("department"), H.text_of(block(p)).alias("around"),
         F.trim(F.regexp_extract(F.substr("text", p["t1"] + 1, block(p)["t1"] - p["t1"]), r"^[\s,:–-]*([^\n]*)", 1)).alias("after"),
-        H.mailto(F.get(F.filter(els, lambda e: H.inside(e, block(p)) & (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False))), F.lit(0))).alias("mail"),
+        H.mailto(F.get(F.filter(H.descendants(block(p)), lambda e: (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False))), F.lit(0))).alias("mail"),
         F.regexp_extract(F.get(F.filter(els, lambda e: (e["seq"] > p["seq"]) & F.coalesce(e["href"].startswith("tel:"), F.lit(False))), F.lit(0))["href"], "^tel:(.*)$", 1).alias("tel")))
     q = parsed.select(*keep, F.explode(found).alias("p")).select(*keep, "p.*").filter(nonblank("department") & F.length("name").between(4, 40))
     q = (q.withColumn("job_title", F.trim(F.regexp_replace("after", N.EMAIL_IN_TEXT + "|" + N.PHONE_ANY, "")))
@@ -419,7 +424,7 @@ def people_from_definitions(parsed: DataFrame, keep: Sequence[str] = ("page_id",
         return F.get(F.filter(els, lambda e: (e["seq"] > d["seq"]) & (e["tag"] == "dd")), F.lit(0))
 
     def link(d: Column, mark: str) -> Column:
-        return F.get(F.filter(els, lambda e: H.inside(e, answer(d)) & F.coalesce(e["href"].startswith(mark), F.lit(False))), F.lit(0))["href"]
+        return F.get(F.filter(H.descendants(answer(d)), lambda e: F.coalesce(e["href"].startswith(mark), F.lit(False))), F.lit(0))["href"]
 
     found = F.transform(F.filter(els, lambda e: e["tag"] == "dt"), lambda d: F.struct(
         d["seq"].alias("seq"), H.text_of(d).alias("name"), H.text_of(answer(d)).alias("body"),
@@ -434,7 +439,10 @@ def people_from_definitions(parsed: DataFrame, keep: Sequence[str] = ("page_id",
 
 def people_from_grids(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Grid rows without a header: cells are told apart by content, then by place. Only for pages with an `@`."""
-    r = table_rows(parsed, keep).filter(F.col("cls").contains("gridrow") & (F.size("cells") >= 2))
+    els = F.col("elements")
+    with_mail = F.exists(els, lambda e: (e["tag"] == "td") & F.coalesce(F.get(els, e["parent"])["cls"].contains("gridrow"), F.lit(False))
+                         & H.text_of(e).contains("@"))
+    r = table_rows(parsed.filter(with_mail), keep).filter(F.col("cls").contains("gridrow") & (F.size("cells") >= 2))
     mail = F.transform("cells", lambda c: N.first_email(c))
     phone = F.transform("cells", lambda c: F.when(N.first_email(c).isNull(), N.first_phone(c, N.PHONE_ANY)))
 
@@ -442,12 +450,11 @@ def people_from_grids(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url"
         c = F.get("cells", F.lit(i))
         return F.when(N.first_email(c).isNull() & N.first_phone(c, N.PHONE_ANY).isNull(), c)
 
-    q = (r.withColumn("_has", F.exists("cells", lambda c: c.contains("@"))).withColumn("name", F.coalesce(placed(0), F.lit("")))
+    q = (r.withColumn("name", F.coalesce(placed(0), F.lit("")))
          .withColumn("job_title", placed(1)).withColumn("department", F.coalesce(placed(2), F.lit("")))
          .withColumn("email", F.get(F.reverse(F.filter(mail, lambda x: x.isNotNull())), F.lit(0)))
          .withColumn("phone", F.get(F.reverse(F.filter(phone, lambda x: x.isNotNull())), F.lit(0))))
-    pages_with_mail = q.groupBy(*keep).agg(F.max("_has").alias("_any"))
-    q = q.join(pages_with_mail.filter("_any"), list(keep), "left_semi").filter(nonblank("name") | nonblank("email"))
+    q = q.filter(nonblank("name") | nonblank("email"))
     out = _people(q, [*keep, "department"], 0.75, "grids", parse=False)
     return out.withColumn("relevance", S.title_department_score("job_title", "department"))
 
@@ -457,7 +464,7 @@ def people_from_paragraphs(parsed: DataFrame, profiles: Sequence[dict], keep: Se
     from rosterlake.operators.joins import first_matching_profile
     els = F.col("elements")
     paras = F.transform(F.filter(els, lambda e: e["tag"].isin("p", "div", "li")), lambda p: F.struct(p["seq"].alias("seq"), H.text_of(p).alias("body"),
-        F.exists(els, lambda e: H.inside(e, p) & e["tag"].isin("p", "div", "li")).alias("outer")))
+        F.exists(H.descendants(p), lambda e: e["tag"].isin("p", "div", "li")).alias("outer")))
     q = parsed.select(*keep, F.explode(paras).alias("p")).select(*keep, "p.*").filter(~F.col("outer") & F.length("body").between(10, 300))
     shape = r"([A-Z][a-z]+)\s+([A-Z][a-z]+),\s*([A-Za-z\s&]+)"
     q = (q.withColumn("first_name", N.found("body", shape, 1)).withColumn("last_name", N.found("body", shape, 2))
@@ -519,7 +526,7 @@ def organizations_from_listing(parsed: DataFrame, states: Sequence[str], terms:
                         F.coalesce(link["href"], e["href"]).alias("href"), H.text_of(e).alias("body"))
 
     def cells(e: Column) -> Column:
-        return F.size(F.filter(els, lambda x: H.inside(x, e) & (x["tag"] == "td")))
+        return F.size(F.filter(H.descendants(e), lambda x: (x["tag"] == "td")))
 
     rows = F.filter(els, lambda e: (e["tag"] == "tr") & (cells(e) >= min_cells) & (cells(e) > 0))
     levels = [F.when(F.size(rows) >= min_rows, F.transform(rows, lambda e: pick(e, 1))),

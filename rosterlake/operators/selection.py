@@ -14,9 +14,20 @@ from rosterlake.functions.text import blank_to_null, col, nonblank
 from rosterlake.operators.predicates import first_listed, has_value, in_list
 
 
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+
+
 def rank_within(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int,
                 rank: str | None = None) -> DataFrame:
-    """First ``n`` rows per group; ``order`` must end in a unique column."""
+    """First ``n`` rows per group; ``order`` must end in a unique column.
+
+    Spark limits groups below the shuffle only up to ``GROUP_LIMIT`` rows; for more, each group is first cut in
+    parts by input partition, so that a hot group is spread over many tasks before its final rank.
+    """
+    if n > GROUP_LIMIT:
+        part = df.withColumn("_part", F.spark_partition_id() % 64)
+        w = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = part.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank", "_part")
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     out = df.withColumn("_rank", r).filter(F.col("_rank") <= n)
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")

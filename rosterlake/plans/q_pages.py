@@ -3,8 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rosterlake.functions import people as N
-from rosterlake.functions.text import any_word
 from rosterlake.operators import pages as P
 from rosterlake.plans.q_scoring import LEX, LEX23, count_sql
 from rosterlake.plans.q_text import HTML_TEXT_SQL
@@ -336,3 +334,17 @@ def _(t):
         from rosterlake.functions.urls import short_id, tracking_url
         m = m.withColumn("body", F.replace("body", tracking_url("https://t.org", short_id("contact_id", "email_id", F.lit(i))), F.lit(f"T{i}")))
     return m.select("email_id", "body")
+
+
+@query("p19_staff_links_on_staff_pages", "staff", """
+SELECT page_id, regexp_extract(url, '^(https://[^/]*)', 1) || unnest(['/x' || town, '/our-directory']) AS link FROM staff""")
+def _(t):
+    html = F.expr("'<a href=\"/x' || CAST(town AS STRING) || '\">Department  Heads</a><a href=\"/news\">News</a><a href=\"/our-directory#top\">all</a><a href=\"mailto:staff@x\">staff</a>'")
+    return P.staff_links(t.staff.select("page_id", "url", html.alias("html"))).select("page_id", "link")
+
+
+@query("t10_link_priority", "", rf"""
+SELECT DISTINCT page_id, {ABS} AS link, {has('lower(' + ABS + ')', P.PRIORITY_PAGES)} AS high FROM {LINKS} WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:)') AND starts_with({ABS}, {ROOT} || '/')
+ AND NOT regexp_matches(lower({ABS}), '\.pdf$|\.docx?$|\.xlsx?$|\.pptx?$|\.zip$|login|signin|register|cart|shop|store|privacy|terms|careers|jobs')""")
+def _(t):
+    return P.prioritized_links(P.extract_links(t.pages)).select("page_id", "link", "high")

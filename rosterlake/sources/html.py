@@ -97,12 +97,14 @@ def inside(e: Column, outer: Column) -> Column:
     return (e["seq"] > outer["seq"]) & (e["seq"] <= outer["last"])
 
 
+def descendants(outer: Column, elements: str = "elements") -> Column:
+    """Elements inside another: they follow it in the list, so this is a slice, not a search over the page."""
+    return F.slice(F.col(elements), outer["seq"] + 2, outer["last"] - outer["seq"])
+
+
 def first_inside(outer: Column, *conditions, elements: str = "elements") -> Column:
     """First descendant meeting the first condition that any descendant meets."""
-    def both(cond):
-        return lambda e: inside(e, outer) & cond(e)
-
-    found = [F.get(F.filter(F.col(elements), both(c)), F.lit(0)) for c in conditions]
+    found = [F.get(F.filter(descendants(outer, elements), c), F.lit(0)) for c in conditions]
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
