@@ -1,13 +1,15 @@
 """Upserts, merges and changes."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from rosterlake.operators import merge as M
 from rosterlake.operators.predicates import ts
 from rosterlake.plans.registry import query
 
-AS_OF = ts("2001-08-02 00:00:00")
+AS_OF = dt.datetime(2001, 8, 2)
 KEY = "lower(trim(CASE WHEN trim(email) <> '' THEN email END))"
 
 
@@ -24,7 +26,7 @@ FROM contacts c LEFT JOIN (SELECT n.*, t.id FROM n JOIN t USING (k)) p ON p.id =
 UNION ALL SELECT NULL, organization_id, first_name, last_name, job_title, email, phone, contact_relevance_score, false FROM n WHERE k NOT IN (SELECT k FROM t)
 UNION ALL SELECT NULL, organization_id, first_name, last_name, job_title, email, phone, contact_relevance_score, false FROM f WHERE k IS NULL)""")
 def _(t):
-    return M.upsert_contacts_by_email(t.contacts, t.incoming_contacts, AS_OF).select(
+    return M.upsert_contacts_by_email(t.contacts, t.incoming_contacts, ts(AS_OF)).select(
         "id", "organization_id", "first_name", "last_name", "job_title", "email", "phone",
         F.round("contact_relevance_score", 6).alias("contact_relevance_score"), F.col("last_updated").isNotNull().alias("updated"))
 
