@@ -1,13 +1,17 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import quality_rules, sharding
+from rosterlake.llm import decontaminate, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
+    "op4_prefix_join": decontaminate.op4_prefix_join,
     "op5_jump_hash": sharding.op5_jump_hash,
+    "op10_temperature": mixing.op10_temperature,
 }
 ORACLES = {
     "op1_line_frequency": quality_rules.SQL,
+    "op4_prefix_join": decontaminate.SQL,
     "op5_jump_hash": sharding.SQL,
+    "op10_temperature": mixing.SQL,
 }
