@@ -1,12 +1,13 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import decontaminate, mixing, quality_rules, sharding
+from rosterlake.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
     "op4_prefix_join": decontaminate.op4_prefix_join,
     "op5_jump_hash": sharding.op5_jump_hash,
+    "op8_minhash_forest": ngram_join.op8_minhash_forest,
     "op10_temperature": mixing.op10_temperature,
 }
 ORACLES = {
