@@ -1,11 +1,12 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, url_filters
+from rosterlake.llm import decontaminate, license_scans, mixing, ngram_join, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
     "op2_template_tree": url_filters.op2_template_tree,
+    "op3_digest_lookup": license_scans.op3_digest_lookup,
     "op4_prefix_join": decontaminate.op4_prefix_join,
     "op5_jump_hash": sharding.op5_jump_hash,
     "op8_minhash_forest": ngram_join.op8_minhash_forest,
@@ -14,6 +15,7 @@ QUERIES = {
 ORACLES = {
     "op1_line_frequency": quality_rules.SQL,
     "op2_template_tree": url_filters.SQL,
+    "op3_digest_lookup": license_scans.SQL,
     "op4_prefix_join": decontaminate.SQL,
     "op5_jump_hash": sharding.SQL,
     "op10_temperature": mixing.SQL,
