@@ -83,8 +83,3 @@ def components(edges: DataFrame) -> DataFrame:
             return new.select("node", "root")
         label = new.select("node", "root")
 
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased and nothing else; the fast built-in serves where no other letter of the text would change."""
-    others = text.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]")
-    return F.when(others, F.translate(text, LETTERS_UP, LETTERS_LOW)).otherwise(F.lower(text))

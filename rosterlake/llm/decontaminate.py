@@ -4,16 +4,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import LETTERS_LOW, LETTERS_UP, join_sized, lower_ascii, row_key, spill, table
+from rosterlake.llm.common import LETTERS_LOW, LETTERS_UP, join_sized, row_key, spill, table
 
 WINDOW = 10
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # A-Z are letters until they are lower-cased
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text):
-    """Words in order; the first or last entry is empty where the text begins or ends between words."""
-    return F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN)
+    """Words in order, in their own case; the first or last entry is empty where the text begins or ends between words."""
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN)
+
+
+def _lower(text):
+    """A-Z lower-cased and nothing else; for ASCII the faster built-in does the same."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, LETTERS_UP, LETTERS_LOW))
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -21,32 +26,39 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     words = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.array_remove(_words(F.col("text")), "").alias("ws")).where(F.size("ws") > 0)
     starts = words.select("item", "ws", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))).alias("at"))
     piece = F.slice("ws", F.col("at"), F.least(F.lit(window), F.size("ws")))
-    return starts.select("item", F.array_join(piece, " ").alias("wkey"), F.size(piece).alias("n"))
+    return starts.select("item", _lower(F.array_join(piece, " ")).alias("wkey"), F.size(piece).alias("n"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, hits, n_hit, n_items, items_sha256) of each distinct document row in which a benchmark window occurs.
 
-    Words are ordered by how often the documents use them. A window can only occur where its rarest word does, so that one word is
-    its prefix: documents are joined on it, the start it implies must lie inside the document, and the words there are compared.
+    Words are ordered by how often the documents use them (words are joined by their 64-bit hash; what counts is the comparison at the
+    end). A window can only occur where its rarest word does, so that one word is its prefix: documents are joined on it, the start it
+    implies must lie inside the document, and the words there are compared.
     """
     pairs = spill(windows_of(benchmark, window).distinct())
     wins = pairs.select("wkey", "n").distinct()
-    spelled = wins.select("wkey", "n", F.posexplode_outer(F.split("wkey", " ")).alias("off", "word"))
+    spelled = wins.select("wkey", "n", F.posexplode_outer(F.split("wkey", " ")).alias("off", "word")).select("wkey", "n", "off", F.xxhash64("word").alias("word"))
     vocabulary = spill(spelled.select("word").distinct())
+    hashed = F.xxhash64(_lower(F.col("word"))).alias("word")
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text")
-    used = join_sized(docs.select(F.explode_outer(_words(F.col("text"))).alias("word")), vocabulary, ["word"]).groupBy("word").agg(F.count("*").alias("uses"))
-    rarest = spelled.join(spill(used), "word").groupBy("wkey", "n").agg(F.count_distinct("word").alias("known"), F.size(F.array_distinct(F.split(F.first("wkey"), " "))).alias("needed"),
-                                                                     F.min(F.struct("uses", "word", "off")).alias("p"))
-    prefix = spill(rarest.where("known = needed").select("wkey", "n", "p.word", "p.off"))
+    used = docs.select(F.explode_outer(_words(F.col("text"))).alias("word")).select(hashed)
+    used = spill(join_sized(used, vocabulary, ["word"]).groupBy("word").agg(F.count("*").alias("uses")))
+    rarest = spelled.join(used, "word", "left").groupBy("wkey", "n").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word", "off")).alias("p"))
+    prefix = spill(rarest.where("p.uses > 0").select("wkey", "n", "p.word", "p.off"))
     places = keyed.select("rid", _words(F.col("text")).alias("ws")).select("rid", F.size("ws").alias("size"), F.posexplode_outer("ws").alias("pos", "word"))
+    places = places.select("rid", "size", "pos", hashed)
     found = join_sized(places, prefix, ["word"]).select("rid", "size", (F.col("pos") - F.col("off")).alias("start"), "n", "wkey")
     found = spill(found.where("start >= 0 AND start + n <= size").select("rid", "start", "n", "wkey").distinct())
     per_row = found.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "wkey")).alias("places"))
     texts = join_sized(keyed, found.select("rid").distinct(), ["rid"], "left_semi")
-    rows = texts.join(per_row, "rid").select("rid", "places", _words(F.col("text")).alias("ws"))
-    exact = F.filter("places", lambda c: F.array_join(F.slice("ws", c["start"] + 1, c["n"]), " ") == c["wkey"])
-    rows = spill(rows.select("rid", exact.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["rid"]))
+
+    def same(ws):
+        """The places where the words are those of the window; ``ws`` is bound once for a document."""
+        return F.filter("places", lambda c: _lower(F.array_join(F.slice(ws, c["start"] + 1, c["n"]), " ")) == c["wkey"])
+
+    rows = texts.join(per_row, "rid").select("rid", F.element_at(F.transform(F.array(_words(F.col("text"))), same), 1).alias("hits"))
+    rows = spill(rows.where(F.size("hits") > 0).dropDuplicates(["rid"]))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
     named = rows.select("rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["wkey"]))).alias("wkey")).join(pairs.select("wkey", "item"), "wkey")
     named = named.groupBy("rid").agg(F.collect_set("item").alias("items"))
