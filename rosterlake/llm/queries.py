@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import decontaminate, license_scans, mixing, ngram_join, quality_rules, sharding, toxicity, url_filters, warc
+from rosterlake.llm import decontaminate, license_scans, lm_scoring, mixing, ngram_join, quality_rules, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_digest_lookup": license_scans.op3_digest_lookup,
     "op4_prefix_join": decontaminate.op4_prefix_join,
     "op5_jump_hash": sharding.op5_jump_hash,
+    "op6_attention": lm_scoring.op6_attention,
     "op7_indexed_archives": warc.op7_indexed_archives,
     "op8_minhash_forest": ngram_join.op8_minhash_forest,
     "op9_field_marginals": toxicity.op9_field_marginals,
