@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rosterlake.llm.common import HASH_BITS, hash60, join_sized, row_key, spill, table
 
 MAX_EPOCHS = 2.0
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 SEED = 7
 HALVINGS = 20  # steps of the bisection; five are answered by one job
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterlake.llm.common import HASH_BITS, hash60, join_sized, spill, table
 
 N_SHARDS = 16
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 STEP = np.uint64(2862933555777941757)  # fixed multiplier of the published algorithm
 
 

@@ -1,11 +1,18 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query of the library against its SQL on the smallest tables."""
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
 from check import compare, duck
+from rosterlake.plans import load_all
+from rosterlake.plans.registry import ORACLES as SQL
+from rosterlake.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +22,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    ok, message = compare(spark, con, name, QUERIES[name], SQL.get(name), SF)
+    ok, message = compare(spark, con, name, QUERIES[name], SQL[name], SF)
     assert ok, message
 
 
@@ -25,3 +32,8 @@ def test_entry_returns_rows(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_queries_load_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
