@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlake.functions.text import blank_to_null, map_of, strings
 
@@ -69,36 +73,43 @@ def first_url_match(rows: DataFrame, urls: DataFrame, source_url: str = "source_
     return rows.join(first, rows[source_url] == first["url"]).drop(first["url"])
 
 
-def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, max_literals: int = 500) -> DataFrame:
-    """Containment join: one row per (key, lexicon row) whose keyword occurs in the text, case-insensitive.
+def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, block: int = 50_000) -> DataFrame:
+    """Containment join: one row per text row and lexicon row whose keyword occurs in the text, case-insensitive.
 
-    A small lexicon (size checked) becomes an array literal and the scan stays one pass. A larger one is joined
-    on three-character grams: every keyword is filed under its first gram, every text offers its distinct grams, and
-    the pair is then verified. Keywords shorter than a gram stay literals; there are only so many of them.
+    Distinct keywords are dealt into blocks of about ``block``; each block is one multi-pattern automaton that scans all texts in one
+    pass, so memory is bounded by the block and work grows with the number of blocks. Categories and weights are joined to the hits by
+    keyword. Repeated text rows, NULL keys, repeated lexicon rows and NULL weights all count as they are; NULL texts and empty or
+    NULL keywords hit nothing.
     """
     lex = lexicon.select("category", F.lower("keyword").alias("keyword"), "weight").filter(F.length("keyword") > 0)
-    head = lex.limit(max_literals + 1).collect()
-    base = texts.select(key, F.lower(text).alias("_t"))
-
-    def by_literals(rows: list) -> DataFrame:
-        # one test per distinct keyword; its lexicon rows follow from the hit
-        entries: dict[str, list] = {}
-        for category, keyword, weight in rows:
-            entries.setdefault(keyword, []).append(F.struct(F.lit(category).alias("category"), F.lit(float(weight)).alias("weight")))
-        lit = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("entries")) for k, v in entries.items()])
-        hit = F.filter(lit, lambda r: F.col("_t").contains(r["keyword"]))
-        found = base.select(key, F.explode(hit).alias("h"))
-        return found.select(key, "h.keyword", F.explode("h.entries").alias("e")).select(key, "e.category", "keyword", "e.weight")
-
-    if len(head) <= max_literals:
-        return by_literals(head or [("", "\u0000", 0.0)])
-    grams = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"(?s)(?=(.{3}))"), 1))
-    longer = lex.filter(F.length("keyword") >= 3).withColumn("_g", F.substring("keyword", 1, 3))
-    # the text column is fetched again by key after the gram join, so grams travel without it
-    pairs = base.select(key, F.explode(grams).alias("_g")).join(longer, "_g").drop("_g")
-    hits = pairs.join(base, key).filter(F.col("_t").contains(F.col("keyword"))).drop("_t")
-    short = lex.filter(F.length("keyword") < 3).distinct().collect()
-    return hits.unionByName(by_literals(short)) if short else hits
+    words = lex.select("keyword").distinct()
+    base = texts.select(F.col(key).alias("_key"), F.lower(text).alias("_t")).filter("_t IS NOT NULL")
+    blocks = max(1, -(-words.count() // block))
+    schema = T.StructType([T.StructField("_key", base.schema["_key"].dataType), T.StructField("keyword", T.StringType())])
+    hits = None
+    for b in range(blocks):
+        listed = [r["keyword"] for r in words.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).collect()]
+        found = base.mapInArrow(_keyword_scan(texts.sparkSession.sparkContext.broadcast(listed)), schema)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(lex, "keyword").select(F.col("_key").alias(key), "category", "keyword", "weight")
+
+
+def _keyword_scan(listed):
+    def scan(batches):
+        if not listed.value:
+            return
+        found = ahocorasick.Automaton()
+        for w in listed.value:
+            found.add_word(w, w)
+        found.make_automaton()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                hits = [list({w for _, w in found.iter(t)}) for t in part.column("_t").to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(hits)), [len(h) for h in hits]))
+                yield pa.RecordBatch.from_arrays([part.column("_key").take(rows), pa.array([w for h in hits for w in h], pa.string())], names=["_key", "keyword"])
+
+    return scan
 
 
 def first_matching_profile(df: DataFrame, profiles: Sequence[dict], title: str = "job_title",
@@ -153,9 +164,10 @@ FALLBACK_TITLES = ["Manager", "Director", "Supervisor", "Engineer"]
 # ---- end of fixed values --------------------------------------------------------------------
 
 
-def position_searches(orgs: DataFrame, titles_by_type: dict[str, Sequence[str]], used_patterns: int = 4,
+def position_searches(orgs: DataFrame, titles_by_type: dict[str, Sequence[str]], used_patterns: int | None = None,
                       location: str = "city") -> DataFrame:
-    """Search texts to find people by position: own titles, then common ones, times the first patterns."""
+    """Search texts to find people by position: own titles, then common ones, times all patterns (or the first ``used_patterns``)."""
+    patterns = POSITION_PATTERNS[:used_patterns]
     default = titles_by_type.get("municipal") or FALLBACK_TITLES
     own = F.coalesce(map_of(titles_by_type)[F.col("org_type")], strings(default))
     titles = F.array_distinct(F.concat(own, strings(COMMON_TITLES)))
@@ -165,8 +177,8 @@ def position_searches(orgs: DataFrame, titles_by_type: dict[str, Sequence[str]],
     loc = F.when((state != "") & ~F.lower(loc).contains(F.lower(state)), F.concat(loc, F.lit(", "), state)).otherwise(loc)
     q = (orgs.select("id", "name", org.alias("_o"), state.alias("_s"), loc.alias("_l"),
                      F.posexplode(titles).alias("title_rank", "title"))
-         .withColumn("p", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(used_patterns - 1)).alias("n"),
-                                                 strings(POSITION_PATTERNS[:used_patterns]).alias("pattern")))))
+         .withColumn("p", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(len(patterns) - 1)).alias("n"),
+                                                 strings(patterns).alias("pattern")))))
     text = F.col("p.pattern")
     for mark, c in (("{org}", "_o"), ("{location}", "_l"), ("{state}", "_s"), ("{title}", "title")):
         text = F.replace(text, F.lit(mark), F.col(c))

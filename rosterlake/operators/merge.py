@@ -35,21 +35,14 @@ def email_key(c: str = "email") -> Column:
     return F.lower(F.trim(blank_to_null(c)))
 
 
-def attach_notes(df: DataFrame, lines: DataFrame, inline_limit: int = 1000, notes: str | None = None) -> DataFrame:
-    """Join note lines (id, ord, line) into one text per row when there are at most ``inline_limit`` of them.
-
-    A row with more keeps ``notes_in_lines = true`` and its text stays in the line table, where it is whole: one cell
-    cannot hold an unbounded group.
-    """
-    n = lines.groupBy("id").agg(F.count("*").alias("_n"))
-    small = lines.join(n.filter(F.col("_n") <= inline_limit).select("id"), "id", "left_semi")
-    text = small.groupBy("id").agg(
+def attach_notes(df: DataFrame, lines: DataFrame, notes: str | None = None) -> DataFrame:
+    """Join all note lines (id, ord, line) of a row into its text, after its old text. The text is as long as the group: where
+    groups are unbounded use the line table itself (:func:`merge_note_lines`, :func:`crawled_note_lines`)."""
+    text = lines.groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("_text"))
     old = blank_to_null(notes) if notes and notes in df.columns else F.lit(None).cast("string")
-    out = df.join(n, "id", "left").join(text, "id", "left")
     joined = F.concat_ws("\n", old, F.col("_text"))
-    return (out.withColumn("notes", F.when(joined != "", joined))
-            .withColumn("notes_in_lines", F.coalesce(F.col("_n") > inline_limit, F.lit(False))).drop("_n", "_text"))
+    return df.join(text, "id", "left").withColumn("notes", F.when(joined != "", joined)).drop("_text")
 
 
 # ---- contacts -------------------------------------------------------------------------------
@@ -88,7 +81,9 @@ def match_finds(stored: DataFrame, found: DataFrame, within_organization: bool =
                .groupBy("organization_id", "first_name", "last_name").agg(F.min("id").alias("_by_name")))
     f = (found.filter(nonblank("first_name") & F.col("organization_id").isNotNull()).withColumn("_k", email_key())
          .withColumn("last_name", F.coalesce("last_name", F.lit(""))))
-    j = f.join(by_email, ekeys, "left").join(by_name, ["organization_id", "first_name", "last_name"], "left")
+    # finds without an e-mail take no part in that join, so no task gets them all under one NULL key
+    j = f.filter("_k IS NOT NULL").join(by_email, ekeys, "left").unionByName(f.filter("_k IS NULL"), allowMissingColumns=True)
+    j = j.join(by_name, ["organization_id", "first_name", "last_name"], "left")
     return (j.withColumn("target_id", F.coalesce("_by_email", "_by_name"))
             .withColumn("matched_by", F.when(F.col("_by_email").isNotNull(), "email").when(F.col("_by_name").isNotNull(), "name"))
             .drop("_by_email", "_by_name"))
@@ -97,15 +92,26 @@ def match_finds(stored: DataFrame, found: DataFrame, within_organization: bool =
 def new_from_finds(matched: DataFrame, seq: str, defaults: dict[str, Column]) -> DataFrame:
     """Unmatched finds, one per e-mail, else one per (organization, first, last); the first one wins."""
     from rosterlake.operators.selection import rank_within
-    key = F.coalesce(F.concat(F.lit("e:"), "_k"), F.concat_ws("|", F.lit("n:"), "organization_id", "first_name", "last_name"))
-    fresh = rank_within(matched.filter("target_id IS NULL").withColumn("_key", key), ["_key"], [F.asc(seq)], 1)
+    key = F.when(F.col("_k").isNull(), F.struct("organization_id", "first_name", "last_name"))
+    fresh = rank_within(matched.filter("target_id IS NULL").withColumn("_key", key), ["_k", "_key"], [F.asc(seq)], 1)
     for c, v in defaults.items():
         fresh = fresh.withColumn(c, v)
     return fresh.drop("_key", "_k", "target_id", "matched_by")
 
 
-def upsert_crawled_contacts(stored: DataFrame, found: DataFrame, seq: str = "seq", decision_maker: str = "is_decision_maker",
-                            inline_limit: int = 1000) -> DataFrame:
+def crawled_note_lines(stored: DataFrame, found: DataFrame, seq: str = "seq") -> DataFrame:
+    """(id, ord, line): what :func:`upsert_crawled_contacts` notes about finds of another organization, one row per note."""
+    return _organization_notes(stored, match_finds(stored, found), seq)
+
+
+def _organization_notes(stored: DataFrame, matched: DataFrame, seq: str) -> DataFrame:
+    hits = matched.filter((F.col("matched_by") == "email")).withColumn("id", F.col("target_id"))
+    old_org = stored.select("id", F.col("organization_id").alias("_org"))
+    return (hits.join(old_org, "id").filter(~F.col("organization_id").eqNullSafe(F.col("_org")))
+            .select("id", F.col(seq).alias("ord"), F.concat(F.lit("Also associated with organization ID: "), F.col("organization_id")).alias("line")))
+
+
+def upsert_crawled_contacts(stored: DataFrame, found: DataFrame, seq: str = "seq", decision_maker: str = "is_decision_maker") -> DataFrame:
     """E-mail match: fill blanks, raise relevance to 7 (decision makers) or 5, note another organization.
     Name match inside the organization: fill e-mail, phone and title. Otherwise a new row."""
     m = match_finds(stored, found).withColumn("_rel", F.when(F.col(decision_maker), 7.0).otherwise(5.0))
@@ -122,10 +128,7 @@ def upsert_crawled_contacts(stored: DataFrame, found: DataFrame, seq: str = "seq
         kept = kept.withColumn(c, F.coalesce(blank_to_null(c), F.col(f"_n_{c}"), F.col(c)))
     rel = F.col("contact_relevance_score")
     kept = kept.withColumn("contact_relevance_score", F.when(F.col("_rel") > F.coalesce(rel, F.lit(0.0)), F.col("_rel")).otherwise(rel))
-    old_org = stored.select("id", F.col("organization_id").alias("_org"))
-    lines = (hits.filter(by_email).join(old_org, "id").filter(~F.col("organization_id").eqNullSafe(F.col("_org")))
-             .select("id", order.alias("ord"), F.concat(F.lit("Also associated with organization ID: "), F.col("organization_id")).alias("line")))
-    kept = attach_notes(kept.select(*stored.columns), lines, inline_limit, "notes")
+    kept = attach_notes(kept.select(*stored.columns), _organization_notes(stored, m, seq), "notes")
     fresh = new_from_finds(m, seq, {"contact_relevance_score": F.col("_rel"), "contact_confidence_score": F.lit(0.7)})
     fresh = fresh.select([c for c in fresh.columns if c in kept.columns])
     return kept.unionByName(fresh, allowMissingColumns=True)

@@ -6,10 +6,13 @@ page's row and explodes only what it found, so no page meets another.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlake.functions import people as N
 from rosterlake.functions.content import html_to_text
@@ -174,40 +177,39 @@ def _people(df: DataFrame, keep: Sequence[str], confidence: float, method: str,
                     F.lit(method).alias("method"))
 
 
-PERSON_LD = "name string, jobTitle string, email string, telephone string, `@type` string, type string"
-_P = f"struct<{PERSON_LD.replace(' string', ':string')}>"
+PERSON_LD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("name", "job_title", "email", "phone")]))
+
+
+@F.pandas_udf(PERSON_LD)
+def _people_of_blocks(blocks: pd.Series) -> pd.Series:
+    """Persons of a page's JSON-LD blocks in document order, through members or employees of organizations to any depth."""
+    def is_a(x: dict, kind: str) -> bool:
+        return any(kind == v or isinstance(v, list) and kind in v for v in (x.get("@type"), x.get("type")))
+
+    def text(v) -> str | None:
+        return v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list, bool)) else str(v)
+
+    def people(block: str) -> list[dict]:
+        try:
+            todo, out = [json.loads(block)], []
+        except (ValueError, RecursionError):
+            return []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):
+                todo.extend(reversed(x))
+            elif isinstance(x, dict) and is_a(x, "Person"):
+                out.append({"name": text(x.get("name")), "job_title": text(x.get("jobTitle")), "email": text(x.get("email")), "phone": text(x.get("telephone"))})
+            elif isinstance(x, dict) and is_a(x, "Organization"):
+                todo.append(x.get("member") or x.get("employee"))
+        return out
+
+    return blocks.map(lambda page: [p for block in (page if page is not None else []) for p in people(block)])
 
 
 def people_from_json_ld(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """Persons in JSON-LD, alone, in a list, or as members or employees of an organization (two levels deep)."""
-    person = _P[:-1]
-    level1 = f"{person},member:array<{_P}>,employee:array<{_P}>>"
-    level2 = f"{person},member:array<{level1}>,employee:array<{level1}>>"
-
-    def listed(c: Column) -> Column:
-        t = F.trim(c)
-        return F.when(t.startswith("{"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)
-
-    # a single object where a list is expected is wrapped, so that one schema reads both
-    wrapped = F.transform(H.json_ld("html"), lambda j: F.regexp_replace(
-        listed(j), r'"(member|employee)"\s*:\s*(\{[^{}]*\})', r'"$1": [$2]'))
-    tops = F.flatten(F.transform(wrapped, lambda j: F.coalesce(F.from_json(j, f"array<{level2}>"), F.array().cast(f"array<{level2}>"))))
-
-    def kind(x: Column, name: str) -> Column:
-        return F.coalesce((x["@type"] == name) | (x["type"] == name), F.coalesce(x["@type"], x["type"]) == name, F.lit(False))
-
-    def members(x: Column, inner: str) -> Column:
-        some = F.when(F.size(x["member"]) > 0, x["member"]).otherwise(x["employee"])
-        return F.when(kind(x, "Organization"), F.coalesce(some, F.array().cast(f"array<{inner}>"))).otherwise(F.array().cast(f"array<{inner}>"))
-
-    def bare(x: Column) -> Column:
-        return F.struct(x["name"].alias("name"), x["jobTitle"].alias("job_title"), x["email"].alias("email"), x["telephone"].alias("phone"),
-                        kind(x, "Person").alias("person"))
-
-    q = pages.select(*keep, tops.alias("_a")).withColumn("_b", F.flatten(F.transform("_a", lambda x: members(x, level1))))
-    q = q.withColumn("_c", F.flatten(F.transform("_b", lambda x: members(x, _P))))
-    every = F.concat(*[F.transform(c, bare) for c in ("_a", "_b", "_c")])
-    q = q.select(*keep, F.posexplode(every).alias("seq", "p")).filter("p.person").select(*keep, "seq", "p.name", "p.job_title", "p.email", "p.phone")
+    """Persons in JSON-LD, alone, in a list, or as members or employees of organizations, however deep."""
+    q = pages.select(*keep, F.posexplode(_people_of_blocks(H.json_ld("html"))).alias("seq", "p")).select(*keep, "seq", "p.*")
     return _people(q.filter(nonblank("name")), keep, 0.95, "structured_data")
 
 
@@ -588,43 +590,55 @@ def staff_page_candidates(pages: DataFrame, keep: Sequence[str] = ("page_id", "u
     return found.unionByName(rest)
 
 
-def sitemap_contact_pages(documents: DataFrame, url: str = "url", body: str = "body", max_levels: int = 5) -> DataFrame:
-    """Contact-like pages of sitemaps; an index leads to the stored sitemaps it names, at most a few levels down."""
+def sitemap_contact_pages(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """Contact-like pages of sitemaps. An index leads to the stored sitemaps it names, to any depth (cycles end, a pair counts once);
+    a document that is no XML gives its links inside the same site whose address or text is contact-like."""
+    xml = F.col(body).contains("<?xml")
     loc = F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)
-    locs = documents.select(F.col(url).alias("src"), F.col(body).contains("<sitemapindex").alias("is_index"), F.explode(loc).alias("loc"))
+    locs = documents.filter(xml).select(F.col(url).alias("src"), (F.col(body).contains("<sitemapindex") & ~F.col(body).contains("<urlset")).alias("is_index"), F.explode(loc).alias("loc"))
     index = cut_lineage(locs.filter("is_index").select("src", "loc").distinct())
     # maps reachable from each top document: itself and whatever its index names
-    reach = documents.select(F.col(url).alias("top"), F.col(url).alias("map"))
-    level = reach
-    for _ in range(max_levels):
+    reach = documents.select(F.col(url).alias("top"), F.col(url).alias("map")).distinct()
+    level = cut_lineage(reach)
+    while level.limit(1).count():
         level = cut_lineage(level.join(index, level["map"] == index["src"]).select("top", F.col("loc").alias("map")).join(
             reach, ["top", "map"], "left_anti").distinct())
-        if not level.limit(1).count():
-            break
-        reach = reach.unionByName(level)
+        reach = cut_lineage(reach.unionByName(level))
     leaf = locs.filter("NOT is_index")
     hits = leaf.filter(any_word(F.lower("loc"), SITEMAP_WORDS)).select(F.col("src").alias("map"), F.col("loc").alias("page"))
+    site = F.regexp_extract("map", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    links = documents.filter(~xml).select(F.col(url).alias("map"), F.explode(H.links(H.visible_markup(body))).alias("l"))
+    inside = F.col("l.href").startswith("/") | ((site != "") & F.col("l.href").contains(site))
+    said = any_word(F.lower("l.href"), SITEMAP_WORDS) | any_word(F.lower("l.text"), SITEMAP_WORDS)
+    hits = hits.unionByName(links.filter(inside & said).select("map", H.absolute_url(F.col("l.href"), F.col("map")).alias("page")))
     return reach.join(hits, "map").select("top", "page").distinct()
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 3, max_per_host: int = 500,
+def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_per_host: int | None = None,
                    ignore: Sequence[str] = IGNORED_URL_PATTERNS, priority: Sequence[str] = PRIORITY_PAGES) -> DataFrame:
-    """Breadth-first walk over stored links (src, dst): (url, host, depth). Priority pages first within the host's
-    quota. Every level is checkpointed to the shared folder."""
-    wanted = links.filter(~F.lower("dst").rlike("|".join(ignore))).select("src", F.col("dst").alias("url")).distinct()
+    """Breadth-first walk over stored links (src, dst): (url, host, depth), until nothing new is found.
+
+    Optional limits: ``max_depth`` levels, and ``max_per_host`` pages of a host, priority pages first. Every level is checkpointed to
+    the shared folder."""
+    wanted = cut_lineage(links.filter(~F.lower("dst").rlike("|".join(ignore))).select("src", F.col("dst").alias("url")).distinct())
     order = [any_word(F.lower("url"), priority).desc(), F.asc("url")]
-    seen = cut_lineage(rank_within(seeds.select("url").distinct().withColumn("host", host("url")), ["host"], order, max_per_host)
-                       .withColumn("depth", F.lit(0)))
-    level = seen
-    for depth in range(1, max_depth + 1):
+
+    def within_quota(urls: DataFrame, seen: DataFrame | None) -> DataFrame:
+        if max_per_host is None:
+            return urls
+        ranked = rank_within(urls, ["host"], order, max_per_host, "_r")
+        if seen is None:
+            return ranked.drop("_r")
+        used = seen.groupBy("host").agg(F.count("*").alias("_used"))
+        return ranked.join(used, "host", "left").filter(F.col("_r") + F.coalesce(F.col("_used"), F.lit(0)) <= max_per_host).select("url", "host")
+
+    level = cut_lineage(within_quota(seeds.select("url").distinct().withColumn("host", host("url")), None).withColumn("depth", F.lit(0)))
+    seen, depth = level, 0
+    while (max_depth is None or depth < max_depth) and level.limit(1).count():
+        depth += 1
         nxt = wanted.join(level.select(F.col("url").alias("src")), "src", "left_semi").select("url").distinct()
         nxt = nxt.join(seen.select("url"), "url", "left_anti").withColumn("host", host("url"))
-        used = seen.groupBy("host").agg(F.count("*").alias("_used"))
-        ranked = rank_within(nxt, ["host"], order, max_per_host, "_r").join(used, "host", "left")
-        level = cut_lineage(ranked.filter(F.col("_r") + F.coalesce(F.col("_used"), F.lit(0)) <= max_per_host).select(
-            "url", "host", F.lit(depth).alias("depth")))
-        if not level.limit(1).count():
-            break
+        level = cut_lineage(within_quota(nxt, seen).select("url", "host", F.lit(depth).alias("depth")))
         seen = seen.unionByName(level)
     return seen
 
@@ -648,21 +662,6 @@ def website_text(pages: DataFrame, key: str = "organization_id", page: str = "id
     return pages.select(key, page, html_to_text(html).alias("text")).filter(nonblank("text"))
 
 
-def website_text_head(rows: DataFrame, max_chars: int, key: str = "organization_id", page: str = "id") -> DataFrame:
-    """First ``max_chars`` characters of each site's text in page order, for readers with an input limit.
-
-    As each page has at least one character, at most ``max_chars`` pages per site can take part; of those, only
-    the ones that start inside the limit are kept, cut to what still fits, and put together.
-    """
-    heads = rank_within(rows.select(key, page, F.substring("text", 1, max_chars).alias("text")), [key], [F.asc(page)], max_chars, "_r")
-    w = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    part = heads.withColumn("_s", start).filter(F.col("_s") < max_chars).select(
-        key, "_r", F.substr("text", F.lit(1), (F.lit(max_chars) - F.col("_s")).cast("int")).alias("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "text"))), lambda x: x["text"]), " ")
-    return part.groupBy(key).agg(joined.alias("text"))
-
-
 def evidence_from_results(results: DataFrame, pages: DataFrame, suffixes: Sequence[str], **lexicons) -> DataFrame:
     """Search hits joined to stored pages: first per registered domain, priority, category and state of the query,
     infrastructure evidence and competitor analysis, ready for the organization upsert."""

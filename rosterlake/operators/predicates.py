@@ -177,15 +177,15 @@ def needs_revalidation(old: DataFrame, new: DataFrame, key: str = "id",
     return j.filter(changed).select(key, *columns)
 
 
-def crawl_queue(urls: DataFrame, limit: int, page_types: Sequence[str] | None = CRAWLABLE_PAGE_TYPES,
+def crawl_queue(urls: DataFrame, limit: int | None, page_types: Sequence[str] | None = CRAWLABLE_PAGE_TYPES,
                 min_priority: float | None = None) -> DataFrame:
-    """Pages never crawled, best priority first; either by page type or by a least priority."""
+    """Pages never crawled, best priority first; either by page type or by a least priority. Without a limit all, unsorted."""
     q = urls.filter(F.col("last_crawled").isNull())
     if page_types is not None:
         q = q.filter(F.col("page_type").isin(list(page_types)))
     if min_priority is not None:
         q = q.filter(F.col("priority_score") >= min_priority)
-    return q.orderBy(F.desc("priority_score"), F.asc("id")).limit(limit)
+    return q if limit is None else q.orderBy(F.desc("priority_score"), F.asc("id")).limit(limit)
 
 
 def without_website(orgs: DataFrame, limit: int | None = None) -> DataFrame:

@@ -156,8 +156,10 @@ def keyset_page(df: DataFrame, size: int, last: tuple[float, int] | None = None,
     return df.orderBy(F.desc(score), F.asc("id")).limit(size)
 
 
-def by_type_priority(df: DataFrame, priority: Sequence[str], limit: int, seq: str) -> DataFrame:
-    return df.orderBy(first_listed(F.col("org_type"), priority), F.asc(seq)).limit(limit)
+def by_type_priority(df: DataFrame, priority: Sequence[str], limit: int | None, seq: str) -> DataFrame:
+    """The first ``limit`` rows by the type's place in the list; without a limit all rows with that place as ``type_rank``, unsorted."""
+    place = first_listed(F.col("org_type"), priority)
+    return df.withColumn("type_rank", place) if limit is None else df.orderBy(place, F.asc(seq)).limit(limit)
 
 
 # ---- fixed values ---------------------------------------------------------------------------

@@ -80,8 +80,8 @@ FROM {labels}
 SEARCH_RESULTS = """
 SELECT d.doc_id AS pos, 'q' || CAST(d.doc_id % 7 AS STRING) AS query,
  'https://' || CASE d.doc_id % 3 WHEN 0 THEN 'www.' ELSE '' END || 'site' || CAST(d.doc_id % 60 AS STRING) || CASE d.doc_id % 4 WHEN 0 THEN '.gov' WHEN 1 THEN '.co.uk' WHEN 2 THEN '.com' ELSE '.org' END || '/p/' || CAST(d.doc_id AS STRING) AS url,
- CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE SUBSTRING(REPLACE(d.text, CHR(10), ' '), 1, 60) END AS title,
- SUBSTRING(REPLACE(d.text, CHR(10), ' '), 1, 200) AS snippet,
+ CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE SPLIT_PART(d.text, CHR(10), 1) END AS title,
+ REPLACE(d.text, CHR(10), ' ') AS snippet,
  CASE d.doc_id % 3 WHEN 0 THEN 'water' WHEN 1 THEN 'municipal' ELSE 'agriculture' END AS category,
  CASE d.doc_id % 4 WHEN 0 THEN 'Utah' WHEN 1 THEN 'Nevada' WHEN 2 THEN 'Illinois' ELSE NULL END AS state
 FROM {documents} d

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import joins as J
 from rosterlake.operators.predicates import has_value
-from rosterlake.plans.registry import query
+from rosterlake.plans.registry import query, sql_list
 
 PROFILES = [
     {"role_title": "Director", "synonyms": ["Head of"], "relevance_score": 9.0},
@@ -40,10 +40,10 @@ def _(t):
 
 
 @query("j4_organizations_without_contacts", "contacts organizations", """
-SELECT o.id FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title = 'Director of Public Works' GROUP BY 1) x
+SELECT o.id FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM (SELECT CASE WHEN organization_id % 37 = 0 THEN NULL ELSE organization_id END AS organization_id FROM contacts) GROUP BY 1) x
 ON x.organization_id = o.id WHERE x.n IS NULL""")
 def _(t):
-    return J.organizations_without_contacts(t.organizations, t.contacts.filter("job_title = 'Director of Public Works'")).select("id")
+    return J.organizations_without_contacts(t.organizations, t.contacts.withColumn("organization_id", F.expr("CASE WHEN organization_id % 37 = 0 THEN NULL ELSE organization_id END"))).select("id")
 
 
 @query("j5_organizations_by_contact_count", "contacts organizations", """
@@ -60,11 +60,16 @@ def _(t):
     return J.exclude_ids(o, o.filter("relevance_score >= 8"), o.filter("is_competitor")).select("id")
 
 
+def with_strangers(contacts):
+    """Contacts of which some belong to no stored organization."""
+    return contacts.withColumn("organization_id", F.expr("CASE WHEN id % 5 = 0 THEN -organization_id ELSE organization_id END"))
+
+
 @query("j8_organization_name_or_unknown", "contacts organizations", """
-SELECT c.id, coalesce(o.name, 'Unknown') AS organization_name FROM contacts c
-LEFT JOIN (SELECT * FROM organizations WHERE contact_discovery_status IS NOT NULL) o ON c.organization_id = o.id""")
+SELECT c.id, coalesce(o.name, 'Unknown') AS organization_name FROM (SELECT id, CASE WHEN id % 5 = 0 THEN -organization_id ELSE organization_id END AS organization_id FROM contacts) c
+LEFT JOIN organizations o ON c.organization_id = o.id""")
 def _(t):
-    return J.organization_name_or(t.contacts, t.organizations.filter("contact_discovery_status IS NOT NULL")).select("id", "organization_name")
+    return J.organization_name_or(with_strangers(t.contacts), t.organizations).select("id", "organization_name")
 
 
 @query("j8_validation_with_contact", "validation_reports contacts", """
@@ -94,15 +99,15 @@ def _(t):
     return J.first_url_match(o, urls).select("id", "discovered_url_id")
 
 
-LEXICON_SQL = """(SELECT 'cat' || CAST(p_size % 4 AS VARCHAR) AS category, lower(word) AS keyword, CAST(p_size % 3 + 1 AS DOUBLE) AS weight FROM
- (SELECT item_id AS p_size, split_part(replace(text, CHR(10), ' '), ' ', 3) AS word FROM benchmark) WHERE word <> '')"""
+LEXICON_SQL = """(SELECT DISTINCT 'cat' || CAST(item_id % 4 AS VARCHAR) AS category, word AS keyword, CAST(item_id % 3 + 1 AS DOUBLE) AS weight FROM
+ (SELECT item_id, unnest(string_split(replace(lower(text), CHR(10), ' '), ' ')) AS word FROM benchmark) WHERE word <> '')"""
 
 
 def lexicon(t):
+    """Every word of the benchmark texts."""
     return t.benchmark.selectExpr(
-        "'cat' || CAST(item_id % 4 AS STRING) AS category",
-        "lower(split_part(replace(text, CHR(10), ' '), ' ', 3)) AS keyword",
-        "CAST(item_id % 3 + 1 AS DOUBLE) AS weight").filter("keyword <> ''")
+        "'cat' || CAST(item_id % 4 AS STRING) AS category", "explode_outer(split(replace(lower(text), CHR(10), ' '), ' ')) AS keyword",
+        "CAST(item_id % 3 + 1 AS DOUBLE) AS weight").filter("keyword <> ''").distinct()
 
 
 J11_SQL = f"""SELECT d.doc_id, l.category, CAST(count(*) AS BIGINT) AS hits, sum(l.weight) AS score FROM documents d
@@ -117,7 +122,7 @@ def _(t):
 
 @query("j11_contained_terms_large_lexicon", "", J11_SQL)
 def _(t):
-    return J.contained_terms(t.documents, lexicon(t), "doc_id", "text", max_literals=10).groupBy("doc_id", "category").agg(
+    return J.contained_terms(t.documents, lexicon(t), "doc_id", "text", block=300).groupBy("doc_id", "category").agg(
         F.count("*").alias("hits"), F.sum("weight").alias("score"))
 
 
@@ -160,8 +165,7 @@ SELECT id, CAST(title_rank AS INTEGER) AS title_rank, title, CAST(pattern_rank A
 FROM (SELECT id, name, state, unnest(tt) AS title, generate_subscripts(tt, 1) - 1 AS title_rank FROM (SELECT id, name, state,
   CASE WHEN org_type = 'water' THEN ['Plant Manager','Director','Project Manager','Chief Engineer','Operations Manager','Estimator']
    ELSE ['Manager','Director','Supervisor','Engineer','Project Manager','Chief Engineer','Operations Manager','Estimator'] END AS tt FROM organizations)),
- (SELECT 0 AS pattern_rank, '"{org}" {location} "{title}"' AS pattern UNION ALL SELECT 1, '{org} {location} "{title}"'
-  UNION ALL SELECT 2, '"{org}" {state} {title} contact' UNION ALL SELECT 3, '{org} {state} {title} contact')""")
+ (SELECT unnest(range({n})) AS pattern_rank, unnest({p}) AS pattern))""".replace("{n}", str(len(J.POSITION_PATTERNS))).replace("{p}", sql_list(J.POSITION_PATTERNS)).rstrip(")") + ")")
 def _(t):
     o = t.organizations.withColumn("city", F.lit("Town"))
     return J.position_searches(o, {"water": ["Plant Manager", "Director"]})

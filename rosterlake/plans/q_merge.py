@@ -120,13 +120,27 @@ def _(t):
 
 
 @query("m5_merge_notes", "contacts", f"""
-WITH {RANKED}, s AS (SELECT k, id FROM r WHERE rn = 1) SELECT c.id, x.notes, false AS notes_in_lines FROM (SELECT id FROM s UNION ALL SELECT id FROM contacts WHERE {KEY} IS NULL) c LEFT JOIN (SELECT s.id, string_agg('Merged with duplicate contact: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, ''), chr(10) ORDER BY rn) AS notes
+WITH {RANKED}, s AS (SELECT k, id FROM r WHERE rn = 1) SELECT c.id, x.notes FROM (SELECT id FROM s UNION ALL SELECT id FROM contacts WHERE {KEY} IS NULL) c LEFT JOIN (SELECT s.id, string_agg('Merged with duplicate contact: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, ''), chr(10) ORDER BY rn) AS notes
  FROM r JOIN s USING (k) WHERE rn > 1 AND trim(coalesce(first_name, '') || coalesce(last_name, '')) <> '' GROUP BY s.id) x ON x.id = c.id""")
 def _(t):
     kept = M.merge_duplicate_contacts(t.contacts).select("id")
     return M.attach_notes(kept, M.merge_note_lines(t.contacts))
 
 
+@query("m5_merge_note_lines", "contacts", f"""
+WITH {RANKED}, s AS (SELECT k, id FROM r WHERE rn = 1) SELECT s.id, 'Merged with duplicate contact: ' || coalesce(first_name, '') || ' ' || coalesce(last_name, '') AS line
+FROM r JOIN s USING (k) WHERE rn > 1 AND trim(coalesce(first_name, '') || coalesce(last_name, '')) <> ''""")
+def _(t):
+    return M.merge_note_lines(t.contacts).select("id", "line")
+
+
+@query("m2_crawled_note_lines", "contacts incoming_contacts", f"""
+WITH {FINDS_CTE}, {MATCH.format(key=KEY, org='0')}
+SELECT target_id AS id, seq AS ord, 'Also associated with organization ID: ' || m.organization_id AS line FROM m JOIN contacts c ON c.id = m.target_id WHERE matched_by = 'email' AND m.organization_id IS DISTINCT FROM c.organization_id""")
+def _(t):
+    return M.crawled_note_lines(t.contacts, finds(t))
+
+
 @query("m5_merge_statistics", "contacts", f"""
 SELECT count(k)::BIGINT AS total_emails_processed, count(DISTINCT k)::BIGINT AS unique_emails_kept, (count(k) - count(DISTINCT k))::BIGINT AS duplicate_contacts_merged,
  count(*) FILTER (k IS NULL AND email IS NOT NULL)::BIGINT AS contacts_without_email FROM (SELECT email, {KEY} AS k FROM contacts)""")

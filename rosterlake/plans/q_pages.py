@@ -92,17 +92,24 @@ EDGES = "SELECT 'http://h' || CAST(o_custkey % 7 AS {s}) || '.org/p' || CAST(o_c
 HOST_OF = "regexp_extract({}, '://([^/]*)', 1)"
 
 
-def frontier_sql() -> str:
-    """The walk written out level by level, with the host quota of 500."""
-    out = [f"e AS ({EDGES.format(s='VARCHAR', div='//', o='orders')}), w AS (SELECT DISTINCT src, dst FROM e WHERE NOT contains(dst, 'shop'))",
-           f"s0 AS (SELECT url, host, 0 AS depth FROM (SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS r FROM (SELECT DISTINCT src AS url, {HOST_OF.format('src')} AS host FROM e WHERE prio = '1-URGENT')) WHERE r <= 500)"]
-    for d in (1, 2, 3):
-        out.append(f"n{d} AS (SELECT DISTINCT dst AS url, {HOST_OF.format('dst')} AS host FROM w JOIN s{d - 1} s ON s.url = w.src AND s.depth = {d - 1} WHERE dst NOT IN (SELECT url FROM s{d - 1}))")
-        out.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT url, host, {d} FROM (SELECT n.*, row_number() OVER (PARTITION BY n.host ORDER BY url) + coalesce(u.c, 0) AS r FROM n{d} n LEFT JOIN (SELECT host, count(*) AS c FROM s{d - 1} GROUP BY 1) u ON u.host = n.host) WHERE r <= 500)")
-    return "WITH " + ", ".join(out) + " SELECT url, depth FROM s3"
+def frontier_sql(levels: int = 3, quota: int | None = 500) -> str:
+    """The walk written out level by level."""
+    few = f"r <= {quota}" if quota else "true"
+    out = [f"e AS MATERIALIZED ({EDGES.format(s='VARCHAR', div='//', o='orders')}), w AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE NOT contains(dst, 'shop'))",
+           f"s0 AS (SELECT url, host, 0 AS depth FROM (SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS r FROM (SELECT DISTINCT src AS url, {HOST_OF.format('src')} AS host FROM e WHERE prio = '1-URGENT')) WHERE {few})"]
+    for d in range(1, levels + 1):
+        out.append(f"n{d} AS MATERIALIZED (SELECT DISTINCT dst AS url, {HOST_OF.format('dst')} AS host FROM w JOIN s{d - 1} s ON s.url = w.src AND s.depth = {d - 1} WHERE dst NOT IN (SELECT url FROM s{d - 1}))")
+        out.append(f"s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT url, host, {d} FROM (SELECT n.*, row_number() OVER (PARTITION BY n.host ORDER BY url) + coalesce(u.c, 0) AS r FROM n{d} n LEFT JOIN (SELECT host, count(*) AS c FROM s{d - 1} GROUP BY 1) u ON u.host = n.host) WHERE {few})")
+    return "WITH " + ", ".join(out) + " SELECT url, depth FROM s" + str(levels)
 
 
 @query("p22_crawl_frontier", "", frontier_sql())
+def _(t):
+    e = t.spark.sql(EDGES.format(s="STRING", div="DIV", o="{o}"), o=t.orders)
+    return P.crawl_frontier(e.filter("prio = '1-URGENT'").select(F.col("src").alias("url")), e, 3, 500).select("url", "depth")
+
+
+@query("p22_crawl_frontier_whole", "", frontier_sql(24, None))
 def _(t):
     e = t.spark.sql(EDGES.format(s="STRING", div="DIV", o="{o}"), o=t.orders)
     return P.crawl_frontier(e.filter("prio = '1-URGENT'").select(F.col("src").alias("url")), e).select("url", "depth")
@@ -122,19 +129,13 @@ def _(t):
     return P.website_text(t.discovered_urls).select("organization_id", F.col("id").alias("page"), F.md5("text").alias("digest"))
 
 
-@query("p27_website_text_head", "discovered_urls", f"""
-SELECT organization_id, md5(string_agg(x, ' ' ORDER BY id)[1:5000]) AS digest FROM (SELECT organization_id, id, {HTML_TEXT_SQL} AS x FROM (SELECT id, organization_id % 30 AS organization_id, html_content AS html FROM discovered_urls)) GROUP BY 1""")
-def _(t):
-    rows = P.website_text(t.discovered_urls.withColumn("organization_id", F.expr("organization_id % 30")))
-    return P.website_text_head(rows, 5000).select("organization_id", F.md5("text").alias("digest"))
-
-
 # ---- staff pages ----------------------------------------------------------------------------
 FULL = "fn || ' ' || ln"
 LAYOUTS = {
     "cards": "'<div class=\"wrap\"><div class=\"staff-card\"><h3>' || fn || ' ' || ln || '</h3><span class=\"job-title\">' || title || '</span><a href=\"mailto:' || email || '?subject=x\">write</a><br>Tel ' || phone || '</div></div>'",
     "tables": "'<table><tr><th>Name</th><th>Department</th><th>Email</th><th>Phone</th></tr><tr><td>' || fn || ' ' || ln || '</td><td>' || title || '</td><td>' || email || '</td><td>' || phone || '</td></tr></table>'",
     "json_ld": "'<script type=\"application/ld+json\">{\"@type\": \"Organization\", \"name\": \"Town\", \"employee\": [{\"@type\": \"Person\", \"name\": \"' || fn || ' ' || ln || '\", \"jobTitle\": \"' || title || '\", \"email\": \"' || email || '\", \"telephone\": \"' || phone || '\"}, {\"@type\": \"Thing\", \"name\": \"no person\"}]}</script>'",
+    "deep_json_ld": "'<script type=\"application/ld+json\">' || repeat('{\"@type\": \"Organization\", \"member\": [', 5) || repeat('{\"type\": \"Organization\", \"employee\": ', 5) || '{\"@type\": \"Person\", \"name\": \"' || fn || ' ' || ln || '\", \"jobTitle\": \"' || title || '\", \"email\": \"' || email || '\", \"telephone\": \"' || phone || '\"}' || repeat('}', 5) || repeat(']}', 5) || '</script>'",
     "microdata": "'<div itemscope itemtype=\"http://schema.org/Person\"><b itemprop=\"name\">' || fn || ' ' || ln || '</b><span itemprop=\"jobTitle\">' || title || '</span><a itemprop=\"email\" href=\"mailto:' || email || '\">m</a><span itemprop=\"telephone\">' || phone || '</span></div>'",
     "vcard": "'<div class=\"vcard\"><span class=\"fn\">' || fn || ' ' || ln || '</span><span class=\"title\">' || title || '</span><span class=\"email\">' || email || '</span><span class=\"tel\">' || phone || '</span></div>'",
     "text": "'<p>We are happy to have you. ' || fn || ' ' || ln || ', ' || title || '. Call ' || phone || ' or mail ' || email || ' today</p>'",
@@ -163,6 +164,11 @@ def _(t):
     return P.people_from_json_ld(laid_out(t, "json_ld")).select(*PEOPLE)
 
 
+@query("p7_people_from_deep_json_ld", "staff", people_sql(0.95))
+def _(t):
+    return P.people_from_json_ld(laid_out(t, "deep_json_ld")).select(*PEOPLE)
+
+
 @query("p7_people_from_microdata", "staff", people_sql(0.95))
 def _(t):
     return P.people_from_microdata(H.parse_pages(laid_out(t, "microdata"))).select(*PEOPLE)
@@ -297,6 +303,19 @@ def _(t):
     return P.sitemap_contact_pages(leaf.unionByName(index))
 
 
+@query("p20_html_and_deep_sitemaps", "staff", """
+SELECT 'https://town' || town || '.gov/deep' || k || '.xml' AS top, 'https://town' || town || '.gov/staff/' || page_id AS page FROM staff, (SELECT unnest(range(10)) AS k) UNION
+SELECT 'https://town' || town || '.gov/site' || page_id || '.html', 'https://town' || town || '.gov/staff/' || page_id FROM staff""")
+def _(t):
+    """Ten index documents in a ring lead to HTML sitemaps, whose foreign and other links do not count."""
+    s = t.staff.select(F.expr("'https://town' || town || '.gov'").alias("base"), F.col("page_id").cast("string").alias("p"))
+    leaf = s.selectExpr("base || '/site' || p || '.html' AS url", "'<html><a href=\"/staff/' || p || '\">Our people</a><a href=\"https://other.org/staff\">x</a><a href=\"/news\">News</a></html>' AS body")
+    ring = s.select("base", "p", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).selectExpr(
+        "base || '/deep' || CAST(k AS STRING) || '.xml' AS url",
+        "'<?xml version=\"1.0\"?><sitemapindex><loc>' || base || '/deep' || CAST((k + 1) % 10 AS STRING) || '.xml</loc>' || IF(k = 9, '<loc>' || base || '/site' || p || '.html</loc>', '') || '</sitemapindex>' AS body")
+    return P.sitemap_contact_pages(leaf.unionByName(ring))
+
+
 @query("p25_evidence_from_results", "search_results", f"""
 SELECT h.domain, h.pos, least(10.0, len(list_filter({sql_list(['the', 'ention', 'que'])}, lambda w: contains(lower(d.text), w))))::DOUBLE AS infrastructure_score, {has('lower(d.text)', ['whorth'])} OR len(list_filter({sql_list(['sch', 'los'])}, lambda w: contains(lower(d.text), w))) >= 2 AS is_likely_competitor
 FROM (SELECT regexp_extract(url, '://(?:www\\.)?([^/]*)', 1) AS domain, min(pos) AS pos FROM search_results GROUP BY 1) h JOIN documents d ON d.doc_id = h.pos""")

@@ -159,6 +159,14 @@ def _(t):
     return P.needs_revalidation(t.organizations, new)
 
 
+@query("f17_crawl_queue_all", "discovered_urls", """
+SELECT 'types' AS variant, id, priority_score FROM discovered_urls WHERE last_crawled IS NULL AND page_type IN ('homepage','about','contact','team')
+UNION ALL SELECT 'priority', id, priority_score FROM discovered_urls WHERE last_crawled IS NULL AND priority_score >= 0.5""")
+def _(t):
+    a = P.crawl_queue(t.discovered_urls, None).select(F.lit("types").alias("variant"), "id", "priority_score")
+    return a.unionByName(P.crawl_queue(t.discovered_urls, None, None, 0.5).select(F.lit("priority").alias("variant"), "id", "priority_score"))
+
+
 @query("f17_crawl_queue", "discovered_urls", """
 SELECT * FROM (SELECT 'types' AS variant, id, priority_score FROM discovered_urls WHERE last_crawled IS NULL
  AND page_type IN ('homepage','about','contact','team') ORDER BY priority_score DESC, id LIMIT 20)

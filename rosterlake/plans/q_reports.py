@@ -98,11 +98,17 @@ def _(t):
     return R.metrics_long(t.system_metrics, METRIC_LABELS)
 
 
+@query("a11_thin_organizations_all", "organizations contacts", """
+SELECT o.id, count(c.id)::BIGINT AS contact_count FROM organizations o LEFT JOIN contacts c ON c.organization_id = o.id GROUP BY o.id HAVING count(c.id) < 3""")
+def _(t):
+    return R.thin_organizations(t.organizations, t.contacts, 3, None).select("id", "contact_count")
+
+
 @query("a11_thin_organizations", "organizations contacts", """
-SELECT o.id, count(c.id)::BIGINT AS contact_count FROM organizations o LEFT JOIN (SELECT * FROM contacts WHERE job_title = 'Clerk') c ON c.organization_id = o.id GROUP BY o.id, o.relevance_score
+SELECT o.id, count(c.id)::BIGINT AS contact_count FROM organizations o LEFT JOIN contacts c ON c.organization_id = o.id GROUP BY o.id, o.relevance_score
 HAVING count(c.id) < 3 ORDER BY o.relevance_score DESC, o.id LIMIT 300""")
 def _(t):
-    return R.thin_organizations(t.organizations, t.contacts.filter("job_title = 'Clerk'"), 3, 300).select("id", "contact_count")
+    return R.thin_organizations(t.organizations, t.contacts, 3, 300).select("id", "contact_count")
 
 
 @query("a14_click_statistics", "shortened_urls", """

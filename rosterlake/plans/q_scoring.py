@@ -38,11 +38,11 @@ def score_sql(words) -> str:
     return plus([f"CASE WHEN contains({f}, '{probe(w)}') THEN {p} ELSE 0 END" for f, p in (("a", 5), ("b", 2), ("c", 1)) for w in words]) + "::DOUBLE"
 
 
-C1 = f"""(SELECT doc_id AS id, {', '.join(f"{score_sql(ws)} AS {k}" for k, ws in LEX.items())} FROM (SELECT doc_id, {norm_sql('substr(text, 1, 40)')} AS a, {norm_sql('lang')} AS b, {norm_sql('text')} AS c FROM documents))"""
+C1 = f"""(SELECT doc_id AS id, {', '.join(f"{score_sql(ws)} AS {k}" for k, ws in LEX.items())} FROM (SELECT doc_id, {norm_sql('split_part(text, chr(10), 1)')} AS a, {norm_sql('lang')} AS b, {norm_sql('text')} AS c FROM documents))"""
 
 
 def texts(t):
-    return t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("name"), F.col("lang").alias("description"),
+    return t.documents.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"), F.col("lang").alias("description"),
                               F.col("text").alias("website_text"))
 
 

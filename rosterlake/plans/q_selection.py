@@ -108,12 +108,12 @@ PROFILES = "SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'water' WHEN 1 THEN 'mun
 
 @query("w11_contact_quota", "organizations contacts", f"""
 SELECT q.id, p.role_title FROM (SELECT o.id, o.org_type, greatest(0, least(5, greatest(1, trunc(o.relevance_score / 2)::INT)) - coalesce(n, 0)) AS quota
- FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title = 'Process Engineer' GROUP BY 1) c ON c.organization_id = o.id) q
+ FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts GROUP BY 1) c ON c.organization_id = o.id) q
 JOIN (SELECT *, row_number() OVER (PARTITION BY org_type ORDER BY relevance_score DESC, role_title) AS rr FROM ({PROFILES.format(s='VARCHAR', li='lineitem')})) p
 ON p.org_type = q.org_type AND p.rr <= q.quota""")
 def _(t):
     prof = t.spark.sql(PROFILES.format(s="STRING", li="{li}"), li=t.lineitem)
-    return S.contact_quota(t.organizations, t.contacts.filter("job_title = 'Process Engineer'"), prof).select("id", "role_title")
+    return S.contact_quota(t.organizations, t.contacts, prof).select("id", "role_title")
 
 
 @query("t1_recent_runs", "process_summaries", """
@@ -168,12 +168,18 @@ def _(t):
     return S.by_type_priority(t.organizations, S.PRIORITY_TYPES, 500, "id").select("id", "org_type")
 
 
+@query("t7_by_type_priority_all", "organizations", f"""
+SELECT id, CASE WHEN org_type IN ('water','wastewater','oil_gas','utility','agriculture') THEN list_position({sql_list(S.PRIORITY_TYPES)}, org_type) ELSE 1000 END::INT - 1 AS type_rank FROM organizations""")
+def _(t):
+    return S.by_type_priority(t.organizations, S.PRIORITY_TYPES, None, "id").select("id", "type_rank")
+
+
 @query("t8_discovery_tiers", "organizations contacts", """
 SELECT id, tier FROM (SELECT o.id, (CASE WHEN n IS NULL THEN 1 WHEN contact_discovery_status = 'partial' THEN 2 WHEN contact_discovery_status = 'attempted' AND n < 3 THEN 3
- WHEN contact_discovery_status <> 'completed' AND n < 10 THEN 4 END)::INT AS tier FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts WHERE job_title IN ('Clerk','Process Engineer') GROUP BY 1) c
+ WHEN contact_discovery_status <> 'completed' AND n < 10 THEN 4 END)::INT AS tier FROM organizations o LEFT JOIN (SELECT organization_id, count(*) AS n FROM contacts GROUP BY 1) c
  ON c.organization_id = o.id WHERE o.relevance_score >= 5) WHERE tier IS NOT NULL""")
 def _(t):
-    return S.discovery_tiers(t.organizations, t.contacts.filter("job_title IN ('Clerk','Process Engineer')"), 5, 10).select("id", "tier")
+    return S.discovery_tiers(t.organizations, t.contacts, 5, 10).select("id", "tier")
 
 
 @query("t9_url_priority", "discovered_urls",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import content as C
 from rosterlake.functions import people as N
 from rosterlake.functions import urls as U
-from rosterlake.functions.text import blank_to_null
+from rosterlake.functions.text import blank_to_null, rows_of
 from rosterlake.plans.registry import query, sql_list
 
 HOST = r"lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)', 1))"
@@ -63,15 +63,19 @@ def _(t):
         ("us", N.PHONE_US), ("paren", N.PHONE_PAREN), ("card", N.PHONE_CARD), ("any_form", N.PHONE_ANY))])
 
 
-NAMES_SQL = """(SELECT doc_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:(doc_id % 6)], ' ') AS full_name FROM documents)"""
+NAMES_SQL = r"""(SELECT id AS doc_id, coalesce(first_name, '') || CASE WHEN id % 5 = 0 THEN ' B. ' WHEN id % 7 = 0 THEN ' Ann-Marie ' ELSE ' ' END || coalesce(last_name, '') AS full_name FROM contacts
+ UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*'))) FROM documents)"""
 
 
 def names(t):
-    return t.documents.select("doc_id", F.expr(
-        "array_join(slice(split(replace(text, chr(10), ' '), ' '), 1, CAST(doc_id % 6 AS INT)), ' ')").alias("full_name"))
+    """Names of the contacts, and every run of capitalized words in the texts."""
+    c = t.contacts.select(F.col("id").alias("doc_id"), F.expr(
+        "coalesce(first_name, '') || CASE WHEN id % 5 = 0 THEN ' B. ' WHEN id % 7 = 0 THEN ' Ann-Marie ' ELSE ' ' END || coalesce(last_name, '')").alias("full_name"))
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"), 0))
+    return c.unionByName(t.documents.select("doc_id", rows_of(runs).alias("full_name")))
 
 
-@query("x6_person_name", "", rf"""
+@query("x6_person_name", "contacts", rf"""
 SELECT doc_id, CASE WHEN length(c) < 3 THEN NULL WHEN n >= 2 THEN p[1] END AS first, CASE WHEN length(c) < 3 THEN NULL WHEN n = 2 THEN p[2] WHEN n = 3 AND length(p[2]) = 1 THEN p[3]
  WHEN n = 3 THEN p[2] || ' ' || p[3] WHEN n > 3 THEN p[-1] END AS last
 FROM (SELECT doc_id, c, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') AS p, len(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')) AS n
@@ -80,7 +84,7 @@ def _(t):
     return names(t).select("doc_id", N.person_name("full_name").alias("p")).select("doc_id", "p.first", "p.last")
 
 
-@query("x7_split_name", "", f"""
+@query("x7_split_name", "contacts", f"""
 SELECT doc_id, split_part(f, ' ', 1) AS first, CASE WHEN contains(f, ' ') THEN substr(f, strpos(f, ' ') + 1) ELSE '' END AS last
 FROM (SELECT doc_id, trim(full_name) AS f FROM {NAMES_SQL})""")
 def _(t):

@@ -132,17 +132,20 @@ def test_filters_and_columns_reach_the_scan(t):
 
 
 def test_no_query_forms_a_cross_product(spark):
-    import __spark_entry__ as entry
-    lazy = [n for n in entry.queries() if not any(x in n for x in ("stream", "m6_", "m7_", "p16", "p20", "p22", "j11"))]
+    from rosterlake.plans import load_all
+    from rosterlake.plans.registry import QUERIES
+
+    load_all()
+    lazy = [n for n in QUERIES if not any(x in n for x in ("stream", "m6_", "m7_", "p16", "p20", "p22", "j11"))]
     for n in lazy:
-        p = plan_text(entry.queries()[n](spark, SF))
+        p = plan_text(QUERIES[n](spark, SF))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, n
 
 
 def test_large_lexicon_join_equals_literals(spark, t):
     lex = spark.createDataFrame([("a", w, 1.0) for w in ("the", "nd th", "e", "zz", "ention")], "category string, keyword string, weight double")
     a = J.contained_terms(t.documents, lex, "doc_id", "text")
-    b = J.contained_terms(t.documents, lex, "doc_id", "text", max_literals=2)
+    b = J.contained_terms(t.documents, lex, "doc_id", "text", block=2)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
 
 
@@ -152,10 +155,29 @@ def test_website_scores_do_not_need_one_site_text(spark):
     assert got == {(1, "water"): 1.0, (1, "agriculture"): 1.0}
 
 
-def test_website_text_head_cuts_after_joining(spark):
-    rows = spark.createDataFrame([(1, i, "x" * 7) for i in range(10)] + [(2, 1, "short")], "organization_id long, id long, text string")
-    got = {r["organization_id"]: r["text"] for r in P.website_text_head(rows, 20).collect()}
-    assert got == {1: " ".join(["x" * 7] * 10)[:20], 2: "short"}
+def test_containment_keeps_repeats_nulls_and_short_words(spark):
+    texts = spark.createDataFrame([(1, "A an cat"), (1, "A an cat"), (None, "cat"), (2, None), (3, "")], "k long, t string")
+    lex = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 1.0), ("y", "CAT", None), ("z", "", 2.0), ("z", None, 2.0)], "category string, keyword string, weight double")
+    for block in (1, 50_000):
+        got = J.contained_terms(texts, lex, "k", "t", block).collect()
+        assert sorted((r.k or 0, r.category, r.weight or 0) for r in got) == sorted([(1, "x", 1.0)] * 4 + [(1, "y", 0)] * 2 + [(0, "x", 1.0)] * 2 + [(0, "y", 0)])
+    assert J.contained_terms(texts, lex.where("false"), "k", "t").count() == 0
+
+
+def test_json_ld_people_to_any_depth(spark):
+    person = '{"@type": ["Person"], "name": "Ann Lee", "email": "a@x.org"}'
+    deep = '{"@type": "Organization", "member": ' * 30 + person + "}" * 30
+    page = f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">not json</script><script type="application/ld+json">[{person}, {{"@type": "Person"}}]</script>'
+    rows = spark.createDataFrame([(1, "u", page), (2, "u", "<p>none</p>"), (3, "u", None)], "page_id long, url string, html string")
+    got = P.people_from_json_ld(rows).collect()
+    assert [(r.page_id, r.first_name, r.last_name, r.email) for r in got] == [(1, "Ann", "Lee", "a@x.org")] * 2
+
+
+def test_finds_with_bars_in_names_stay_apart(spark):
+    stored = spark.createDataFrame([], "id long, organization_id long, first_name string, last_name string, job_title string, email string, phone string, contact_relevance_score double, notes string")
+    found = spark.createDataFrame([(1, 7, "A|B", "C", None, None, None, False), (2, 7, "A", "B|C", None, None, None, False), (3, 7, "A", "B|C", None, None, None, False)],
+                                  "seq long, organization_id long, first_name string, last_name string, job_title string, email string, phone string, is_decision_maker boolean")
+    assert M.upsert_crawled_contacts(stored, found).count() == 2
 
 
 @pytest.mark.parametrize("value", [None, ""])
