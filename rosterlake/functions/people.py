@@ -161,3 +161,8 @@ def mailbox_title(email: str | Column) -> Column:
 def directory_mailbox_title(email: str | Column) -> Column:
     e = F.lower(col(email))
     return first_case([(e.contains(k), v) for k, v in DIRECTORY_MAILBOX_TITLES], "Unknown Position")
+
+
+def title_match_relevance(title: str, wanted: Column) -> Column:
+    """8 for a person whose title is the one searched for, else 7."""
+    return F.when(F.col(title) == wanted, 8.0).otherwise(7.0)

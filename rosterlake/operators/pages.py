@@ -662,17 +662,17 @@ def website_text(pages: DataFrame, key: str = "organization_id", page: str = "id
     return pages.select(key, page, html_to_text(html).alias("text")).filter(nonblank("text"))
 
 
-def evidence_from_results(results: DataFrame, pages: DataFrame, suffixes: Sequence[str], **lexicons) -> DataFrame:
+def evidence_from_results(results: DataFrame, pages: DataFrame, suffixes: Sequence[str] | None = None, competitor: Sequence = (), **lexicons) -> DataFrame:
     """Search hits joined to stored pages: first per registered domain, priority, category and state of the query,
     infrastructure evidence and competitor analysis, ready for the organization upsert."""
     from rosterlake.operators.selection import first_per_domain, result_priority
-    hits = first_per_domain(results, registered_domain("url", suffixes)).withColumn(
+    hits = first_per_domain(results, registered_domain("url", suffixes) if suffixes else registered_domain("url")).withColumn(
         "priority", result_priority(F.col("domain"), "title", "snippet")).withColumn(
         "category", F.coalesce(blank_to_null("category"), blank_to_null(S.category_in_query("query")))).withColumn(
         "state", F.coalesce("state", blank_to_null(S.state_in_query("query"))))
     j = hits.join(pages.select("url", F.col("text").alias("page_text")), "url")
     j = S.infrastructure_evidence(j, "page_text", "category", **lexicons)
-    return S.competitor_analysis(j, "page_text")
+    return S.competitor_analysis(j, "page_text", *competitor)
 
 
 # ---- outgoing mail --------------------------------------------------------------------------

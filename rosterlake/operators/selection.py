@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import blank_to_null, col, nonblank
+from rosterlake.functions.text import any_word, blank_to_null, col, nonblank
+from rosterlake.functions.urls import BLOCKED_RESULT_SITES
 from rosterlake.operators.predicates import first_listed, has_value, in_list
 
 
@@ -156,6 +157,19 @@ def keyset_page(df: DataFrame, size: int, last: tuple[float, int] | None = None,
     return df.orderBy(F.desc(score), F.asc("id")).limit(size)
 
 
+def by_opportunity(orgs: DataFrame, limit: int | None = None, score: str = "integration_opportunity_score") -> DataFrame:
+    """Organizations that are no competitors; with a limit the best by opportunity score, then id."""
+    q = orgs.filter(~F.coalesce(F.col("is_competitor"), F.lit(False)))
+    return q if limit is None else q.orderBy(F.desc(score), F.asc("id")).limit(limit)
+
+
+def top_result_site(results: DataFrame, top: int = 3) -> DataFrame:
+    """(query, website): the first of the top results of a query that is neither a blocked site nor a search page."""
+    hits = rank_within(results, ["query"], [F.asc("pos")], top)
+    ok = hits.filter(blank_to_null("url").isNotNull() & ~any_word(F.lower("url"), [*BLOCKED_RESULT_SITES, "search"]))
+    return ok.groupBy("query").agg(F.min_by("url", "pos").alias("website"))
+
+
 def by_type_priority(df: DataFrame, priority: Sequence[str], limit: int | None, seq: str) -> DataFrame:
     """The first ``limit`` rows by the type's place in the list; without a limit all rows with that place as ``type_rank``, unsorted."""
     place = first_listed(F.col("org_type"), priority)

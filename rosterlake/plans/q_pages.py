@@ -320,13 +320,10 @@ def _(t):
 SELECT h.domain, h.pos, least(10.0, len(list_filter({sql_list(['the', 'ention', 'que'])}, lambda w: contains(lower(d.text), w))))::DOUBLE AS infrastructure_score, {has('lower(d.text)', ['whorth'])} OR len(list_filter({sql_list(['sch', 'los'])}, lambda w: contains(lower(d.text), w))) >= 2 AS is_likely_competitor
 FROM (SELECT regexp_extract(url, '://(?:www\\.)?([^/]*)', 1) AS domain, min(pos) AS pos FROM search_results GROUP BY 1) h JOIN documents d ON d.doc_id = h.pos""")
 def _(t):
-    from rosterlake.operators import scoring as S
-    from rosterlake.functions import urls as U
-    from rosterlake.operators.selection import first_per_domain
-    hits = first_per_domain(t.search_results, U.registered_domain("url"))
-    pages = t.documents.select(F.col("doc_id").alias("pos"), "text")
-    q = S.infrastructure_evidence(hits.join(pages, "pos"), "text", "category", {"water": ["the", "Ention", "que"], "municipal": ["the", "Ention", "que"], "agriculture": ["the", "Ention", "que"]}, [], [], {}, {})
-    return S.competitor_analysis(q, "text", ["sch", "los"], ["whorth"]).select("domain", "pos", "infrastructure_score", "is_likely_competitor")
+    stored = t.search_results.select("pos", "url").join(t.documents.select(F.col("doc_id").alias("pos"), "text"), "pos").select("url", "text")
+    words = {k: ["the", "Ention", "que"] for k in ("water", "municipal", "agriculture")}
+    q = P.evidence_from_results(t.search_results, stored, competitor=(["sch", "los"], ["whorth"]), processes=words, challenges=[], regulatory=[], sector_infra={}, sector_proc={})
+    return q.select("domain", "pos", "infrastructure_score", "is_likely_competitor")
 
 
 MAIL = "'<html><body><a href=\"https://town.gov/contact\">Contact us</a><p>Dear ' || fn || '</p><a href=\"mailto:' || email || '\">m</a><a href=\"https://town.gov/' || page_id || '\">see</a><footer><a href=\"https://town.gov/demo\">Demo</a></footer></body></html>'"

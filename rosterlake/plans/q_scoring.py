@@ -184,17 +184,25 @@ EXT = ("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN 'not json' ELSE '{\"
 PROJ = "CASE id % 3 WHEN 0 THEN '[{\"title\": \"a\", \"contains_automation\": true}, {\"title\": \"b\", \"contains_automation\": false}]' WHEN 1 THEN 'bad json' END"
 
 
-@query("c14_opportunity_rerank", "organizations discovered_urls", """
+C14 = """
 SELECT id, round(infra, 6)::DOUBLE AS infrastructure_score, automation::DOUBLE AS automation_level, comp AS is_competitor, round(opp, 6)::DOUBLE AS integration_opportunity_score, round(relevance_score * 0.2 + round(opp, 6) * 0.8, 6)::DOUBLE AS relevance_score FROM (
  SELECT *, greatest(0, infra * 0.4 + process * 0.3 + (1 - automation) * 0.3 - CASE WHEN comp THEN 0.4 * ok ELSE 0 END) AS opp FROM (
   SELECT o.id, relevance_score, ok, least(1, coalesce(ip, 0)::DOUBLE / greatest(coalesce(pages, 0), 1) + 0.3 * ok) AS infra, 0.25 * ok AS process, CASE WHEN coalesce(pr, 0) > 0 THEN ap::DOUBLE / pr ELSE 0.3 END AS automation,
    CASE WHEN ok = 1 AND o.id % 4 = 0 THEN true ELSE coalesce(is_competitor, false) END AS comp FROM (SELECT *, CASE WHEN id % 3 = 0 OR id % 7 = 0 THEN 0 ELSE 1 END AS ok FROM organizations) o
-  LEFT JOIN (SELECT organization_id, count(*) AS pages, count(*) FILTER (contains_infrastructure) AS ip, sum(CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END) AS pr, sum(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS ap FROM discovered_urls GROUP BY 1) u ON u.organization_id = o.id))""")
-def _(t):
+  LEFT JOIN (SELECT organization_id, count(*) AS pages, count(*) FILTER (contains_infrastructure) AS ip, sum(CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END) AS pr, sum(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS ap FROM discovered_urls GROUP BY 1) u ON u.organization_id = o.id))"""
+
+
+def reranked(t):
+    """Organizations with their opportunity score of C14."""
     o = t.organizations.withColumn("extended_data", F.expr(EXT))
     u = t.discovered_urls.withColumn("project_data", F.expr(PROJ))
-    return S.opportunity_rerank(o, u).select("id", F.round("infrastructure_score", 6).alias("infrastructure_score"), "automation_level",
-                                             "is_competitor", "integration_opportunity_score", "relevance_score")
+    return S.opportunity_rerank(o, u)
+
+
+@query("c14_opportunity_rerank", "organizations discovered_urls", C14)
+def _(t):
+    return reranked(t).select("id", F.round("infrastructure_score", 6).alias("infrastructure_score"), "automation_level",
+                              "is_competitor", "integration_opportunity_score", "relevance_score")
 
 
 @query("c15_cleanup_rescore", "organizations contacts", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import urls as U
 from rosterlake.operators import reports as R
 from rosterlake.operators import selection as S
+from rosterlake.plans.q_scoring import C14, reranked
 from rosterlake.plans.registry import query, sql_list
 
 ELIGIBLE = """(SELECT c.*, o.name AS organization_name, o.org_type, o.state FROM contacts c JOIN organizations o ON c.organization_id = o.id
@@ -212,11 +213,15 @@ def _(t):
     return R.ranked_lists(t.organizations, t.contacts)
 
 
-@query("t13_by_opportunity", "organizations",
-       "SELECT id, confidence_score FROM organizations WHERE NOT is_competitor")
+@query("t13_by_opportunity", "organizations discovered_urls", f"SELECT id, integration_opportunity_score FROM ({C14}) WHERE NOT is_competitor")
 def _(t):
-    return t.organizations.filter("NOT is_competitor").orderBy(F.desc("confidence_score"), F.asc("id")).select(
-        "id", "confidence_score")
+    return S.by_opportunity(reranked(t)).select("id", "integration_opportunity_score")
+
+
+@query("t13_top_opportunities", "organizations discovered_urls", f"""
+SELECT id, integration_opportunity_score FROM ({C14}) WHERE NOT is_competitor ORDER BY integration_opportunity_score DESC, id LIMIT 100""")
+def _(t):
+    return S.by_opportunity(reranked(t), 100).select("id", "integration_opportunity_score")
 
 
 @query("t14_real_before_generic", "contacts", """

@@ -14,11 +14,55 @@ from rosterlake.plans.q_scoring import LEX
 from rosterlake.plans.registry import query
 from rosterlake.sources import search as SE
 from rosterlake.sources import tables as TB
+from rosterlake.sources import tracking as TR
+from rosterlake.streaming.tracking import run_to_table, shared_folder
 
 
 @query("s1_full_scan", "organizations", "SELECT id, name, NULL::VARCHAR AS county, relevance_score FROM organizations")
 def _(t):
-    return TB.conform(t.organizations, TB.ORGANIZATION_SCHEMA).orderBy("id").select("id", "name", "county", "relevance_score")
+    folder = shared_folder(t.spark, "s1")
+    TB.conform(t.organizations, TB.ORGANIZATION_SCHEMA).write.parquet(folder)
+    return TB.read_entities(t.spark, folder, TB.ORGANIZATION_SCHEMA).select("id", "name", "county", "relevance_score")
+
+
+LOG = """
+SELECT ts, event_type, tracking_id, ip_address, user_agent, '' AS referrer FROM tracking_events"""
+
+
+def logged(t) -> str:
+    """The tracking events as a log of one folder per day."""
+    folder = shared_folder(t.spark, "log")
+    TR.write_tracking(t.tracking_events.withColumn("referrer", F.lit("")), folder)
+    return folder
+
+
+@query("s2_k1_tracking_log", "tracking_events", LOG)
+def _(t):
+    return TR.read_tracking(t.spark, logged(t)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("s2_tracking_log_stream", "tracking_events", LOG)
+def _(t):
+    lines = TR.stream_tracking(t.spark, f"{logged(t)}/date=*", files_per_trigger=20)
+    return run_to_table(lines, shared_folder(t.spark, "s2")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("s3_csv_export", "organizations", "SELECT id, name, org_type, nullif(website, '') AS website, relevance_score FROM organizations")
+def _(t):
+    folder = shared_folder(t.spark, "s3")
+    o = t.organizations.select("id", "name", "org_type", "website", "relevance_score")
+    TB.export_csv(o, folder)
+    return t.spark.read.schema(o.schema).option("header", True).csv(folder)
+
+
+@query("s4_assignments_file", "organizations", """
+SELECT org_type, 'user ' || org_type AS assigned_to, (row_number() OVER (ORDER BY org_type) - 1)::INT AS rank FROM (SELECT DISTINCT org_type FROM organizations WHERE org_type IS NOT NULL)""")
+def _(t):
+    folder = shared_folder(t.spark, "s4")
+    types = t.organizations.filter("org_type IS NOT NULL").select("org_type").distinct()
+    entries = F.sort_array(F.collect_list(F.struct(F.col("org_type").alias("k"), F.concat(F.lit("user "), "org_type").alias("v"))))
+    types.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.text(folder)
+    return TB.read_assignments(t.spark, folder)
 
 
 @query("s5_bounded_settings", "organizations", """

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from rosterlake.functions import content as C
 from rosterlake.functions import people as N
 from rosterlake.functions import urls as U
-from rosterlake.functions.text import blank_to_null, rows_of
+from rosterlake.functions.text import rows_of
+from rosterlake.operators import selection as SEL
 from rosterlake.plans.registry import query, sql_list
 
 HOST = r"lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)', 1))"
@@ -296,7 +297,7 @@ def _(t):
 @query("x29_title_match_relevance", "contacts",
        "SELECT id, CASE WHEN job_title = 'Operations Manager' THEN 8.0 ELSE 7.0 END::DOUBLE AS relevance FROM contacts")
 def _(t):
-    return t.contacts.select("id", F.when(F.col("job_title") == "Operations Manager", 8.0).otherwise(7.0).alias("relevance"))
+    return t.contacts.select("id", N.title_match_relevance("job_title", F.lit("Operations Manager")).alias("relevance"))
 
 
 @query("x31_reasons_text", "validation_reports", """
@@ -323,18 +324,8 @@ def _(t):
     return t.search_results.select("pos", U.first_snippet_site(F.expr(SNIP)).alias("website"))
 
 
-def top_site(df, top=3):
-    """First of the top results that is neither blocked nor a search page, one row per query."""
-    from rosterlake.operators.selection import rank_within
-    top_hits = rank_within(df, ["query"], [F.asc("pos")], top)
-    u = F.lower("url")
-    from rosterlake.functions.text import any_word
-    ok = top_hits.filter(blank_to_null("url").isNotNull() & ~any_word(u, U.BLOCKED_RESULT_SITES + ["search"]))
-    return ok.groupBy("query").agg(F.min_by("url", "pos").alias("website"))
-
-
 @query("x34_top_result_site", "search_results", """
 SELECT query, arg_min(url, pos) AS website FROM (SELECT query, pos, CASE WHEN pos < 7 THEN 'https://linkedin.com/x' ELSE url END AS url,
  row_number() OVER (PARTITION BY query ORDER BY pos) AS rn FROM search_results) WHERE rn <= 3 AND NOT contains(url, 'linkedin.com') GROUP BY query""")
 def _(t):
-    return top_site(t.search_results.withColumn("url", F.expr("CASE WHEN pos < 7 THEN 'https://linkedin.com/x' ELSE url END")))
+    return SEL.top_result_site(t.search_results.withColumn("url", F.expr("CASE WHEN pos < 7 THEN 'https://linkedin.com/x' ELSE url END")))

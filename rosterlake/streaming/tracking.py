@@ -106,6 +106,21 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_counts_to_table(stream: DataFrame, folder: str, value: str = "n") -> DataFrame:
+    """Process everything available of a windowed count and read its last state, open windows included.
+
+    Every trigger writes the counts that changed under its own number, so a repeated trigger replaces its rows; the latest count of
+    a key holds.
+    """
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    return rows.groupBy(*[c for c in stream.columns if c != value]).agg(F.max_by(value, "epoch").alias(value))
+
+
 def apply_batch(batch: DataFrame, version: int, folder: str, as_of: dt.datetime) -> None:
     """One micro-batch of accepted hits -> the next version of engagements, links and scores.
 
