@@ -27,7 +27,7 @@ class WordHashes(dict):
     """64-bit hash of each word met, emptied when it grows past a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
