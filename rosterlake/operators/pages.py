@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rosterlake.functions import people as N
 from rosterlake.functions.content import html_to_text
-from rosterlake.functions.text import any_word, blank_to_null, col, first_case, nonblank
+from rosterlake.functions.text import any_word, blank_to_null, col, first_case, nonblank, rows_of
 from rosterlake.functions.urls import host, registered_domain, short_id, tracking_url
 from rosterlake.operators import scoring as S
 from rosterlake.operators.predicates import IGNORED_URL_PATTERNS, generic_mailbox
@@ -370,9 +370,9 @@ def emails_in_pages(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"))
     return pages.select(*keep, F.explode(e).alias("email"), F.lit(0.75).alias("confidence"), F.lit(7.0).alias("relevance"))
 
 
-def _section_of(e: Column, tags: Sequence[str]) -> Column:
-    """Nearest heading before the element among its preceding elements."""
-    return F.try_element_at(F.filter("elements", lambda h: (h["seq"] < e["seq"]) & h["tag"].isin(*tags)), F.lit(-1))
+def _section_of(e: Column) -> Column:
+    """Nearest heading of level one to four before the element; the parse has noted its place."""
+    return F.when(e["head"] >= 0, F.get("elements", e["head"]))
 
 
 def people_from_sections(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
@@ -380,10 +380,10 @@ def people_from_sections(parsed: DataFrame, keep: Sequence[str] = ("page_id", "u
     heads = ["h1", "h2", "h3", "h4"]
     paras = F.filter("elements", lambda e: e["tag"].isin("p", "div"))
     found = F.transform(paras, lambda p: F.struct(
-        p["seq"].alias("seq"), H.text_of(p).alias("body"), H.text_of(_section_of(p, heads)).alias("heading"),
+        p["seq"].alias("seq"), H.text_of(p).alias("body"), H.text_of(_section_of(p)).alias("heading"),
         H.mailto(H.first_inside(p, lambda e: (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False)))).alias("mail"),
         F.exists(H.descendants(p), lambda e: e["tag"].isin("p", "div", *heads)).alias("outer")))
-    q = parsed.select(*keep, F.explode(found).alias("p")).select(*keep, "p.*")
+    q = parsed.select(*keep, rows_of(found).alias("p")).select(*keep, "p.*")
     q = q.filter(~F.col("outer") & (F.length("body") >= 10) & any_word(F.lower("heading"), SECTION_WORDS))
     title = F.trim(F.regexp_extract("body", TWO_WORD_NAME + r"[,:\s]+([^,\n]+?)(?:,|\n|$)", 2))
     dept = F.when(any_word(F.lower("heading"), DEPARTMENT_WORDS), F.concat("heading", F.lit(" Staff")))
@@ -396,11 +396,14 @@ def people_from_departments(parsed: DataFrame, keep: Sequence[str] = ("page_id",
     """Names set off in the block of a department heading, the text after the name as title."""
     els = F.col("elements")
     people = F.filter(els, lambda e: e["tag"].isin("h5", "h6", "strong", "b", "em"))
+    # the few department headings, and the telephone links, are picked once for a page
+    heads = F.filter(els, lambda h: h["tag"].isin("h2", "h3", "h4") & any_word(F.lower(H.text_of(h)), DEPARTMENT_WORDS))
+    phones = F.filter(els, lambda e: F.coalesce(e["href"].startswith("tel:"), F.lit(False)))
+    parsed = parsed.withColumn("_heads", heads).withColumn("_tel", phones)
 
     def department(p: Column) -> Column:
         # heading whose own block holds the name
-        return F.get(F.filter(els, lambda h: h["tag"].isin("h2", "h3", "h4") & any_word(F.lower(H.text_of(h)), DEPARTMENT_WORDS)
-                              & (F.get(els, h["parent"])["last"] >= p["seq"]) & (h["parent"] < p["seq"])), F.lit(0))
+        return F.get(F.filter("_heads", lambda h: (F.get(els, h["parent"])["last"] >= p["seq"]) & (h["parent"] < p["seq"])), F.lit(0))
 
     def block(p: Column) -> Column:
         return F.get(els, p["parent"])
@@ -409,8 +412,8 @@ def people_from_departments(parsed: DataFrame, keep: Sequence[str] = ("page_id",
         p["seq"].alias("seq"), H.text_of(p).alias("name"), H.text_of(department(p)).alias("department"), H.text_of(block(p)).alias("around"),
         F.trim(F.regexp_extract(F.substr("text", p["t1"] + 1, block(p)["t1"] - p["t1"]), r"^[\s,:–-]*([^\n]*)", 1)).alias("after"),
         H.mailto(F.get(F.filter(H.descendants(block(p)), lambda e: (e["tag"] == "a") & F.coalesce(e["href"].startswith("mailto:"), F.lit(False))), F.lit(0))).alias("mail"),
-        F.regexp_extract(F.get(F.filter(els, lambda e: (e["seq"] > p["seq"]) & F.coalesce(e["href"].startswith("tel:"), F.lit(False))), F.lit(0))["href"], "^tel:(.*)$", 1).alias("tel")))
-    q = parsed.select(*keep, F.explode(found).alias("p")).select(*keep, "p.*").filter(nonblank("department") & F.length("name").between(4, 40))
+        F.regexp_extract(F.get(F.filter("_tel", lambda e: e["seq"] > p["seq"]), F.lit(0))["href"], "^tel:(.*)$", 1).alias("tel")))
+    q = parsed.select(*keep, rows_of(found).alias("p")).select(*keep, "p.*").filter(nonblank("department") & F.length("name").between(4, 40))
     q = (q.withColumn("job_title", F.trim(F.regexp_replace("after", N.EMAIL_IN_TEXT + "|" + N.PHONE_ANY, "")))
          .withColumn("email", F.coalesce(blank_to_null("mail"), N.first_email("around")))
          .withColumn("phone", F.coalesce(blank_to_null("tel"), N.first_phone("around", N.PHONE_ANY))))
@@ -484,28 +487,30 @@ def people_from_paragraphs(parsed: DataFrame, profiles: Sequence[dict], keep: Se
 
 def directory_pages(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Does a page look like a staff directory?"""
-    els = F.col("elements")
+    return parsed.select(*keep, _is_directory(F.col("elements")).alias("is_directory"))
+
+
+def _is_directory(els: Column) -> Column:
     boxes = F.exists(els, lambda e: e["tag"].isin("div", "section") & H.has_class(e, DIRECTORY_CLASSES))
     heads = F.exists(els, lambda e: (e["tag"] == "th") & F.lower(H.text_of(e)).isin(TABLE_HEADERS))
     people = F.size(F.filter(els, lambda e: e["tag"].isin("h3", "h4", "h5", "strong") & H.text_of(e).rlike(TWO_WORD_NAME)))
-    return parsed.select(*keep, (boxes | heads | (people > 3)).alias("is_directory"))
+    return boxes | heads | (people > 3)
 
 
 def extract_people(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Strategy by page: directory (cards, else tables, else mail links), contact page (sections, else mail links),
     other pages mail links; structured data always. One parse, one union, lowest strategy that found something."""
-    parsed = cut_lineage(H.parse_pages(pages, keep=tuple(keep)))  # written once, read by every strategy
     u = F.lower("url")
-    kind = (F.when(any_word(u, ["directory", "staff"]) | F.col("is_directory"), "directory").when(u.contains("contact"), "contact").otherwise("other"))
-    kinds = directory_pages(parsed, keep).withColumn("page_kind", kind).select(keep[0], "page_kind")
+    kind = F.when(any_word(u, ["directory", "staff"]) | _is_directory(F.col("elements")), "directory").when(u.contains("contact"), "contact").otherwise("other")
+    parsed = cut_lineage(H.parse_pages(pages, keep=tuple(keep)).withColumn("page_kind", kind))  # written once, read by every strategy
 
-    def step(df: DataFrame, rank: int, *wanted: str) -> DataFrame:
-        return df.withColumn("strategy_rank", F.lit(rank)).join(kinds.filter(F.col("page_kind").isin(*wanted)), keep[0])
+    def step(strategy, rank: int, *wanted: str) -> DataFrame:
+        rows = parsed.filter(F.col("page_kind").isin(*wanted)) if wanted else parsed
+        return strategy(rows, keep).withColumn("strategy_rank", F.lit(rank))
 
-    chain = (step(people_from_cards(parsed, keep), 1, "directory").unionByName(step(people_from_tables(parsed, keep), 2, "directory"))
-             .unionByName(step(people_from_sections(parsed, keep), 1, "contact"))
-             .unionByName(step(people_from_mailto(parsed, keep), 3, "directory", "contact", "other")))
-    found = lowest_strategy(chain, keep[0], "strategy_rank").drop("strategy_rank", "page_kind")
+    chain = (step(people_from_cards, 1, "directory").unionByName(step(people_from_tables, 2, "directory"))
+             .unionByName(step(people_from_sections, 1, "contact")).unionByName(step(people_from_mailto, 3)))
+    found = lowest_strategy(chain, keep[0], "strategy_rank").drop("strategy_rank")
     return found.unionByName(people_from_json_ld(pages, keep)).unionByName(people_from_microdata(parsed, keep))
 
 
@@ -550,7 +555,8 @@ def organizations_from_listing(parsed: DataFrame, states: Sequence[str], terms:
 def organization_name(parsed: DataFrame, pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """JSON-LD organization, site name, logo text, header heading, then the title without its suffix."""
     els = F.col("elements")
-    heading = F.get(F.filter(els, lambda e: e["tag"].isin("h1", "h2", "h3") & F.exists(els, lambda h: (h["tag"] == "header") & H.inside(e, h))), F.lit(0))
+    heads = F.flatten(F.transform(F.filter(els, lambda h: h["tag"] == "header"), lambda h: F.filter(H.descendants(h), lambda e: e["tag"].isin("h1", "h2", "h3"))))
+    heading = F.get(heads, F.lit(0))
     logo = F.get(F.filter(els, lambda e: (e["tag"] == "img") & nonblank(e["alt"]) & (e["cls"].contains("logo") | F.lower(e["alt"]).contains("logo"))), F.lit(0))["alt"]
     nested = parsed.select(keep[0], blank_to_null(H.text_of(heading)).alias("_head"), F.trim(F.regexp_replace(logo, r"(?i)\s*logo\s*", " ")).alias("_logo"))
     ld = F.get(F.filter(F.transform(H.json_ld("html"), lambda j: F.from_json(j, "name string, `@type` string")), lambda o: o["@type"].contains("Organization")), F.lit(0))["name"]

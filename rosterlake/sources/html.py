@@ -17,7 +17,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 KEPT = {"div", "section", "article", "p", "span", "h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "em", "a", "table", "tr", "td",
         "th", "ul", "ol", "li", "dl", "dt", "dd", "form", "header", "footer", "nav", "main", "address", "img", "meta", "link", "body"}
 ELEMENT = ("struct<seq:int,last:int,parent:int,tag:string,cls:string,ident:string,href:string,prop:string,itemtype:string,"
-           "alt:string,content:string,t0:int,t1:int>")
+           "alt:string,content:string,t0:int,t1:int,head:int>")
+HEADS = {"h1", "h2", "h3", "h4"}
+PAGES_AT_ONCE = 128  # parsed rows that a worker holds before it hands them over
 
 
 class _Elements(HTMLParser):
@@ -27,6 +29,7 @@ class _Elements(HTMLParser):
         self.text: list[str] = []
         self.length = 0
         self.open: list[tuple[str, int]] = []  # (tag, row number or -1)
+        self.head = -1  # row number of the last heading met
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -37,7 +40,9 @@ class _Elements(HTMLParser):
             self.rows.append({"seq": row, "last": row, "parent": parent, "tag": tag, "cls": a.get("class", "").lower(),
                               "ident": a.get("id", "").lower(), "href": a.get("href"), "prop": a.get("itemprop") or a.get("property") or a.get("name"),
                               "itemtype": a.get("itemtype"), "alt": a.get("alt"), "content": a.get("content"),
-                              "t0": self.length, "t1": self.length})
+                              "t0": self.length, "t1": self.length, "head": self.head})
+            if tag in HEADS:
+                self.head = row
         if tag not in VOID:
             self.open.append((tag, row))
 
@@ -73,14 +78,16 @@ def parse_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("
     """Adds ``text`` and ``elements`` to the kept columns; one output row per input row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, elements = [], []
-            for h in pdf[html]:
-                p = _Elements()
-                p.feed(h or "")
-                t, rows = p.done()
-                texts.append(t)
-                elements.append(rows)
-            yield pdf[list(keep)].assign(text=texts, elements=elements)
+            for at in range(0, len(pdf), PAGES_AT_ONCE):
+                part = pdf.iloc[at : at + PAGES_AT_ONCE]
+                texts, elements = [], []
+                for h in part[html]:
+                    p = _Elements()
+                    p.feed(h or "")
+                    t, rows = p.done()
+                    texts.append(t)
+                    elements.append(rows)
+                yield part[list(keep)].assign(text=texts, elements=elements)
 
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(*keep, html).mapInPandas(run, f"{fields}, text string, elements array<{ELEMENT}>")
