@@ -48,7 +48,7 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def map_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[..., list], drop: list[str] | None = None) -> DataFrame:
-    """Append the columns ``fields`` that ``fn`` makes, one list each, from the lists of the input columns of a batch; drop ``drop``."""
+    """Append the columns ``fields`` that ``fn`` makes, one list or Arrow array each, from the lists of the input columns of a batch; drop ``drop``."""
     drop, new = inputs if drop is None else drop, T.StructType.fromDDL(fields)
     kept = [f.name for f in df.schema.fields if f.name not in drop]
     schema = T.StructType([*[df.schema[c] for c in kept], *new.fields])
@@ -57,7 +57,7 @@ def map_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[...,
     def run(batches):
         for b in batches:
             out = fn(*[b.column(c).to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays([*[b.column(c).cast(arrow.field(c).type) for c in kept], *[pa.array(v, arrow.field(f.name).type) for v, f in zip(out, new.fields)]], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).cast(arrow.field(c).type) for c in kept], *[v.cast(arrow.field(f.name).type) if isinstance(v, pa.Array) else pa.array(v, arrow.field(f.name).type) for v, f in zip(out, new.fields)]], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
