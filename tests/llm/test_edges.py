@@ -168,6 +168,7 @@ def test_attention_windows_score_every_token_once():
     counts = np.random.default_rng(0).integers(0, 100, len(ranks))
     model = lm_scoring.Attention(counts, 10, ranks)
     texts = [np.array(x, np.uint16) for x in ([], [5], list(range(300, 316)), list(range(1000, 1071)))]
+    model.follow({5 << 16 | 300: 7})
     model.train(texts)
     p = {k: v.copy() for k, v in model.p.items()}
     model.fold()

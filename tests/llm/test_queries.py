@@ -33,13 +33,14 @@ def test_similarity_join_against_brute_force(spark):
 
 
 def test_language_model_columns_against_brute_force(spark):
-    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     split = {d: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))) + [None] for d, t in docs}
     out = {d for d, _ in docs if zlib.crc32(str(d).encode()) % 10 == 0}
     counts = Counter(w for d, ws in split.items() if d not in out for w in ws)
     n, v = sum(counts.values()), len(counts)
     better = 0
-    for r in QUERIES["op6_attention"](spark, SF).collect():
+    for r in QUERIES["op6_attention"](spark, sf).collect():
         ws = split[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in out, len(ws), sum(w in counts for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
