@@ -668,6 +668,11 @@ def website_text(pages: DataFrame, key: str = "organization_id", page: str = "id
     return pages.select(key, page, html_to_text(html).alias("text")).filter(nonblank("text"))
 
 
+def website_first_text(rows: DataFrame, key: str = "organization_id", page: str = "id") -> DataFrame:
+    """Whole text of each site's first page, for readers that take one page only."""
+    return rows.groupBy(key).agg(F.min_by("text", page).alias("text"))
+
+
 def evidence_from_results(results: DataFrame, pages: DataFrame, suffixes: Sequence[str] | None = None, competitor: Sequence = (), **lexicons) -> DataFrame:
     """Search hits joined to stored pages: first per registered domain, priority, category and state of the query,
     infrastructure evidence and competitor analysis, ready for the organization upsert."""

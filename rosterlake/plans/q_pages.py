@@ -129,6 +129,13 @@ def _(t):
     return P.website_text(t.discovered_urls).select("organization_id", F.col("id").alias("page"), F.md5("text").alias("digest"))
 
 
+@query("p27_website_text_head", "discovered_urls", f"""
+SELECT organization_id, md5(arg_min(x, id)) AS digest FROM (SELECT organization_id, id, {HTML_TEXT_SQL} AS x FROM (SELECT id, organization_id % 30 AS organization_id, html_content AS html FROM discovered_urls)) WHERE trim(x) <> '' GROUP BY 1""")
+def _(t):
+    rows = P.website_text(t.discovered_urls.withColumn("organization_id", F.expr("organization_id % 30")))
+    return P.website_first_text(rows).select("organization_id", F.md5("text").alias("digest"))
+
+
 # ---- staff pages ----------------------------------------------------------------------------
 FULL = "fn || ' ' || ln"
 LAYOUTS = {
