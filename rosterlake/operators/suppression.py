@@ -39,6 +39,16 @@ def _enter(starts: Sequence[int], ends: Sequence[int], last: int, gap: int) -> i
     return int(ends[i]) if i < len(starts) else last
 
 
+def accepted(us: np.ndarray, last: int, gap: int) -> tuple[list[int], int]:
+    """Places of the accepted among sorted times, each found by a jump over its wait, and the last accepted time."""
+    keep, at = [], int(np.searchsorted(us, last + gap))
+    while at < len(us):
+        keep.append(at)
+        last = int(us[at])
+        at += int(np.searchsorted(us[at:], last + gap))
+    return keep, last
+
+
 def suppress_repeats(events: DataFrame, keys: Sequence[str] = ("event_type", "tracking_id"), ts: str = "ts", row: str = "event_id",
                      seconds: float = 60, long_run: int = 2_000_000, chunk_seconds: int = 3600) -> DataFrame:
     """Accepted events only: an event is dropped when it comes less than ``seconds`` after the last *accepted* one of
@@ -74,11 +84,12 @@ def _scan(work: DataFrame, keys: Sequence[str], row: str, gap: int) -> DataFrame
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, last = None, NONE
         for pdf in batches:
-            keep = []
-            for i, (r, t) in enumerate(zip(pdf["rid"].tolist(), pdf["us"].tolist())):
-                if r != run or t - last >= gap:
-                    run, last = r, t
-                    keep.append(i)
+            rid, us, keep = pdf["rid"].to_numpy(), pdf["us"].to_numpy(), []
+            start = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else []
+            for a, b in zip(start, [*start[1:], len(rid)]):
+                last, run = (last if rid[a] == run else NONE), rid[a]
+                hits, last = accepted(us[a:b], last, gap)
+                keep.extend(a + h for h in hits)
             yield pdf.iloc[keep][[*keys, row]]
 
     schema = T.StructType([work.schema[c] for c in [*keys, row]])
@@ -126,10 +137,7 @@ def _scan_in_chunks(work: DataFrame, keys: Sequence[str], row: str, gap: int, ch
 
     def accept(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us")
-        a, keep, last = pdf["us"].to_numpy(), [], int(pdf["last"].iloc[0])
-        while (pos := int(np.searchsorted(a, last + gap))) < len(a):
-            keep.append(pos)
-            last = int(a[pos])
+        keep, _ = accepted(pdf["us"].to_numpy(), int(pdf["last"].iloc[0]), gap)
         return pdf.iloc[keep][[*keys, row]]
 
     maps = e.groupBy("rid", "span", "chunk").applyInPandas(chunk_map, T.StructType([rid, f_span, f_chunk, *f_map]))

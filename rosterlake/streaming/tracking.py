@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rosterlake.operators import engagement as E
 from rosterlake.operators import joins as J
-from rosterlake.operators.suppression import device_breakdown
+from rosterlake.operators.suppression import NONE, accepted, device_breakdown
 from rosterlake.sources.tables import replace_table
 
 WATERMARK = "10 minutes"
@@ -39,12 +39,7 @@ def suppress_repeats_stream(events: DataFrame, keys: Sequence[str] = ("event_typ
             state.remove()
             return
         pdf = _in_order(frames, ts, row)
-        last = state.get[0] if state.exists else None
-        keep = []
-        for i, t in enumerate(pdf[ts].astype("datetime64[us]").astype("int64").tolist()):
-            if last is None or t - last >= gap:
-                keep.append(i)
-                last = t
+        keep, last = accepted(pdf[ts].astype("datetime64[us]").astype("int64").to_numpy(), state.get[0] if state.exists else NONE, gap)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
         yield pdf.iloc[keep][cols]
