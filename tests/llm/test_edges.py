@@ -190,6 +190,21 @@ def test_attention_windows_score_every_token_once():
     assert at == len(gain)
 
 
+def test_attention_sees_sixteen_tokens_before_a_window_and_has_own_classes():
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    counts = np.random.default_rng(0).permutation(len(ranks)) + 1
+    model = lm_scoring.Attention(counts, 10, ranks)
+    top = np.argsort(-counts)[:63]
+    assert model.within[top] == pytest.approx(1) and model.p["o"].shape[1] == 128 and model.opens.size == 128
+    model.fold()
+    text = np.arange(300, 332)
+    other = text.copy()
+    other[0] = int(top[0])
+    first, second = model.next_logs([text])[0], model.next_logs([other])[0]
+    assert first[16] != second[16]  # the first subword of the second window, sixteen places later
+    assert (first[17:] == second[17:]).any()
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/ü\r\nX: y", ""), (None, "n", big), (5, "u", "small"), (6, "u", "small"), (2, "again", big), (None, "m", "z" * 1000), (None, "m", "z" * 1000)]

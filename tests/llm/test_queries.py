@@ -49,6 +49,20 @@ def test_language_model_columns_against_brute_force(spark):
     assert better > 0
 
 
+def test_language_model_columns_on_the_smaller_table(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    split = {d: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [None] for d, t in docs.items()}
+    counts = Counter(w for d, ws in split.items() if zlib.crc32(str(d).encode()) % 10 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    got = QUERIES["op6_attention"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ws = split[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in counts for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
+        assert math.isfinite(r.score) and r.score < 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op9_field_marginals"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
