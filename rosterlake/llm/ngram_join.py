@@ -135,23 +135,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 def forest_edges(reps: DataFrame, threshold: float, target: float) -> DataFrame:
     """(a, b, est): documents that share a tree's prefix, each with the first document of that place in the trie.
 
-    Prefixes begin at full length and lose one hash a round. A round stops the walk when the links it found, each standing for
-    1 / P(found) of its estimated similarity, show that the target share of all links has been met, or when even a pair exactly at the
-    threshold is found that surely.
+    The prefix is the longest by which a pair exactly at the threshold is found with the target probability, so every link is found at
+    least that surely, whatever else the corpus holds.
     """
-    for depth in range(DEPTH, 0, -1):
-        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("mins", 4 * DEPTH * i + 1, 4 * depth)) for i in range(TREES)])
-        placed = reps.select("node", F.explode_outer(keys).alias("key"))
-        shared = spill(placed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"))
-        pairs = spill(join_sized(placed, shared, ["key"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-        with_a = join_sized(reps.select(F.col("node").alias("a"), F.col("mins").alias("ma")), pairs, ["a"])
-        with_b = join_sized(reps.select(F.col("node").alias("b"), F.col("mins").alias("mb")), spill(with_a), ["b"])
-        edges = spill(map_columns(with_b, ["ma", "mb"], "est double", _agreement))
-        near = edges.where(F.col("est") >= threshold)
-        met, stand_for = near.agg(F.count("*"), F.sum(1 / found_share(F.col("est"), depth))).first()
-        if found_share(threshold, depth) >= target or met and met / stand_for >= target:
-            break
-    return edges
+    depth = next((d for d in range(DEPTH, 1, -1) if found_share(threshold, d) >= target), 1)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("mins", 4 * DEPTH * i + 1, 4 * depth)) for i in range(TREES)])
+    placed = reps.select("node", F.explode_outer(keys).alias("key"))
+    shared = spill(placed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"))
+    pairs = spill(join_sized(placed, shared, ["key"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    with_a = join_sized(reps.select(F.col("node").alias("a"), F.col("mins").alias("ma")), pairs, ["a"])
+    with_b = join_sized(reps.select(F.col("node").alias("b"), F.col("mins").alias("mb")), spill(with_a), ["b"])
+    return spill(map_columns(with_b, ["ma", "mb"], "est double", _agreement))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
