@@ -12,7 +12,7 @@ from rosterlake.session import ensure_checkpoint_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go; the others lose the lines that too many documents of their source repeat."""
-    return quality_rules.clean(docs)
+    return quality_rules.clean(docs, whole_sets=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

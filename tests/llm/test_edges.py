@@ -51,6 +51,13 @@ def test_common_lines_go_and_copies_do_not_make_them(spark):
     assert not any(r.kept for r in quality_rules.judge(depleted, max_share=0.0).collect())
 
 
+def test_lines_go_from_documents_that_share_a_second_line(spark):
+    first, second = sorted((f"{a} shared line {b}" for a in "abcdefghij" for b in "abcdefghij"), key=lambda x: quality_rules.line_table(x.encode())[0]["h"])[:2]
+    body = [" ".join(f"{'abcdefgh'[d % 8]}{'klmno'[d // 8]}word{'x' * i}" for i in range(60)) for d in range(40)]
+    docs = spark.createDataFrame([(d, f"{first}\n{b}\n{second}", "h") for d, b in enumerate(body)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()} == dict(enumerate(body))
+
+
 def test_url_rules_and_templates(spark):
     rows = [(1, None), (2, ""), (3, "no scheme/en/1"), (4, "https://WWW.Example.com/en/12?x#y"), (5, "http://a.example.com/en/12"), (6, "http://b.net/es/7"), (7, "http://b.net/es"),
             (8, "http://shop.com"), (9, "http://shop.com/"), (9, "http://shop.com/"), (10, "http://netx/es/1"), (11, "a://b://c/d")]
