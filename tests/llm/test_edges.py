@@ -210,6 +210,23 @@ def test_attention_windows_score_every_token_once():
     assert at == len(gain)
 
 
+def test_member_logs_come_from_all_pairs_of_a_large_corpus(spark):
+    words = spark.createDataFrame([("the", 3_000_000_000), ("unbelievable", 2000), ("xylographically", 1500), ("unbelievably", 0), ("zzqqxx", 0)], "word string, c long")
+    coded = lm_scoring.coded_words(words, lm_scoring.TOKENIZER).localCheckpoint()
+    pairs = lm_scoring.pair_counts(coded).localCheckpoint()
+    model = lm_scoring.Attention(lm_scoring.subword_counts(coded, pairs, lm_scoring.TOKENIZER), 10, lm_scoring.ranks_of(lm_scoring.TOKENIZER))
+    encoder = lm_scoring.Subwords(lm_scoring.TOKENIZER).encoder
+    ids = {r.word: encoder.encode_ordinary(" " + r.word) for r in words.collect()}
+    exact: dict = {}
+    for r in words.collect():
+        for a, b in zip(ids[r.word], ids[r.word][1:]):
+            exact[a << 16 | b] = exact.get(a << 16 | b, 0) + r.c
+    assert {r["key"]: r["c"] for r in pairs.collect()} == exact and len(exact) > 3
+    model.follow(exact)
+    got = {r["word"]: r["member"] for r in lm_scoring.member_table(coded, pairs, model).collect()}
+    assert got == {w: pytest.approx(model.member_logs(x)) for w, x in ids.items()}
+
+
 def test_attention_sees_sixteen_tokens_before_a_window_and_has_own_classes():
     ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
     counts = np.random.default_rng(0).permutation(len(ranks)) + 1
