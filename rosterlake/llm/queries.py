@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import decontaminate, license_scans, lm_scoring, mixing, ngram_join, quality_rules, sharding, toxicity, url_filters, warc
+from rosterlake.llm import decontaminate, license_scans, lm_scoring, mixing, ngram_join, quality_rules, sharding, source_divergence, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_minhash_forest": ngram_join.op8_minhash_forest,
     "op9_field_marginals": toxicity.op9_field_marginals,
     "op10_temperature": mixing.op10_temperature,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
 }
 ORACLES = {
     "op1_line_frequency": quality_rules.SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_jump_hash": sharding.SQL,
     "op7_indexed_archives": warc.SQL,
     "op10_temperature": mixing.SQL,
+    "op11_source_divergence": source_divergence.SQL,
 }
