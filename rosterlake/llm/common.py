@@ -32,13 +32,17 @@ def row_key(*columns: Column) -> Column:
     return F.md5(F.concat_ws("\u0001", *parts))
 
 
+def stored(df: DataFrame) -> str:
+    """Write the rows as Parquet under the shared checkpoint folder; returns where."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def spill(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet under the shared checkpoint folder and read them back; later stages restart from there."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL with the same rows, where SQL can say it."""
 from __future__ import annotations
 
-from rosterlake.llm import decontaminate, license_scans, lm_scoring, mixing, ngram_join, quality_rules, sharding, source_divergence, toxicity, url_filters, warc
+from rosterlake.llm import decontaminate, embedding_dedup, hard_negatives, license_scans, lm_scoring, mixing, ngram_join, quality_rules, sharding, source_divergence, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
@@ -15,6 +15,8 @@ QUERIES = {
     "op9_field_marginals": toxicity.op9_field_marginals,
     "op10_temperature": mixing.op10_temperature,
     "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_product_quantisation": embedding_dedup.op12_product_quantisation,
+    "op13_residue_gemm": hard_negatives.op13_residue_gemm,
 }
 ORACLES = {
     "op1_line_frequency": quality_rules.SQL,
@@ -25,4 +27,6 @@ ORACLES = {
     "op7_indexed_archives": warc.SQL,
     "op10_temperature": mixing.SQL,
     "op11_source_divergence": source_divergence.SQL,
+    "op12_product_quantisation": embedding_dedup.SQL,
+    "op13_residue_gemm": hard_negatives.SQL,
 }
