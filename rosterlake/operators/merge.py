@@ -1,6 +1,6 @@
 """Upserts, merges and other changes as pure functions: (stored, new) -> stored.
 
-Plain Parquet has no MERGE, so the result is the whole new table; ``sources.tables.replace_table`` swaps it in.
+Plain Parquet has no MERGE, so the result is the whole new table; ``streaming.changes`` keeps only the rows that changed.
 Groups are reduced by aggregates that merge on the map side, never gathered; "first filled value in order" is
 ``min_by`` over an explicit order, so no result depends on partitioning.
 """

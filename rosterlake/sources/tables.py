@@ -1,8 +1,4 @@
-"""Stored tables: typed reads, versioned replacement, exports and run logs.
-
-Plain Parquet has no in-place change. A table is a folder of versions; a replacement writes the next version and
-then points to it, so readers and a retried job always see one whole version.
-"""
+"""Stored tables: typed reads, exports and run logs."""
 from __future__ import annotations
 
 import datetime as dt
@@ -34,41 +30,6 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions, oldest first."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    found = []
-    for s in fs.listStatus(p):
-        name = s.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    have = versions(spark, path)
-    if not have:
-        raise FileNotFoundError(path)
-    r = spark.read if schema is None else spark.read.schema(schema)
-    return r.parquet(f"{path}/v={have[-1]}")
-
-
-def replace_table(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write the next version. The same version number written again (a retried batch) gives the same table."""
-    spark = df.sparkSession
-    v = version if version is not None else (versions(spark, path)[-1:] or [0])[0] + 1
-    df.write.mode("overwrite").parquet(f"{path}/v={v}")
-    return v
-
-
 def append_table(df: DataFrame, path: str, *partition_by: str) -> None:
     w = df.write.mode("append")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

@@ -21,14 +21,6 @@ def test_tracking_log_round_trip(spark, tmp_path):
     assert back.select(F.col("ts").cast("string"), *cols).exceptAll(e.select(F.col("ts").cast("timestamp").cast("string"), *cols)).count() == 0
 
 
-def test_replace_table_keeps_versions(spark, tmp_path):
-    p = str(tmp_path / "t")
-    assert TB.replace_table(spark.range(3), p) == 1 and TB.replace_table(TB.read_table(spark, p).filter("id > 0"), p) == 2
-    assert TB.read_table(spark, p).count() == 2 and TB.versions(spark, p) == [1, 2]
-    TB.replace_table(spark.range(5), p, version=2)
-    assert TB.read_table(spark, p).count() == 5
-
-
 def test_settings(spark, tmp_path):
     a = tmp_path / "a.json"
     a.write_text(json.dumps({"water": "ana", "municipal": "ana", "engineering": "ben"}))
