@@ -41,6 +41,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+MARK = "\u0001"
+
+
+def marked(text: Column) -> Column:
+    """The text with a mark at both ends of every word, so that a marked keyword occurs in it only at the edges of words."""
+    return F.regexp_replace(F.translate(text, MARK, " "), r"([\p{L}\p{N}_]+)", f"{MARK}$1{MARK}")
+
+
+def mark(word: str) -> str:
+    """The same for a word of a fixed list."""
+    return re.sub(r"(\w+)", rf"{MARK}\1{MARK}", word.replace(MARK, " "))
+
+
 def any_word(text: str | Column, words: Sequence[str]) -> Column:
     """Substring test against a short fixed list. A bare column gets one short-circuit OR, or for longer lists one
     array test, which keeps the generated method small enough to be compiled; a computed text is evaluated once and

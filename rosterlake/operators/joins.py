@@ -7,12 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import ahocorasick
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rosterlake.functions.text import blank_to_null, map_of, strings
 
@@ -73,45 +69,6 @@ def first_url_match(rows: DataFrame, urls: DataFrame, source_url: str = "source_
     return rows.join(first, rows[source_url] == first["url"]).drop(first["url"])
 
 
-def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, block: int = 50_000) -> DataFrame:
-    """Containment join: one row per text row and lexicon row whose keyword occurs in the text, case-insensitive.
-
-    Distinct keywords are dealt into blocks of about ``block``; each block is one multi-pattern automaton that scans all texts in one
-    pass, so memory is bounded by the block and work grows with the number of blocks. Categories and weights are joined to the hits by
-    keyword. Repeated text rows, NULL keys, repeated lexicon rows and NULL weights all count as they are; NULL texts and empty or
-    NULL keywords hit nothing.
-    """
-    lex = lexicon.select("category", F.lower("keyword").alias("keyword"), "weight").filter(F.length("keyword") > 0)
-    words = lex.select("keyword").distinct()
-    base = texts.select(F.col(key).alias("_key"), F.lower(text).alias("_t")).filter("_t IS NOT NULL")
-    blocks = max(1, -(-words.count() // block))
-    schema = T.StructType([T.StructField("_key", base.schema["_key"].dataType), T.StructField("keyword", T.StringType())])
-    hits = None
-    for b in range(blocks):
-        listed = [r["keyword"] for r in words.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).collect()]
-        found = base.mapInArrow(_keyword_scan(texts.sparkSession.sparkContext.broadcast(listed)), schema)
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.join(lex, "keyword").select(F.col("_key").alias(key), "category", "keyword", "weight")
-
-
-def _keyword_scan(listed):
-    def scan(batches):
-        if not listed.value:
-            return
-        found = ahocorasick.Automaton()
-        for w in listed.value:
-            found.add_word(w, w)
-        found.make_automaton()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                hits = [list({w for _, w in found.iter(t)}) for t in part.column("_t").to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(hits)), [len(h) for h in hits]))
-                yield pa.RecordBatch.from_arrays([part.column("_key").take(rows), pa.array([w for h in hits for w in h], pa.string())], names=["_key", "keyword"])
-
-    return scan
-
-
 def first_matching_profile(df: DataFrame, profiles: Sequence[dict], title: str = "job_title",
                            default: float = 5.0, out: str = "relevance_score") -> DataFrame:
     """Relevance of the first profile whose role or one of whose synonyms occurs in the title."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rosterlake import lexicons as L
 from rosterlake.functions import people as N
 from rosterlake.functions.text import (any_word, blank_to_null, col, count_words, first_case, found_words, let, lookup,
-                                       map_of, nonblank, strings)
+                                       map_of, mark, marked, nonblank, strings)
 from rosterlake.functions.urls import host_without_www
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -69,14 +69,15 @@ def normalized(text: str | Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(spaced, r"\s+", " ")), F.lit(" "))
 
 
-def _probe(keyword: str) -> str:
+def _probe(keyword: str, boundary: bool = False) -> str:
     k = keyword.lower()
-    return k if len(k.split()) > 1 else f" {k} "
+    return k if len(k.split()) > 1 and not boundary else f" {k} "
 
 
 def category_scores(df: DataFrame, lexicon: dict[str, Sequence[str]] = L.CATEGORY_KEYWORDS,
-                    weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Adds ``scores``: an array of (category, score) in lexicon order. One word = exact token, phrase = substring."""
+                    weights: dict[str, float] = FIELD_WEIGHTS, boundary: bool = False) -> DataFrame:
+    """Adds ``scores``: an array of (category, score) in lexicon order. One word = exact token, phrase = substring, with ``boundary``
+    of whole tokens."""
     def hit(field: str):
         return lambda w: F.col(f"_n_{field}").contains(w)
 
@@ -85,7 +86,7 @@ def category_scores(df: DataFrame, lexicon: dict[str, Sequence[str]] = L.CATEGOR
         out = out.withColumn(f"_n_{f}", normalized(f))
     entries = []
     for cat, words in lexicon.items():
-        probes = strings([_probe(w) for w in words])
+        probes = strings([_probe(w, boundary) for w in words])
         # an array test per field, not one CASE per keyword: the generated method stays small enough to be compiled
         parts = [F.size(F.filter(probes, hit(f))) * F.lit(float(p)) for f, p in weights.items()]
         entries.append(F.struct(F.lit(cat).alias("category"), reduce(lambda a, b: a + b, parts).alias("score")))
@@ -196,12 +197,13 @@ def role_flags(title: str | Column) -> Column:
                     any_word(t, L.TECHNICAL_ROLE_WORDS).alias("is_technical_role"))
 
 
-def industry_indicators(text: str | Column, terms: dict[str, Sequence[str]] = L.INDUSTRY_TERMS) -> Column:
-    """Map industry -> share of its terms found."""
+def industry_indicators(text: str | Column, terms: dict[str, Sequence[str]] = L.INDUSTRY_TERMS, boundary: bool = False) -> Column:
+    """Map industry -> share of its terms found, with ``boundary`` as whole words."""
     def shares(t: Column) -> Column:
-        hits = [reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in ws]) for ws in terms.values()]
+        hits = [reduce(lambda a, b: a + b, [t.contains(mark(w) if boundary else w).cast("int") for w in ws]) for ws in terms.values()]
         return F.array(*[h / F.lit(float(len(ws))) for h, ws in zip(hits, terms.values())])
-    return F.map_from_arrays(strings(list(terms)), let(F.lower(col(text)), shares))
+    low = F.lower(col(text))
+    return F.map_from_arrays(strings(list(terms)), let(marked(low) if boundary else low, shares))
 
 
 def infrastructure_evidence(df: DataFrame, text: str, industry: str, processes: dict[str, Sequence[str]] = L.PROCESS_KEYWORDS,
@@ -310,9 +312,10 @@ def contact_confidence(first: str, last: str, title: str, email: str, phone: str
     return F.round(F.least(F.lit(1.0), F.when(e.isNotNull(), (s + e) / 2).otherwise(s)), 6)
 
 
-def type_by_keyword_count(text: str | Column, lexicon: dict[str, Sequence[str]] = L.CATEGORY_KEYWORDS, default: str = "water") -> Column:
-    t = F.lower(col(text))
-    counts = [(k, count_words(t, [w.lower() for w in ws])) for k, ws in lexicon.items()]
+def type_by_keyword_count(text: str | Column, lexicon: dict[str, Sequence[str]] = L.CATEGORY_KEYWORDS, default: str = "water", boundary: bool = False) -> Column:
+    """The first category among those with most keywords found, with ``boundary`` as whole words."""
+    t = marked(F.lower(col(text))) if boundary else F.lower(col(text))
+    counts = [(k, count_words(t, [mark(w.lower()) if boundary else w.lower() for w in ws])) for k, ws in lexicon.items()]
     top = F.greatest(*[c for _, c in counts], F.lit(0))
     return first_case([(top == 0, default), *[(c == top, k) for k, c in counts]], default)
 

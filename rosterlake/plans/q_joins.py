@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake.operators import joins as J
+from rosterlake.operators.containment import contained_terms
 from rosterlake.operators.predicates import has_value
 from rosterlake.plans.registry import query, sql_list
 
@@ -116,13 +117,23 @@ JOIN {LEXICON_SQL} l ON contains(lower(d.text), l.keyword) GROUP BY 1, 2"""
 
 @query("j11_contained_terms", "", J11_SQL)
 def _(t):
-    return J.contained_terms(t.documents, lexicon(t), "doc_id", "text").groupBy("doc_id", "category").agg(
+    return contained_terms(t.documents, lexicon(t), "doc_id", "text").groupBy("doc_id", "category").agg(
         F.count("*").alias("hits"), F.sum("weight").alias("score"))
 
 
 @query("j11_contained_terms_large_lexicon", "", J11_SQL)
 def _(t):
-    return J.contained_terms(t.documents, lexicon(t), "doc_id", "text", block=300).groupBy("doc_id", "category").agg(
+    return contained_terms(t.documents, lexicon(t), "doc_id", "text", gram=2).groupBy("doc_id", "category").agg(
+        F.count("*").alias("hits"), F.sum("weight").alias("score"))
+
+
+MARKED = r"regexp_replace({}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g')"
+
+
+@query("j11_contained_whole_words", "", f"""SELECT d.doc_id, l.category, CAST(count(*) AS BIGINT) AS hits, sum(l.weight) AS score FROM (SELECT doc_id, {MARKED.format('lower(text)')} AS t FROM documents) d
+JOIN (SELECT category, weight, {MARKED.format('keyword')} AS k FROM {LEXICON_SQL}) l ON contains(d.t, l.k) GROUP BY 1, 2""")
+def _(t):
+    return contained_terms(t.documents, lexicon(t), "doc_id", "text", boundary=True).groupBy("doc_id", "category").agg(
         F.count("*").alias("hits"), F.sum("weight").alias("score"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import lexicons as L
 from rosterlake.functions import urls as U
-from rosterlake.functions.text import rows_of
+from rosterlake.functions.text import mark, rows_of
 from rosterlake.operators import scoring as S
 from rosterlake.plans.registry import query, sql_list
 from rosterlake.sources import lexicon as LX
@@ -51,6 +51,19 @@ def _(t):
     return S.category_scores(texts(t), LEX).select("id", rows_of("scores").alias("s")).select("id", "s.category", "s.score")
 
 
+def whole(sql: str) -> str:
+    """The SQL of a phrase test with whole tokens only."""
+    for ws in LEX.values():
+        for w in ws:
+            sql = sql.replace(f"'{w}'", f"' {w} '")
+    return sql
+
+
+@query("c1_category_scores_whole_words", "", " UNION ALL ".join(f"SELECT id, '{k}' AS category, {k} AS score FROM {whole(C1)}" for k in LEX))
+def _(t):
+    return S.category_scores(texts(t), LEX, boundary=True).select("id", rows_of("scores").alias("s")).select("id", "s.category", "s.score")
+
+
 @query("c1_website_category_scores", "", f"""
 SELECT page_id % 20 AS site, category, count(DISTINCT w)::DOUBLE AS score FROM pages, ({' UNION ALL '.join(f"SELECT '{k}' AS category, '{w}' AS w, '{probe(w)}' AS p" for k, ws in LEX.items() for w in ws)}) l
 WHERE contains({norm_sql('html')}, l.p) GROUP BY ALL""")
@@ -136,6 +149,19 @@ def _(t):
     return t.documents.select("doc_id", F.explode(S.industry_indicators("text", LEX)).alias("industry", "score")).withColumn("score", F.round("score", 6))
 
 
+MARKED = r"regexp_replace(lower(text), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g')"
+
+
+def count_whole_sql(words) -> str:
+    return plus([f"CASE WHEN contains(t, '{mark(w.lower())}') THEN 1 ELSE 0 END" for w in words])
+
+
+@query("c9_industry_indicators_whole_words", "", " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS industry, round({count_whole_sql(ws)} / {len(ws)}, 6)::DOUBLE AS score FROM (SELECT doc_id, {MARKED} AS t FROM documents)" for k, ws in LEX.items()))
+def _(t):
+    return t.documents.select("doc_id", F.explode(S.industry_indicators("text", LEX, boundary=True)).alias("industry", "score")).withColumn("score", F.round("score", 6))
+
+
 PROC = {"en": ["the", "Ention", "whor"], "fr": ["eau", "Que", "de la"], "de": ["sch", "und", "nicht"], "es": ["los", "ción"]}
 CH, REG = ["er the", "le ré", "ough"], ["ste", "para", "Nd the"]
 SINF, SPRO = {"en": ["and", "the"], "fr": ["eaux"]}, {"en": ["tion", "ing"], "de": ["ein"]}
@@ -275,6 +301,12 @@ def _(t):
     return t.documents.select("doc_id", S.type_by_keyword_count("text", LEX).alias("org_type"))
 
 
+@query("c22_type_by_whole_word_count", "", f"""
+SELECT doc_id, CASE WHEN m = 0 THEN 'water' {' '.join(f"WHEN {k} = m THEN '{k}'" for k in LEX)} END AS org_type FROM (SELECT *, greatest({', '.join(LEX)}) AS m FROM (SELECT doc_id, {', '.join(f"{count_whole_sql(ws)} AS {k}" for k, ws in LEX.items())} FROM (SELECT doc_id, {MARKED} AS t FROM documents)))""")
+def _(t):
+    return t.documents.select("doc_id", S.type_by_keyword_count("text", LEX, boundary=True).alias("org_type"))
+
+
 LEX23 = {"healthcare": ["reh", "eauou"], "emergency": ["nicht", "sch"], "agriculture": ["ofth"]}
 
 
