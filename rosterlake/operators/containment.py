@@ -69,14 +69,16 @@ def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, g
     partly = partly.join(held.groupBy("gram").agg(F.sum("df").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     partly = partly.groupBy("kind", "piece").agg(F.min(F.struct("df", "gram")).alias("m")).select("kind", "piece", "m.gram", F.col("m.df").alias("most"))
     best = pieces.join(whole.union(partly), ["kind", "piece"]).groupBy("keyword").agg(F.min(F.struct("most", "kind", "piece", "gram")).alias("b"), F.first("single").alias("single"))
-    # a keyword is settled by its token if it is that piece and nothing else
-    best = stored(best.where("b.most > 0").select("keyword", "b.kind", "b.piece", "b.gram", (F.col("single") & (F.col("keyword") == F.col("b.piece"))).alias("sure")))
+    # a keyword is settled by its token if it is that piece and nothing else; from here on it is a number
+    best = stored(best.where("b.most > 0").select(F.monotonically_increasing_id().alias("word"), "keyword", "b.kind", "b.piece", "b.gram",
+                                                  (F.col("single") & (F.col("keyword") == F.col("b.piece"))).alias("sure")))
     agrees = (F.when(F.col("kind") == "inside", F.col("token").contains(F.col("piece"))).when(F.col("kind") == "end", F.col("token").endswith(F.col("piece")))
               .otherwise(F.col("token").startswith(F.col("piece"))))
     found = best.where("kind <> 'whole'").select("kind", "piece", "gram").distinct().join(held.select("gram", "token"), "gram").where(agrees).select("kind", "piece", "token")
     found = found.union(best.where("kind = 'whole'").select("kind", "piece", F.col("piece").alias("token")).distinct())
-    filed = stored(best.join(found, ["kind", "piece"]).select("token", "keyword", "sure"))
-    near = tokens.join(filed, "token").select("row", "_key", "keyword", "sure").distinct()
-    tested = near.where("NOT sure").select("row", "_key", "keyword").join(rows.select("row", "_t"), "row").where(same(F.col("_t")).contains(same(F.col("keyword"))))
-    hits = near.where("sure").select("_key", "keyword").union(tested.select("_key", "keyword"))
-    return hits.join(lex, "keyword").select(F.col("_key").alias(key), "category", "keyword", "weight")
+    filed = best.join(found, ["kind", "piece"]).groupBy("token").agg(F.collect_list(F.when(F.col("sure"), F.col("word")).otherwise(-1 - F.col("word"))).alias("words"))
+    near = tokens.join(stored(filed), "token").select("row", "_key", F.explode("words").alias("word")).distinct()
+    tested = near.where("word < 0").select("row", "_key", (-1 - F.col("word")).alias("word")).join(best.select("word", "keyword"), "word").join(rows.select("row", "_t"), "row")
+    tested = tested.where(same(F.col("_t")).contains(same(F.col("keyword")))).select("_key", "word")
+    hits = near.where("word >= 0").select("_key", "word").union(tested)
+    return hits.join(lex.join(best.select("word", "keyword"), "keyword"), "word").select(F.col("_key").alias(key), "category", "keyword", "weight")
