@@ -1,6 +1,8 @@
 """Names, titles, mail addresses, phone numbers and user agents as columns."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,20 @@ PHONE_ANY = r"(?:\+\d{1,2}\s?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
 PHONE_CARD = r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 PHONE_US = r"(?:\(\d{3}\)\s*\d{3}-\d{4}|\d{3}-\d{3}-\d{4})"
 PHONE_PAREN = r"\(\d{3}\)\s*\d{3}-\d{4}"
-WEBPAGE_TITLE = (
-    r"^\d+ | - .*?$|^[A-Z][a-z]+ [A-Z][a-z]+ \| |^(?:Achieving|Understanding|How to|Why|What|When)"
-    r"|(?:^|[^\p{L}\p{N}_])(?:vs|versus)(?:$|[^\p{L}\p{N}_])"
-    r"|\d{1,2}/\d{1,2}/\d{2,4}|\[[^\]]+\]|\(\d{4}\)|^\w+ \d+, \d{4}|^\w+: .+|^The \d+ | - YouTube$| - Wikipedia$"
-    r"| - LinkedIn$"
-)
+WEBPAGE_PATTERNS = [
+    r"^\d+ ",
+    r" - .*?$",
+    r"^[A-Z][a-z]+ [A-Z][a-z]+ \| ",
+    r"^(Achieving|Understanding|How to|Why|What|When)",
+    r"\b(vs|versus)\b",
+    r"\d{1,2}/\d{1,2}/\d{2,4}",
+    r"\[[^\]]+\]",
+    r"\(\d{4}\)",
+    r"^\w+ \d+, \d{4}",
+    r"^\w+: .+",
+    r"^The \d+ ",
+    r" - YouTube$| - Wikipedia$| - LinkedIn$",
+]
 NAME_IN_RESULT_TITLE = r"([A-Z][a-z]+ [A-Z][a-z]+)(?:\s*-\s*|\s+at\s+|\s+from\s+|\s+with\s+)"
 JOB_AFTER_NAME = r"(?:[-:]\s*)([A-Za-z\s,]+)(?:\s+at|$)"
 NAME_THEN_ROLE = [
@@ -54,6 +64,9 @@ DIRECTORY_MAILBOX_TITLES = [("director", "Director"), ("manager", "Manager"), ("
                             ("eng", "Engineer")]
 # ---- end of fixed values --------------------------------------------------------------------
 
+# an edge of a word in any script; Java's own \b knows ASCII only
+WEBPAGE_TITLE = "|".join(re.sub(r"\\b$", r"(?:$|[^\\p{L}\\p{N}_])", re.sub(r"^\\b", r"(?:^|[^\\p{L}\\p{N}_])", x)) for x in WEBPAGE_PATTERNS)
+
 
 def found(text: str | Column, pattern: str, group: int = 0) -> Column:
     """First match or NULL."""

@@ -29,10 +29,10 @@ QUERY_CATEGORY_WORDS = {
 DOMAIN_CLUES = [("water", ["water", "wtp", "wwtp", "utility"]), ("engineering", ["eng", "engineer", "design"]),
                 ("government", ["gov", "city", "town", "county"]), ("agriculture", ["ag", "farm", "irrigation"])]
 ENGINEERING_SUBTYPES = ["civil", "electrical", "environmental", "mechanical"]
-# per organization type: (score, role words); "+" joins words that must all occur; 7.0 marks roles merely accepted
+# per organization type: (score, role words); words in brackets must all occur; 7.0 marks roles merely accepted
 TITLE_RULES = {
     "water": [(9.0, ["operations", "operator", "manager", "director"]), (7.0, ["engineer"])],
-    "utility": [(9.0, ["operations", "operator"]), (8.5, ["engineer"]), (8.0, ["manager+technical", "director+technical"]),
+    "utility": [(9.0, ["operations", "operator"]), (8.5, ["engineer"]), (8.0, [["manager", "technical"], ["director", "technical"]]),
                 (7.0, ["manager", "director", "president", "chief", "officer"])],
     "oil_gas": [(9.0, ["operations", "operator"]), (8.5, ["field", "production", "wellsite", "drilling", "well"]),
                 (8.0, ["technical", "engineer", "pipeline"])],
@@ -353,8 +353,8 @@ def title_rule_score(title: str | Column, org_type: str | Column, rules: dict =
     """Score of a title for the organization's type; NULL = not a wanted title. A target title alone gives 7."""
     t = F.lower(F.coalesce(col(title), F.lit("")))
 
-    def hit(rule: str) -> Column:
-        return reduce(lambda a, b: a & b, [t.contains(w) for w in rule.split("+")])
+    def hit(rule: str | list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [t.contains(w) for w in ([rule] if isinstance(rule, str) else rule)])
 
     out = F.lit(None).cast("double")
     for kind, steps in rules.items():
