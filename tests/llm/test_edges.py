@@ -35,18 +35,22 @@ def test_quality_rules(edge_docs, empty_docs):
     assert quality_rules.clean(empty_docs).count() == 0
 
 
-def test_common_lines_go_and_copies_do_not_make_them(spark):
+def test_common_lines_go_and_copies_count_each(spark):
     shared = "please subscribe to our list"
-    body = [" ".join(f"doc{d}word{i}" for i in range(60)) for d in range(40)]
+    body = [" ".join(f"doc{'q' * d}word{i}" for i in range(60)) for d in range(40)]  # digits are all one to a line
     rows = [(d, f"{b}\n{shared.upper() if d % 2 else shared}\n{'x' * d} tail", "h") for d, b in enumerate(body)]
     rows += [(100 + d, "\n".join(" ".join(f"copy{k}w{i}" for i in range(20)) for k in range(4)) + f"\nend {d}", "h") for d in range(60)]
     rows += [(300, shared + "\n" + " ".join(f"z{i}" for i in range(60)), "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = by_id(quality_rules.judge(docs, max_share=0.0))
     assert all(got[d][0].n_words_removed == 5 and got[d][0].kept for d in range(40))
-    assert got[100][0].n_words_removed == 0 and got[300][0].n_words_removed == 0  # "end <digit>" lines differ elsewhere by nothing
+    assert got[115][0].n_words_removed == got[115][0].n_words == 82 and not got[115][0].kept and got[300][0].n_words_removed == 0  # 60 documents hold each of the four lines, and "end 00" 50
+    assert got[100][0].n_words_removed == 80  # "end 0" is in ten documents only
     texts = {r.doc_id: r.text for r in quality_rules.clean(docs, max_share=0.0).collect()}
-    assert texts[1] == f"{body[1]}\nx tail" and len(texts) == 101
+    assert texts[1] == f"{body[1]}\nx tail" and len(texts) == 41
+    ones = spark.createDataFrame([(d, "page not found " + "again " * 60, "h") for d in range(60)], "doc_id long, text string, source string")
+    assert all(r.n_words_removed == r.n_words for r in quality_rules.judge(ones, max_share=0.0).collect())
+    assert all(r.n_words_removed == 0 for r in quality_rules.judge(ones.where("doc_id < 20"), max_share=0.0).collect())
     depleted = spark.createDataFrame([(d, (shared + "\n") * 20 + " ".join(f"d{d}w{i}" for i in range(60)), "h") for d in range(30)], "doc_id long, text string, source string")
     assert not any(r.kept for r in quality_rules.judge(depleted, max_share=0.0).collect())
 
