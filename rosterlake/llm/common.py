@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rosterlake.session import ensure_checkpoint_dir
 
 HASH_BITS = 60  # hexadecimal digits are taken fifteen at a time, so that a key is never negative
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,9 +66,13 @@ def map_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[...,
     return df.mapInArrow(run, schema)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a stored table: sent to all executors only where its counted rows are at most ``limit``, else by shuffle."""
-    return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, on, how)
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a stored table: sent to all executors only where its counted rows are at most ``limit`` and weigh at most ``most_bytes``, else by shuffle."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.size(f.name) * 8 for f in right.schema.fields
+            if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))]
+    weight = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(right.columns))).cast("long")
+    rows, weighs = right.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return left.join(F.broadcast(right) if rows <= limit and weighs <= most_bytes else right, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:

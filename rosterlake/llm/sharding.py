@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import HASH_BITS, hash60, join_sized, spill, table
+from rosterlake.llm.common import HASH_BITS, hash60, join_sized, row_key, spill, table
 
 N_SHARDS = 16
 ROWS_PER_BLOCK = 2_000
@@ -35,30 +35,40 @@ def _jump_column(n: int):
     return shard
 
 
-def assign(docs: DataFrame, n_shards: int = N_SHARDS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = N_SHARDS, rows_per_block: int = ROWS_PER_BLOCK, seed: int | None = None) -> DataFrame:
     """``docs`` with size, text_crc32, shard, slot and grown_shard (the shard among one more).
 
     The key is a hash of the doc_id as text (NULL: of the text ``~null``), so the shard depends on it and the number of shards alone.
-    Inside a shard rows are ordered by that hash, then doc_id, text checksum and size; slots count from 0 without a gap. The hash
-    range is cut into blocks of about ``rows_per_block`` rows that are numbered on their own and shifted by the counts of the blocks
-    before them, so that no task holds a shard. Repeated rows get slots of their own; empty and NULL texts have size 1; an input
-    column of the same name is replaced; an empty table gives an empty result.
+    Inside a shard rows are ordered by that hash, then doc_id, text checksum and size; slots count from 0 without a gap. With ``seed``
+    the slots are a training order: the first uses of all documents in hash order, then the second uses in another hash order and so on,
+    so that the repeats of a document lie epochs apart. The range of the order is cut into blocks of about ``rows_per_block`` rows that
+    are numbered on their own and shifted by the counts of the blocks before them, so that no task holds a shard.
+
+    Rows with one doc_id, NULL among them, are one key: they belong to one shard by law and are numbered in one task. Repeated rows get
+    slots of their own; empty and NULL texts have size 1; a very long text is moved whole; an input column of the same name is replaced; an empty table gives an empty
+    result.
     """
     made = ["size", "text_crc32", "shard", "slot", "grown_shard"]
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
-    keyed = docs.select(row.alias("row"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("~null"))).alias("key"),
-                        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / (n_shards * rows_per_block))))
-    keyed = keyed.withColumn("block", F.shiftright("key", HASH_BITS - bits))
-    keyed = keyed.withColumn("shard", _jump_column(n_shards)("key")).withColumn("grown_shard", _jump_column(n_shards + 1)("key"))
-    narrow = docs.select(hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("~null"))).alias("key"))
-    blocks = narrow.select(_jump_column(n_shards)("key").alias("shard"), F.shiftright("key", HASH_BITS - bits).alias("block")).groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = spill(blocks.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
-    within = Window.partitionBy("shard", "block").orderBy("key", F.col("row.doc_id"), "text_crc32", "size")
-    placed = join_sized(keyed.withColumn("at", F.row_number().over(within) - 1), shift, ["shard", "block"])
-    return placed.select("row.*", "size", "text_crc32", "shard", (F.col("shift") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Adds the shard, and epoch and block of the order."""
+        rows = rows.withColumn("epoch", F.lit(1) if seed is None else F.row_number().over(Window.partitionBy("rid").orderBy("rid")))
+        order = F.col("key") if seed is None else hash60(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("rid")))
+        rows = rows.withColumn("order", order).withColumn("shard", _jump_column(n_shards)("key"))
+        return rows.withColumn("block", F.shiftright("order", HASH_BITS - bits))
+
+    key, rid = hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("~null"))).alias("key"), row_key(F.col("doc_id"), F.col("text")).alias("rid")
+    full = placed(docs.select(row.alias("row"), key, *([] if seed is None else [rid]), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    full = full.withColumn("grown_shard", _jump_column(n_shards + 1)("key"))
+    blocks = placed(docs.select(key, *([] if seed is None else [rid]))).groupBy("shard", "epoch", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("epoch", "block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = spill(blocks.select("shard", "epoch", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
+    within = Window.partitionBy("shard", "epoch", "block").orderBy("order", F.col("row.doc_id"), "text_crc32", "size")
+    out = join_sized(full.withColumn("at", F.row_number().over(within) - 1), shift, ["shard", "epoch", "block"])
+    return out.select("row.*", "size", "text_crc32", "shard", (F.col("shift") + F.col("at")).cast("long").alias("slot"), "grown_shard")
 
 
 def op5_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
