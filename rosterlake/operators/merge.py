@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.people import EMAIL_SYNTAX
 from rosterlake.functions.text import blank_to_null, nonblank
+from rosterlake.operators.similar import similar_names
 from rosterlake.session import cut_lineage
 
 CONTACT_FIELDS = ["first_name", "last_name", "job_title", "phone"]
@@ -247,15 +248,15 @@ def upsert_organizations(stored: DataFrame, found: DataFrame, seq: str = "seq",
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def best_duplicate(orgs: DataFrame) -> DataFrame:
+def best_duplicate(orgs: DataFrame, percent: int | None = None) -> DataFrame:
     """For every organization the best row it duplicates: (id, match_id), only where that is another row.
 
-    Duplicates share state and type, and one name equals or starts with the other (no case). Better = higher
-    relevance, then lower id. Names are first reduced to one best row per distinct name; a prefix relation is found
+    Duplicates share state and type, and one name equals or starts with the other (no case), or with ``percent`` is
+    at least so similar to it by edits. Better = higher relevance, then lower id. Names are first reduced to one best row per distinct name; a prefix relation is found
     by joining each name's own prefixes to the names, so work grows with the text of the distinct names and
     no pairs of rows are formed.
     """
-    return _group_targets(orgs).select("id", "match_id").filter("id <> match_id")
+    return _group_targets(orgs, percent).select("id", "match_id").filter("id <> match_id")
 
 
 def _rank(relevance: str = "relevance_score") -> Column:
@@ -268,8 +269,8 @@ def _name_groups(orgs: DataFrame) -> DataFrame:
     return q.groupBy("state", "org_type", F.lower("name").alias("lname")).agg(F.min(_rank()).alias("best"))
 
 
-def _group_links(groups: DataFrame) -> DataFrame:
-    """Best row reachable from each name group over equality and prefix, one step."""
+def _group_links(groups: DataFrame, percent: int | None = None) -> DataFrame:
+    """Best row reachable from each name group over equality, prefix and, with ``percent``, similarity, one step."""
     prefixes = groups.select("state", "org_type", F.col("lname").alias("long"), F.col("best").alias("long_best"), F.explode(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("lname") - 1, F.lit(1))), lambda i: F.substr("lname", F.lit(1), i))).alias("lname"))
     prefixes = prefixes.filter(F.col("lname") != F.col("long"))
@@ -277,27 +278,32 @@ def _group_links(groups: DataFrame) -> DataFrame:
     both = edges.select("state", "org_type", F.col("long").alias("lname"), "best").unionByName(
         edges.select("state", "org_type", "lname", F.col("long_best").alias("best"))).unionByName(
         groups.select("state", "org_type", "lname", "best"))
+    if percent is not None:
+        pairs = similar_names(groups, ["state", "org_type"], "lname", percent)
+        pairs = pairs.select("state", "org_type", F.col("a").alias("other"), F.col("b").alias("lname")).union(pairs.select("state", "org_type", "b", "a"))
+        there = groups.select("state", "org_type", F.col("lname").alias("other"), "best")
+        both = both.unionByName(pairs.join(there, ["state", "org_type", "other"]).select("state", "org_type", "lname", "best"))
     return both.groupBy("state", "org_type", "lname").agg(F.min("best").alias("reach"))
 
 
-def _group_targets(orgs: DataFrame) -> DataFrame:
-    links = _group_links(_name_groups(orgs))
+def _group_targets(orgs: DataFrame, percent: int | None = None) -> DataFrame:
+    links = _group_links(_name_groups(orgs), percent)
     rows = orgs.filter(F.coalesce(F.col("relevance_score"), F.lit(0.0)) >= 0).withColumn("lname", F.lower("name"))
     return rows.join(links, ["state", "org_type", "lname"]).select("id", F.col("reach.id").alias("match_id"))
 
 
-def duplicate_roots(orgs: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(id, root_id) with every chain of duplicates followed to its end by pointer jumping over name groups.
+def duplicate_roots(orgs: DataFrame, percent: int | None = None) -> DataFrame:
+    """(id, root_id) with every chain of duplicates, those of :func:`best_duplicate`, followed to its end by pointer jumping over name groups.
 
     The best row of a group stands for it. Each round halves the longest chain; the small table is checkpointed to
     the shared folder, so a lost executor costs one round.
     """
     groups = _name_groups(orgs)
-    links = _group_links(groups)
+    links = _group_links(groups, percent)
     # node = best row of a name group; parent = best row it reaches, which is the best row of its own group or better
     nodes = cut_lineage(groups.join(links, ["state", "org_type", "lname"]).select(
         F.col("best.id").alias("node"), F.col("reach.id").alias("parent")))
-    for _ in range(max_rounds):
+    while True:  # a parent is better than its node, so there are no rings
         up = nodes.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         step = nodes.join(up, "parent", "left").select("node", "parent", F.coalesce("grand", "parent").alias("next"))
         step = cut_lineage(step)
@@ -305,8 +311,6 @@ def duplicate_roots(orgs: DataFrame, max_rounds: int = 20) -> DataFrame:
         nodes = step.select("node", F.col("next").alias("parent"))
         if not moved:
             break
-    else:
-        raise RuntimeError(f"duplicate chains longer than 2^{max_rounds}")
     rows = orgs.withColumn("lname", F.lower("name")).join(
         groups.select("state", "org_type", "lname", F.col("best.id").alias("node")), ["state", "org_type", "lname"])
     rows = rows.filter(F.coalesce(F.col("relevance_score"), F.lit(0.0)) >= 0)

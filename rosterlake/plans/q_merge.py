@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rosterlake.operators import merge as M
+from rosterlake.operators.similar import similar_names
 from rosterlake.operators.predicates import ts
 from rosterlake.plans.registry import query
 
@@ -174,6 +175,27 @@ def _(t):
         "id", "name", "relevance_score", F.md5(F.coalesce("description", F.lit(""))).alias("description"))
 
 
+CLOSE = "levenshtein(lower(a.name), lower(b.name)) <= floor(greatest(length(a.name), length(b.name)) * 15 / 100)"
+STEP_CLOSE = STEP.replace("(starts_with(", f"({CLOSE} OR starts_with(")
+
+
+@query("j7_similar_names", "organizations", f"""
+SELECT DISTINCT a.state, a.org_type, lower(a.name) AS a, lower(b.name) AS b FROM (SELECT DISTINCT state, org_type, name FROM organizations) a
+JOIN (SELECT DISTINCT state, org_type, name FROM organizations) b ON a.state = b.state AND a.org_type = b.org_type AND lower(a.name) < lower(b.name) AND {CLOSE}""")
+def _(t):
+    return similar_names(t.organizations.withColumn("lname", F.lower("name")), ["state", "org_type"], "lname")
+
+
+@query("j7_best_similar", "organizations", f"WITH {STEP_CLOSE} SELECT id, match_id FROM step WHERE id <> match_id")
+def _(t):
+    return M.best_duplicate(t.organizations, percent=85)
+
+
+@query("m6_duplicate_roots_similar", "organizations", f"{ROOTS.replace(STEP, STEP_CLOSE)} SELECT id, root_id FROM roots")
+def _(t):
+    return M.duplicate_roots(t.organizations, percent=85)
+
+
 @query("m7_move_contacts", "organizations contacts", f"""
 {ROOTS} SELECT c.id, coalesce(r.root_id, c.organization_id) AS organization_id FROM contacts c LEFT JOIN roots r ON r.id = c.organization_id""")
 def _(t):
