@@ -411,10 +411,10 @@ def engagements_from_drafts(contacts: DataFrame) -> DataFrame:
         F.col("id").alias("contact_id"), F.col("email_draft_id").alias("email_id"), F.col("email_draft_date").alias("email_sent_date"))
 
 
-def upsert_url_records(stored: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Latest crawl per URL replaces content, links, time and depth of its first stored record; new URLs are added
-    with priority 0.7 when they came from a search, else 0.5."""
-    fields = ["html_content", "extracted_links", "last_crawled", "crawl_depth"]
+def upsert_url_records(stored: DataFrame, crawled: DataFrame, facts: Sequence[str] = ()) -> DataFrame:
+    """Latest crawl per URL replaces content, links, time and depth, and the ``facts`` found on the page, of its first stored
+    record; new URLs are added with priority 0.7 when they came from a search, else 0.5."""
+    fields = ["html_content", "extracted_links", "last_crawled", "crawl_depth", *facts]
     latest = crawled.groupBy("url").agg(F.max_by(F.struct(*fields, "source"), F.struct("last_crawled", "crawl_depth")).alias("c"))
     target = stored.groupBy("url").agg(F.min("id").alias("id"))
     patch = latest.join(target, "url").select("id", "c")

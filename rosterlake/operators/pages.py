@@ -668,9 +668,10 @@ def website_text(pages: DataFrame, key: str = "organization_id", page: str = "id
     return pages.select(key, page, html_to_text(html).alias("text")).filter(nonblank("text"))
 
 
-def website_first_text(rows: DataFrame, key: str = "organization_id", page: str = "id") -> DataFrame:
-    """Whole text of each site's first page, for readers that take one page only."""
-    return rows.groupBy(key).agg(F.min_by("text", page).alias("text"))
+def website_digest(rows: DataFrame, key: str = "organization_id", page: str = "id") -> DataFrame:
+    """(key, pages, characters, digest) over all pages of a site; it changes with any text and with the page a text is on."""
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(page).cast("string"), "text")), 1, 10), 16, 10).cast("long")
+    return rows.groupBy(key).agg(F.count("*").alias("pages"), F.sum(F.length("text")).cast("long").alias("characters"), F.sum(part).alias("digest"))
 
 
 def evidence_from_results(results: DataFrame, pages: DataFrame, suffixes: Sequence[str] | None = None, competitor: Sequence = (), **lexicons) -> DataFrame:

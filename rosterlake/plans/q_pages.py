@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rosterlake.operators import pages as P
 from rosterlake.plans.q_scoring import LEX, LEX23, count_sql
 from rosterlake.plans.q_text import HTML_TEXT_SQL
-from rosterlake.plans.registry import query, sql_list
+from rosterlake.plans.registry import query, sql_list, sql_list
 from rosterlake.sources import html as H
 
 MARKUP = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')"
@@ -45,14 +45,17 @@ def has(t: str, words) -> str:
 INF, PRO = ["reon", "eauou"], ["nicht"]
 
 
-@query("p2_p3_p4_p5_page_facts", "", rf"""
+PAGE_FACTS = rf"""
 SELECT page_id, title, CASE WHEN regexp_matches(u, '(about|about-us|aboutus)$') THEN 'about' WHEN regexp_matches(u, '(contact|contact-us|contactus)$') THEN 'contact' WHEN {has('lower(url)', P.TEAM_WORDS)} THEN 'team'
  WHEN regexp_matches(u, '(locations|offices|branches)$') THEN 'locations' WHEN regexp_matches(u, '(services|solutions|products|capabilities)$') THEN 'services' WHEN regexp_matches(u, '(projects|portfolio|case-studies|work)$') THEN 'projects'
  WHEN {has('lt', P.ABOUT_WORDS)} OR {has('lh', P.ABOUT_WORDS)} THEN 'about' WHEN {has('lt', P.CONTACT_WORDS)} OR {has('lh', P.CONTACT_WORDS)} THEN 'contact' WHEN {has('lt', P.TEAM_WORDS)} OR {has('lh', P.TEAM_WORDS)} THEN 'team'
  WHEN regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', ''), '/+$', '') IN ('', '/index.html', '/index.php') THEN 'homepage' ELSE 'other' END AS page_type,
  (regexp_matches(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}') OR regexp_matches(body, '(?:\+\d{{1,2}}\s?)?\(?\d{{3}}\)?[\s.-]?\d{{3}}[\s.-]?\d{{4}}') OR regexp_matches(body, '[A-Z][a-z]+\s[A-Z][a-z]+,?\s+[\w\s]+') OR regexp_matches(m, '(?i)<(form|div|section)\s[^>]*(?:id|class)=["''][^"'']*contact') OR {has('lower(body)', P.CONTACT_PHRASES)}) AS contains_contact_info,
  {has('lower(body)', INF + PRO)} AS contains_infrastructure, round({count_sql('lower(body)', LEX['water'])} / 4, 6)::DOUBLE AS water
-FROM (SELECT *, regexp_replace(lower(url), '/+$', '') AS u, lower(title) AS lt, lower(h1) AS lh FROM (SELECT page_id, url, m, {TITLE} AS title, {H1} AS h1, {BODY} AS body FROM (SELECT *, {MARKUP} AS m FROM pages)))""")
+FROM (SELECT *, regexp_replace(lower(url), '/+$', '') AS u, lower(title) AS lt, lower(h1) AS lh FROM (SELECT page_id, url, m, {TITLE} AS title, {H1} AS h1, {BODY} AS body FROM (SELECT *, {MARKUP} AS m FROM pages)))"""
+
+
+@query("p2_p3_p4_p5_page_facts", "", PAGE_FACTS)
 def _(t):
     f = P.page_facts(t.pages, infrastructure=INF, process=PRO, industries=LEX)
     return f.select("page_id", "title", "page_type", "contains_contact_info", "contains_infrastructure",
@@ -71,12 +74,17 @@ def _(t):
     return P.staff_links(t.pages).select("page_id", "link")
 
 
+# guessed addresses of a page without a hit: each path pattern, numbered for the directories, and each query pattern on each base
+GUESSED = [x for p in P.STAFF_URL_PATTERNS for x in ([f"{b}{p}" for b in P.STAFF_QUERY_BASES] if p[0] == "?" else
+           [p, *(f"{p}?{k}={i}" for k in ("id", "did", "dept") for i in (1, 2, 3, 4) if "staff" in p or "directory" in p)])]
+
+
 @query("p19b_staff_page_candidates", "", rf"""
 WITH l AS (SELECT page_id, {ABS} AS link, label FROM {LINKS} WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:)')),
 hit AS (SELECT DISTINCT page_id, link FROM l WHERE {has("regexp_replace(lower(regexp_replace(link, '^[a-zA-Z]+://[^/?#]*', '')), '[?].*$', '')", [p.lower() for p in P.STAFF_URL_PATTERNS])} OR {has('lower(label)', P.STAFF_LINK_WORDS)})
-SELECT page_id, count(*)::BIGINT AS n, bool_or(g) AS generated FROM (SELECT page_id, link, false AS g FROM hit UNION ALL SELECT page_id, unnest(range({len([1 for p in P.STAFF_URL_PATTERNS if not p.startswith('?')]) + 5 * 5 + 12 * len([p for p in P.STAFF_URL_PATTERNS if not p.startswith('?') and ('directory' in p or 'staff' in p)])}))::VARCHAR, true FROM pages WHERE page_id NOT IN (SELECT page_id FROM hit)) GROUP BY 1""")
+SELECT page_id, link, false AS generated FROM hit UNION ALL SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) || g, true FROM (SELECT page_id, url, unnest({sql_list(GUESSED)}) AS g FROM pages WHERE page_id NOT IN (SELECT page_id FROM hit))""")
 def _(t):
-    return P.staff_page_candidates(t.pages).groupBy("page_id").agg(F.count("*").alias("n"), F.bool_or("generated").alias("generated"))
+    return P.staff_page_candidates(t.pages).select("page_id", "link", "generated")
 
 
 @query("p21_official_title", "", f"""
@@ -129,11 +137,11 @@ def _(t):
     return P.website_text(t.discovered_urls).select("organization_id", F.col("id").alias("page"), F.md5("text").alias("digest"))
 
 
-@query("p27_website_text_head", "discovered_urls", f"""
-SELECT organization_id, md5(arg_min(x, id)) AS digest FROM (SELECT organization_id, id, {HTML_TEXT_SQL} AS x FROM (SELECT id, organization_id % 30 AS organization_id, html_content AS html FROM discovered_urls)) WHERE trim(x) <> '' GROUP BY 1""")
+@query("p27_site_digest", "discovered_urls", f"""
+SELECT organization_id, count(*)::BIGINT AS pages, sum(length(x))::BIGINT AS characters, sum(('0x' || substr(md5(id || ':' || x), 1, 10))::BIGINT)::BIGINT AS digest
+FROM (SELECT organization_id, id, {HTML_TEXT_SQL} AS x FROM (SELECT id, organization_id % 30 AS organization_id, html_content AS html FROM discovered_urls)) WHERE trim(x) <> '' GROUP BY 1""")
 def _(t):
-    rows = P.website_text(t.discovered_urls.withColumn("organization_id", F.expr("organization_id % 30")))
-    return P.website_first_text(rows).select("organization_id", F.md5("text").alias("digest"))
+    return P.website_digest(P.website_text(t.discovered_urls.withColumn("organization_id", F.expr("organization_id % 30"))))
 
 
 # ---- staff pages ----------------------------------------------------------------------------
@@ -289,13 +297,12 @@ def _(t):
 
 
 @query("p6_page_projects", "staff", """
-SELECT page_id, 'Plant ' || town AS title, title AS description, title LIKE '%Supervisor' AND false OR page_id % 2 = 0 AS contains_automation FROM staff""")
+SELECT page_id, 'Plant ' || town AS title, title || CASE page_id % 6 WHEN 0 THEN ' with SCADA' WHEN 2 THEN ', Automation of pumps' WHEN 4 THEN ' and remote monitoring' ELSE '' END AS description, page_id % 2 = 0 AS contains_automation FROM staff""")
 def _(t):
-    html = F.expr("'<section class=\"Project-Item\"><h3>Plant ' || CAST(town AS STRING) || '</h3><p class=\"desc\">' || title || '</p></section>'")
-    auto = F.expr("CASE WHEN page_id % 2 = 0 THEN replace(html, 'Plant', 'Plant') ELSE html END")
-    p = t.staff.select("page_id", "url", html.alias("html")).withColumn("html", auto)
-    q = P.page_projects(H.parse_pages(p))
-    return q.select("page_id", "title", "description", (F.col("contains_automation") | F.expr("page_id % 2 = 0")).alias("contains_automation"))
+    words = "CASE page_id % 6 WHEN 0 THEN ' with SCADA' WHEN 2 THEN ', Automation of pumps' WHEN 4 THEN ' and remote monitoring' ELSE '' END"
+    html = F.expr(f"'<section class=\"Project-Item\"><h3>Plant ' || CAST(town AS STRING) || '</h3><p class=\"desc\">' || title || {words} || '</p></section>'")
+    q = P.page_projects(H.parse_pages(t.staff.select("page_id", "url", html.alias("html"))))
+    return q.select("page_id", "title", "description", "contains_automation")
 
 
 @query("p20_sitemap_contact_pages", "staff", """

@@ -186,7 +186,7 @@ def _(t):
 
 SEND_VIEW = """(SELECT c.id, c.email, o.id AS organization_id, o.name AS organization_name,
   CASE WHEN c.id % 31 = 0 THEN 'timeout' END AS validation_error, (c.contact_confidence_score >= 0.7) AS approved,
-  (c.first_name IS NULL) AS no_name FROM contacts c LEFT JOIN organizations o ON o.id = c.organization_id AND o.id % 13 <> 0)"""
+  (c.first_name IS NULL) AS no_name FROM contacts c LEFT JOIN organizations o ON o.id = CASE WHEN c.id % 13 = 5 THEN -c.organization_id ELSE c.organization_id END)"""
 
 
 @query("f19_send_or_draft", "contacts organizations", f"""
@@ -203,8 +203,9 @@ SELECT id, action, template, reason, subject, recipient FROM (SELECT *,
  FROM (SELECT *, (validation_error IS NOT NULL OR organization_id IS NULL) AS sk FROM {SEND_VIEW} v,
   (SELECT 'live' AS mode UNION ALL SELECT 'box') m WHERE (mode = 'live') = (v.id % 2 = 0)))""")
 def _(t):
-    o = t.organizations.filter("id % 13 <> 0").select(F.col("id").alias("oid"), F.col("name").alias("organization_name"))
-    c = t.contacts.join(o, F.col("organization_id") == F.col("oid"), "left").selectExpr(
+    o = t.organizations.select(F.col("id").alias("oid"), F.col("name").alias("organization_name"))
+    lost = F.expr("CASE WHEN id % 13 = 5 THEN -organization_id ELSE organization_id END")  # contacts of organizations that are not there
+    c = t.contacts.withColumn("organization_id", lost).join(o, F.col("organization_id") == F.col("oid"), "left").selectExpr(
         "id", "email", "oid AS organization_id", "organization_name",
         "CASE WHEN id % 31 = 0 THEN 'timeout' END AS validation_error",
         "(contact_confidence_score >= 0.7) AS approved", "(first_name IS NULL) AS no_name")

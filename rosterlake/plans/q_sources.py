@@ -10,6 +10,7 @@ from rosterlake.operators import merge as M
 from rosterlake.operators import pages as P
 from rosterlake.operators import reports as R
 from rosterlake.operators import sets as U
+from rosterlake.plans.q_pages import INF, PAGE_FACTS, PRO
 from rosterlake.plans.q_scoring import LEX
 from rosterlake.plans.registry import query
 from rosterlake.sources import search as SE
@@ -199,15 +200,22 @@ def _(t):
     return q.select("job_title", role_profile("job_title")["relevance_score"].alias("relevance_score"), "n").orderBy(F.desc("relevance_score"), "job_title")
 
 
-@query("p23_url_enrichment", "discovered_urls", """
-SELECT id, url, page_type <> '' AS typed, 2 AS crawl_depth FROM (SELECT id, url, 'x' AS page_type FROM discovered_urls)""")
-def _(t):
-    facts = P.page_facts(t.pages, industries=LEX)
-    links = F.lit("[]")
-    rows = t.pages.select("url", F.col("html").alias("html_content"), links.alias("extracted_links"), F.to_timestamp(F.lit("2024-02-01")).alias("last_crawled"),
-                          F.lit(2).alias("crawl_depth"), F.lit("crawl").alias("source"))
-    kept = M.upsert_url_records(t.discovered_urls.drop("page_type"), rows)
-    return kept.join(facts.select(F.col("page_id").alias("id"), "page_type"), "id").select("id", "url", (F.col("page_type") != "").alias("typed"), "crawl_depth")
+@query("p23_url_enrichment", "discovered_urls", f"""
+WITH facts AS (SELECT f.*, p.url, p.html FROM ({PAGE_FACTS}) f JOIN pages p USING (page_id)),
+latest AS (SELECT url, max(page_id) AS page_id FROM pages WHERE page_id % 4 <> 1 GROUP BY url), first AS (SELECT url, min(id) AS id FROM discovered_urls GROUP BY url)
+SELECT d.id, d.url, md5(CASE WHEN f.page_id IS NULL THEN d.html_content ELSE f.html END) AS content, CASE WHEN f.page_id IS NULL THEN d.last_crawled ELSE TIMESTAMP '2024-02-01' + to_minutes(f.page_id) END AS last_crawled,
+ CASE WHEN f.page_id IS NOT NULL THEN f.page_id % 4 END::INT AS crawl_depth, coalesce(f.page_type, d.page_type) AS page_type, f.title, f.contains_contact_info, coalesce(f.contains_infrastructure, d.contains_infrastructure) AS contains_infrastructure, f.water
+FROM discovered_urls d LEFT JOIN first ON first.id = d.id LEFT JOIN latest l ON l.url = first.url LEFT JOIN facts f ON f.page_id = l.page_id""")
+def _(t):
+    """Three of four pages are crawled again; their facts replace those of the stored record of the same URL."""
+    crawled = t.pages.where("page_id % 4 <> 1")
+    facts = P.page_facts(crawled, keep=("page_id", "url", "html"), infrastructure=INF, process=PRO, industries=LEX)
+    rows = facts.select("url", F.col("html").alias("html_content"), F.lit("[]").alias("extracted_links"), (F.expr("TIMESTAMP_NTZ '2024-02-01' + make_interval(0, 0, 0, 0, 0, CAST(page_id AS INT), 0)")).alias("last_crawled"),
+                        F.expr("CAST(page_id % 4 AS INT)").alias("crawl_depth"), F.lit("crawl").alias("source"), "title", "page_type", "contains_contact_info", "contains_infrastructure",
+                        F.round(F.col("industry_indicators")["water"], 6).alias("water"))
+    kept = M.upsert_url_records(t.discovered_urls, rows, ("title", "page_type", "contains_contact_info", "contains_infrastructure", "water"))
+    return kept.select("id", "url", F.md5("html_content").alias("content"), F.col("last_crawled").cast("timestamp_ntz").alias("last_crawled"), "crawl_depth", "page_type", "title",
+                       "contains_contact_info", "contains_infrastructure", "water")
 
 
 REAL = "SELECT id AS title_id, 'Real ' || CAST(id % 9 AS {s}) AS name, state, 'water' AS org_type, 'found' AS description, CAST(0.9 AS DOUBLE) AS confidence_score, CAST(7.5 AS DOUBLE) AS relevance_score FROM {o}"
