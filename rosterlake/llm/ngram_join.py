@@ -6,10 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, join_sized, map_columns, row_key, small_batches, spill, table
+from rosterlake.llm.common import components, hash60, join_sized, map_columns, row_key, small_batches, spill, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -136,16 +136,24 @@ def forest_edges(reps: DataFrame, threshold: float, target: float) -> DataFrame:
     """(a, b, est): documents that share a tree's prefix, each with the first document of that place in the trie.
 
     The prefix is the longest by which a pair exactly at the threshold is found with the target probability, so every link is found at
-    least that surely, whatever else the corpus holds.
+    least that surely, whatever else the corpus holds. Documents that look unlike the first of their place (est below ``RELATED``) are
+    placed again among themselves, until each has a document it is like or is alone: a link never hangs on a third document.
     """
     depth = next((d for d in range(DEPTH, 1, -1) if found_share(threshold, d) >= target), 1)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("mins", 4 * DEPTH * i + 1, 4 * depth)) for i in range(TREES)])
-    placed = reps.select("node", F.explode_outer(keys).alias("key"))
-    shared = spill(placed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"))
-    pairs = spill(join_sized(placed, shared, ["key"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-    with_a = join_sized(reps.select(F.col("node").alias("a"), F.col("mins").alias("ma")), pairs, ["a"])
-    with_b = join_sized(reps.select(F.col("node").alias("b"), F.col("mins").alias("mb")), spill(with_a), ["b"])
-    return spill(map_columns(with_b, ["ma", "mb"], "est double", _agreement))
+    placed, out = reps.select("node", F.explode_outer(keys).alias("key")), None
+    while True:
+        shared = spill(placed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"))
+        pairs = spill(join_sized(placed, shared, ["key"]).where("node <> lead").select("key", F.col("node").alias("a"), F.col("lead").alias("b")))
+        both = spill(pairs.select("a", "b").distinct())
+        with_a = join_sized(reps.select(F.col("node").alias("a"), F.col("mins").alias("ma")), both, ["a"])
+        with_b = join_sized(reps.select(F.col("node").alias("b"), F.col("mins").alias("mb")), spill(with_a), ["b"])
+        found = spill(map_columns(with_b, ["ma", "mb"], "est double", _agreement))
+        out = found if out is None else out.unionByName(found)
+        unlike = spill(found.where(F.col("est") < min(RELATED, threshold)).select("a", "b"))
+        if not unlike.limit(1).count():
+            return out
+        placed = spill(join_sized(pairs, unlike, ["a", "b"]).select(F.col("a").alias("node"), "key"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
@@ -198,7 +206,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return kept.union(again).select("row.*")
 
 
+def class_ids(found: DataFrame) -> DataFrame:
+    """(root, class_id): the smallest doc_id of a class; a class without one, or whose id an earlier class has, takes a negative number of its own."""
+    own = -1 - hash60(F.hex("root"))
+    low = found.groupBy("root").agg(F.min("doc_id").alias("low"))
+    named = low.where("low IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("low").orderBy("root")))
+    return named.select("root", F.when(F.col("k") == 1, F.col("low")).otherwise(own).alias("class_id")).union(low.where("low IS NULL").select("root", own))
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spill(join(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    ids = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    ids = class_ids(found.where("root IS NOT NULL"))
     return join_sized(found, spill(ids), ["root"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
