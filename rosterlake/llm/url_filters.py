@@ -54,13 +54,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad: Column |
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
     ``bad`` (a boolean column of ``pages``, NULL: not labelled) labels pages; by default the pages that a rule decides are labelled by
-    it. Per host, the nodes of the template tree count labelled pages. Sibling branches in the order of their share of good pages are
-    merged with their neighbour unless a two-proportion test tells them apart. Purity is the good share of the merged branch, smoothed
-    by the share of all labelled pages. A page without a rule takes the deepest node of its template that has labels and is blocked if
-    that purity is below ``MIN_PURITY``; without labels on its path it is allowed (template and purity NULL).
+    it. Every page enters the template tree of its host; a page without a label counts as good by the share of good ones among all
+    labelled pages. Sibling branches in the order of their bad share are merged with their neighbour unless a two-proportion test tells
+    them apart. Purity is the good share of the merged branch, smoothed by the same share. A page without a rule is blocked if the
+    purity of its whole template's branch is below ``MIN_PURITY``.
 
     A NULL url and one without ``://`` have an empty host and path and are allowed; repeated rows give repeated equal rows; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; branches of equal share are in the order of their templates; a very long url has a node per segment; other columns
+    are ignored.
     """
     found = pages.select(row_key(F.col("page_id"), F.col("url")).alias("rid"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                          (F.lit(None).cast("boolean") if bad is None else bad).alias("bad"))
@@ -68,10 +69,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad: Column |
     label = F.coalesce("bad", F.col("r.verdict") == "block").cast("int")
     found = spill(found.select("rid", "page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"), label.alias("bad")))
     urls = found.groupBy("rid", "host", "path").agg(F.first("by_rule").alias("by_rule"), F.count("*").alias("rows"), F.sum("bad").alias("bad"), F.count("bad").alias("n"))
-    tree = spill(templates(urls).join(urls.select("rid", "by_rule", "bad", "n"), "rid"))
-    nodes = tree.select("host", F.posexplode("nodes").alias("depth", "node"), F.array_union(F.array(F.lit("")), "nodes").alias("up"), "bad", "n")
-    nodes = nodes.select("host", "node", F.element_at("up", F.col("depth") + 1).alias("parent"), "bad", "n").where("n > 0").groupBy("host", "parent", "node").agg(
-        F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    good, seen = found.agg(F.sum(1 - F.col("bad")), F.count("bad")).first()
+    prior = (good or 0) / seen if seen else 1.0
+    tree = spill(templates(urls).join(urls.select("rid", "rows", "bad", "n"), "rid"))
+    nodes = tree.select("host", F.posexplode("nodes").alias("depth", "node"), F.array_union(F.array(F.lit("")), "nodes").alias("up"), "rows", "bad", "n")
+    nodes = nodes.select("host", "node", F.element_at("up", F.col("depth") + 1).alias("parent"), "rows", "bad", "n").groupBy("host", "parent", "node").agg(
+        F.sum("rows").alias("rows"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.sum("n").alias("n"))
+    nodes = nodes.select("host", "parent", "node", (F.col("bad") + F.lit(1 - prior) * (F.col("rows") - F.col("n"))).alias("bad"), F.col("rows").alias("n"))
     share, order = F.col("bad") / F.col("n"), Window.partitionBy("host", "parent").orderBy(F.col("bad") / F.col("n"), "node")
     was_bad, was_n = F.lag("bad").over(order), F.lag("n").over(order)
     pooled = (F.col("bad") + was_bad) / (F.col("n") + was_n)
@@ -79,18 +83,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad: Column |
     apart = F.when(pooled.isNull() | (pooled <= 0) | (pooled >= 1), 0).when(z2 > DIFFERENT, 1).otherwise(0)
     islands = nodes.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = Window.partitionBy("host", "parent", "island")
-    good, seen = found.agg(F.sum(1 - F.col("bad")), F.count("bad")).first()
-    prior = (good or 0) / seen if seen else 1.0
     purity = (F.sum(F.col("n") - F.col("bad")).over(merged) + PRIOR_WEIGHT * prior) / (F.sum("n").over(merged) + PRIOR_WEIGHT)
     judged = spill(islands.withColumn("purity", purity).select("host", "node", "purity"))
-    asked = tree.where("by_rule IS NULL").select("rid", "host", F.posexplode("nodes").alias("depth", "node"))
-    deepest = join_sized(asked, judged, ["host", "node"]).groupBy("rid").agg(F.max(F.struct("depth", "node", "purity")).alias("at"))
-    verdict = F.coalesce("by_rule", F.when(F.col("at.purity") < MIN_PURITY, "block").otherwise("allow"))
-    return join_sized(found, spill(deepest), ["rid"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("at.node").alias("template"), F.col("at.purity").alias("purity"))
+    asked = tree.select("rid", "host", F.element_at("nodes", -1).alias("template"))
+    at = join_sized(asked, judged.withColumnRenamed("node", "template"), ["host", "template"], "left").drop("host")
+    verdict = F.coalesce("by_rule", F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow"))
+    return join_sized(found, spill(at), ["rid"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def op2_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("purity")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("purity", F.round("purity", 6))
 
 
 def _rule_sql() -> str:
@@ -114,14 +116,15 @@ c AS (SELECT host, pos, s, count(*) AS n, sum(count(*)) OVER (PARTITION BY host,
 p3 AS (SELECT page_id, p2.host, p2.pos, CASE WHEN n >= {MIN_SUPPORT} AND n >= {MIN_SHARE} * t THEN p2.s ELSE '*' END AS s FROM p2 JOIN c ON p2.host = c.host AND p2.pos = c.pos AND p2.s = c.s),
 nd AS (SELECT page_id, host, pos, '/' || string_agg(s, '/') OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS node,
   CASE WHEN pos = 1 THEN '' ELSE '/' || string_agg(s, '/') OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM p3),
-g AS (SELECT nd.host, parent, node, sum(bad) AS bad, count(bad) AS n FROM nd JOIN b USING (page_id) WHERE bad IS NOT NULL GROUP BY nd.host, parent, node),
+pr AS (SELECT coalesce(avg(1 - bad), 1.0) AS prior FROM b),
+g0 AS (SELECT nd.host, parent, node, coalesce(sum(bad), 0) AS bad, count(bad) AS n, count(*) AS m FROM nd JOIN b USING (page_id) GROUP BY nd.host, parent, node),
+g AS (SELECT host, parent, node, bad + (1 - prior) * (m - n) AS bad, m AS n FROM g0, pr),
 g1 AS (SELECT *, bad::DOUBLE / n AS share, lag(bad) OVER o AS wb, lag(n) OVER o AS wn FROM g WINDOW o AS (PARTITION BY host, parent ORDER BY bad::DOUBLE / n, node)),
 g2 AS (SELECT *, (bad + wb)::DOUBLE / (n + wn) AS pool FROM g1),
 g3 AS (SELECT *, CASE WHEN pool IS NULL OR pool <= 0 OR pool >= 1 THEN 0 WHEN (share - wb::DOUBLE / wn) * (share - wb::DOUBLE / wn) / (pool * (1 - pool) * (1.0::DOUBLE / n + 1.0::DOUBLE / wn)) > {DIFFERENT} THEN 1 ELSE 0 END AS apart FROM g2),
 g4 AS (SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY share, node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g3),
-pr AS (SELECT coalesce(avg(1 - bad), 1.0) AS prior FROM b),
 g5 AS (SELECT host, node, (sum(n - bad) OVER i + {PRIOR_WEIGHT} * prior) / (sum(n) OVER i + {PRIOR_WEIGHT}) AS purity FROM g4, pr WINDOW i AS (PARTITION BY host, parent, island)),
 a AS (SELECT page_id, arg_max(nd.node, pos) AS node, arg_max(purity, pos) AS purity FROM nd JOIN g5 ON nd.host = g5.host AND nd.node = g5.node GROUP BY page_id)
-SELECT b.page_id, b.host, b.path, b.rule, coalesce(by_rule, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN by_rule IS NULL THEN a.node END AS template
+SELECT b.page_id, b.host, b.path, b.rule, coalesce(by_rule, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, a.node AS template, round(purity, 6) AS purity
 FROM b LEFT JOIN a USING (page_id)
 """
