@@ -44,6 +44,23 @@ Permission is granted to anyone to use this software for any purpose, including
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    "MIT-0": ("MIT No Attribution", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+""" + DISCLAIMER_MIT),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    "Unlicense": ("The Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""),
     "MIT-reference": ("", "Released under the MIT License."),
     "Apache-2.0-reference": ("", "Licensed under the Apache License, Version 2.0."),
     "GPL-3.0-reference": ("", "This work is licensed under the GNU General Public License, version 3."),
@@ -62,11 +79,14 @@ MARKS = r"[\p{P}\p{S}\s]+"
 
 
 def canonical(text: Column) -> Column:
-    """Copyright lines cut, case, punctuation and blanks made equal, spellings replaced; words with one blank between and around."""
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), MARKS, " ")), F.lit(" "))
+    """Copyright lines cut, case, punctuation and blanks made equal, spellings replaced; words with one blank between and around.
+
+    While spellings are replaced there are two blanks between words, so that neighbours do not share one.
+    """
+    flat = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), MARKS, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        flat = F.replace(flat, F.lit(f" {old} "), F.lit(f" {new} "))
-    return flat
+        flat = F.replace(flat, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    return F.replace(flat, F.lit("  "), F.lit(" "))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -96,10 +116,11 @@ def op3_digest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    flat = rf"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', '', 'g')), '[\p{{P}}\p{{S}}\s]+', ' ', 'g')) || ' '"
+    flat = rf"' ' || replace(trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', '', 'g')), '[\p{{P}}\p{{S}}\s]+', ' ', 'g')), ' ', '  ') || ' '"
     for old, new in SPELLINGS.items():
-        flat = f"replace({flat}, ' {old} ', ' {new} ')"
-    return flat
+        old, new = (f" {x} ".replace(" ", "  ")[1:-1] for x in (old, new))
+        flat = f"replace({flat}, '{old}', '{new}')"
+    return f"replace({flat}, '  ', ' ')"
 
 
 def _known_sql() -> str:

@@ -78,6 +78,12 @@ def test_url_rules_and_templates(spark):
     assert [got[i] for i in (0, 100, 200, 201, 202, 203)] == ["block", "allow", "block", "allow", "allow", "allow"]
 
 
+def test_neighbouring_spellings_and_every_known_text(spark):
+    rows = [(k, text, key) for k, (key, (_, text)) in enumerate(license_scans.LICENSES.items())] + [(100, "Whilst whilst whilst", None), (101, "while WHILE while", None)]
+    got = {r.doc_id: r for r in license_scans.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert all(got[k].license == key for k, _, key in rows) and got[100].digest == got[101].digest and got[100].n_words == 3
+
+
 def test_license_forms(spark, edge_docs, empty_docs):
     title, text = license_scans.LICENSES["MIT"]
     rows = [(1, text), (2, f"{title}\n\nCopyright (c) 2020 Some Body\n\n{text.upper()}"), (3, text.replace("sublicense", "sub-license").replace('"', "'").replace("\n\n", "\n * ")),
