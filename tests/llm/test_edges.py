@@ -325,26 +325,6 @@ def test_pipeline_edges(spark, edge_docs, empty_docs, tmp_path):
         assert {r.doc_id for r in docs.collect()} == ({4, 5} if start is edge_docs else set())
 
 
-def test_links_do_not_hang_on_a_third_document(spark):
-    """Two places of the trie meet in one bucket: each family finds its own links though the bucket's first document is of the other."""
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    shared = rng.integers(0, 2**32, 4, np.uint32)
-    families = [rng.integers(0, 2**32, 128, np.uint32) for _ in range(6)]
-    rows = []
-    for f, base in enumerate(families):
-        base[:4] = shared  # the prefix of the first tree is common to all
-        for k in range(5):
-            own = rng.integers(0, 2**32, 128, np.uint32)
-            own[:100] = base[:100]
-            own[8:] = np.where(rng.random(120) < 0.5, own[8:], base[8:])
-            rows.append((bytes([f * 5 + k]) * 16, bytearray(own.astype(">u4").tobytes())))
-    found = ngram_join.forest_edges(spark.createDataFrame(rows, "node binary, mins binary"), 0.8, 0.9995)
-    roots = {r.node[0]: r.root[0] for r in components(found.where(F.col("est") >= ngram_join.RELATED)).collect()}
-    assert all(roots[f * 5 + k] == f * 5 for f in range(6) for k in range(5))
-
-
 def test_class_ids_are_unique(spark):
     found = spark.createDataFrame([(b"a", 5), (b"a", 7), (b"b", 5), (b"c", None), (b"c", None), (b"d", None)], "root binary, doc_id long")
     got = {bytes(r.root): r.class_id for r in ngram_join.class_ids(found).collect()}
