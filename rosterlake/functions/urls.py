@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import any_word, col, first_case, let, lookup, strings
@@ -65,6 +65,36 @@ def site_root(url: str | Column) -> Column:
     return F.regexp_extract(col(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
 
 
+SUFFIX_LABELS = 5  # a rule has no more labels
+
+
+def with_registered_domain(df: DataFrame, rules: DataFrame, url: str = "url", out: str = "registered_domain") -> DataFrame:
+    """Adds the registered domain by a table of public-suffix rules (column ``rule``): the suffix of the longest rule and one label more.
+
+    A rule is a name (`co.uk`), a wildcard for exactly one label (`*.ck`) or an exception to a wildcard (`!www.ck`), which beats all
+    others and whose suffix is the rule without its first label. Without a rule the suffix is the last label. The rules are joined to the
+    distinct endings of distinct hosts, at most ``SUFFIX_LABELS`` each, by equality. A host that is itself a suffix, an address in
+    digits and an empty host have no registered domain (NULL); rules are compared in lower case, a final dot of a host is ignored.
+    """
+    hosts = df.select(F.regexp_replace(host(url), r"(:\d*)?$", "").alias("_host")).distinct()
+    labels = F.split(F.regexp_replace("_host", r"\.$", ""), r"\.")
+    n = F.size(labels)
+    ends = hosts.where(~F.col("_host").rlike(r"^$|^[\d.]+$|:")).select("_host", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.least(n, F.lit(SUFFIX_LABELS)))).alias("k"))
+    ending = F.array_join(F.slice("labels", F.size("labels") - F.col("k") + 1, F.col("k")), ".")
+    starred = F.concat(F.lit("*"), F.expr("substring(ending, instr(ending, '.'))"))
+    ends = ends.withColumn("ending", ending).withColumn("forms", F.array(F.struct(F.lit(1).alias("rank"), F.col("ending").alias("rule")), F.struct(F.lit(0).alias("rank"), starred.alias("rule")),
+                                                                                   F.struct(F.lit(2).alias("rank"), F.concat(F.lit("!"), "ending").alias("rule"))))
+    ends = ends.select("_host", "labels", "k", F.inline("forms")).where("k > 1 OR rank <> 0")
+    listed = rules.select(F.lower(F.trim("rule")).alias("rule")).distinct()
+    # an exception beats every rule and gives one label away; otherwise the longest rule holds
+    order = F.struct((F.col("rank") == 2).alias("exception"), F.col("k"))
+    found = ends.join(listed, "rule").groupBy("_host").agg(F.max(order).alias("best"))
+    size = F.when(F.col("best.exception"), F.col("best.k") - 1).otherwise(F.coalesce("best.k", F.lit(1))) + 1
+    named = hosts.where(~F.col("_host").rlike(r"^$|^[\d.]+$|:")).join(found, "_host", "left").withColumn("labels", labels)
+    named = named.select("_host", F.when(F.size("labels") >= size, F.array_join(F.slice("labels", F.size("labels") - size + 1, size), ".")).alias(out))
+    return df.withColumn("_host", F.regexp_replace(host(url), r"(:\d*)?$", "")).join(named, "_host", "left").drop("_host")
+
+
 def registered_domain(url: str | Column, suffixes: Sequence[str] = COMMON_SUFFIXES) -> Column:
     """Last two labels, or three when the last two form a listed public suffix."""
     labels = F.split(host(url), r"\.")

@@ -34,6 +34,28 @@ def _(t):
                                    U.site_root("url").alias("root"), U.registered_domain("url", ["co.uk"]).alias("registered"))
 
 
+SUFFIX_RULES = ["com", "org", "gov", "uk", "co.uk", "*.ck", "!www.ck", "k12.ca.us", "pvt.k12.ma.us", "*.town.jp", "!city.town.jp"]
+SUFFIX_HOSTS = ["a.b.example.com", "x.shop.co.uk", "www.ck", "a.b.other.ck", "lib.school.k12.ca.us", "deep.own.pvt.k12.ma.us", "a.city.town.jp", "q.r.s.town.jp", "co.uk", "plain.zone", "10.0.0.1", "WWW.Example.ORG:8080"]
+ENDING = r"array_to_string(l[-k:], '.')"
+
+
+@query("x2_registered_domains", "search_results", rf"""
+WITH h AS (SELECT pos, regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), ':[0-9]*$', '') AS host FROM (SELECT pos, CASE WHEN pos % 2 = 0 THEN 'http://' || ({sql_list(SUFFIX_HOSTS)})[1 + (pos // 2 % {len(SUFFIX_HOSTS)})::INT] || '/x' ELSE url END AS u FROM search_results)),
+d AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM h WHERE NOT regexp_matches(host, '^[0-9.]+$')),
+r AS (SELECT unnest({sql_list(SUFFIX_RULES)}) AS rule),
+m AS (SELECT host, l, max(CASE WHEN rule = '!' || {ENDING} THEN k END) AS ex, max(CASE WHEN rule = {ENDING} OR k > 1 AND rule = '*.' || array_to_string(l[-(k - 1):], '.') THEN k END) AS k0
+ FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM d), r GROUP BY host, l),
+n AS (SELECT host, l, CASE WHEN ex IS NOT NULL THEN ex ELSE coalesce(k0, 1) + 1 END AS size FROM m)
+SELECT h.pos, CASE WHEN len(l) >= size THEN array_to_string(l[-size:], '.') END AS registered_domain FROM h LEFT JOIN n ON n.host = h.host""")
+def _(t):
+    hosts = F.array(*[F.lit(h) for h in SUFFIX_HOSTS])
+    url = F.expr("pos % 2 = 0")
+    made = F.concat(F.lit("http://"), F.element_at(hosts, F.expr(f"CAST(pos div 2 % {len(SUFFIX_HOSTS)} AS INT) + 1")), F.lit("/x"))
+    rows = t.search_results.select("pos", F.when(url, made).otherwise(F.col("url")).alias("url"))
+    rules = t.spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    return U.with_registered_domain(rows, rules).select("pos", "registered_domain")
+
+
 @query("x3_valid_email", "contacts", r"""
 SELECT id, coalesce(regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'), false) AS email_valid FROM contacts""")
 def _(t):
