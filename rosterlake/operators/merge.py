@@ -274,7 +274,7 @@ def _group_links(groups: DataFrame, percent: int | None = None) -> DataFrame:
     prefixes = groups.select("state", "org_type", F.col("lname").alias("long"), F.col("best").alias("long_best"), F.explode(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("lname") - 1, F.lit(1))), lambda i: F.substr("lname", F.lit(1), i))).alias("lname"))
     prefixes = prefixes.filter(F.col("lname") != F.col("long"))
-    edges = prefixes.join(groups, ["state", "org_type", "lname"])
+    edges = prefixes.join(groups.hint("merge"), ["state", "org_type", "lname"])  # an exploded side looks as small as its source, so none is broadcast
     both = edges.select("state", "org_type", F.col("long").alias("lname"), "best").unionByName(
         edges.select("state", "org_type", "lname", F.col("long_best").alias("best"))).unionByName(
         groups.select("state", "org_type", "lname", "best"))
@@ -282,7 +282,7 @@ def _group_links(groups: DataFrame, percent: int | None = None) -> DataFrame:
         pairs = similar_names(groups, ["state", "org_type"], "lname", percent)
         pairs = pairs.select("state", "org_type", F.col("a").alias("other"), F.col("b").alias("lname")).union(pairs.select("state", "org_type", "b", "a"))
         there = groups.select("state", "org_type", F.col("lname").alias("other"), "best")
-        both = both.unionByName(pairs.join(there, ["state", "org_type", "other"]).select("state", "org_type", "lname", "best"))
+        both = both.unionByName(pairs.join(there.hint("merge"), ["state", "org_type", "other"]).select("state", "org_type", "lname", "best"))
     return both.groupBy("state", "org_type", "lname").agg(F.min("best").alias("reach"))
 
 

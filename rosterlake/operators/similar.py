@@ -30,7 +30,7 @@ def similar_names(names: DataFrame, by: Sequence[str], name: str, percent: int =
     edits, each shifted by no more than the edits allow. So of every name one piece more than its edits is filed, the rarest ones; one of
     them is shared in any case, and words that all names of a group have in common do not bring them together. Shorter names look
     for the pieces of all lengths they can be similar to; the distance decides at the end. NULL and empty names, and groups with a NULL
-    in ``by``, have no pairs.
+    in ``by``, have no pairs. Pieces are many times the names they are planned by, so they are joined by sorting and never broadcast.
     """
     keys = list(by)
     distinct = stored(names.select(*keys, F.col(name).alias("name")).where(F.length(name) > 0).dropna(subset=keys).distinct().withColumn("length", F.length("name")))
@@ -39,7 +39,7 @@ def similar_names(names: DataFrame, by: Sequence[str], name: str, percent: int =
     filed = filed.select(*keys, "long", "length", "i", F.expr("substring(long, start, width)").alias("piece"))
     place = [*keys, "length", "i", "piece"]
     common = filed.groupBy(*place).agg(F.count("*").alias("n"))
-    ranked = filed.join(common, place).groupBy(*keys, "long", "length").agg(F.array_sort(F.collect_list(F.struct("n", "i", "piece"))).alias("p"))  # a name has few pieces
+    ranked = filed.join(common.hint("merge"), place).groupBy(*keys, "long", "length").agg(F.array_sort(F.collect_list(F.struct("n", "i", "piece"))).alias("p"))  # a name has few pieces
     filed = ranked.select(*keys, "long", "length", F.inline(F.slice("p", F.lit(1), edits_allowed(F.col("length"), percent) + 1))).drop("n")
     asks = distinct.select(*keys, F.col("name").alias("short"), F.col("length").alias("l"),
                            F.explode(F.sequence("length", F.floor(F.col("length") * 100 / percent).cast("int"))).alias("length"))
@@ -49,5 +49,5 @@ def similar_names(names: DataFrame, by: Sequence[str], name: str, percent: int =
     last = F.least(F.col("l") - F.col("width") + 1, F.col("start") + F.floor((F.col("edits") - F.col("length") + F.col("l")) / 2).cast("int"))
     asks = asks.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
     asks = asks.select(*keys, "short", "length", "i", "edits", F.expr("substring(short, at, width)").alias("piece")).distinct()
-    near = asks.join(filed, place).where("short <> long").select(*keys, F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "edits").distinct()
+    near = asks.join(filed.hint("merge"), place).where("short <> long").select(*keys, F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "edits").distinct()
     return near.where(F.levenshtein("a", "b") <= F.col("edits")).select(*keys, "a", "b")

@@ -1,7 +1,7 @@
 """Similar names against all pairs, and names of one group that share most of their words."""
 import random
 
-from rosterlake.operators.merge import best_duplicate, duplicate_roots
+from rosterlake.operators.merge import _group_links, _name_groups, best_duplicate, duplicate_roots
 from rosterlake.operators.similar import similar_names
 
 
@@ -46,6 +46,12 @@ def test_words_that_all_names_share_form_no_pairs(spark):
     assert {tuple(sorted(p)) for p in zip(names, twins)} == got
 
 
+def test_exploded_pieces_are_not_broadcast(spark):
+    orgs = spark.createDataFrame([(i, f"Springfield Water {i}", "IL", "water", 1.0) for i in range(9)], "id long, name string, state string, org_type string, relevance_score double")
+    for df in (similar_names(orgs, ["state"], "name"), _group_links(_name_groups(orgs), 85)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
+
+
 def test_chains_of_similar_names_have_one_root(spark):
     rows = [(1, "Springfield Water", 1.0), (2, "Springfeld Water", 2.0), (3, "Springfeld Watr", 3.0), (4, "Shelbyville Water", 9.0), (5, "springfield water", None), (6, "Springfield Water Works", 0.5), (7, None, 1.0)]
     orgs = spark.createDataFrame([(i, n, "IL", "water", r) for i, n, r in rows], "id long, name string, state string, org_type string, relevance_score double")
