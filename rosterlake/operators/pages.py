@@ -21,7 +21,7 @@ from rosterlake.functions.urls import host, registered_domain, short_id, trackin
 from rosterlake.operators import scoring as S
 from rosterlake.operators.predicates import IGNORED_URL_PATTERNS, generic_mailbox
 from rosterlake.operators.selection import lowest_strategy, rank_within
-from rosterlake.session import cut_lineage
+from rosterlake.session import cut_lineage, stored
 from rosterlake.sources import html as H
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -602,14 +602,6 @@ def sitemap_contact_pages(documents: DataFrame, url: str = "url", body: str = "b
     xml = F.col(body).contains("<?xml")
     loc = F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)
     locs = documents.filter(xml).select(F.col(url).alias("src"), (F.col(body).contains("<sitemapindex") & ~F.col(body).contains("<urlset")).alias("is_index"), F.explode(loc).alias("loc"))
-    index = cut_lineage(locs.filter("is_index").select("src", "loc").distinct())
-    # maps reachable from each top document: itself and whatever its index names
-    reach = documents.select(F.col(url).alias("top"), F.col(url).alias("map")).distinct()
-    level = cut_lineage(reach)
-    while level.limit(1).count():
-        level = cut_lineage(level.join(index, level["map"] == index["src"]).select("top", F.col("loc").alias("map")).join(
-            reach, ["top", "map"], "left_anti").distinct())
-        reach = cut_lineage(reach.unionByName(level))
     leaf = locs.filter("NOT is_index")
     hits = leaf.filter(any_word(F.lower("loc"), SITEMAP_WORDS)).select(F.col("src").alias("map"), F.col("loc").alias("page"))
     site = F.regexp_extract("map", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
@@ -617,7 +609,21 @@ def sitemap_contact_pages(documents: DataFrame, url: str = "url", body: str = "b
     inside = F.col("l.href").startswith("/") | ((site != "") & F.col("l.href").contains(site))
     said = any_word(F.lower("l.href"), SITEMAP_WORDS) | any_word(F.lower("l.text"), SITEMAP_WORDS)
     hits = hits.unionByName(links.filter(inside & said).select("map", H.absolute_url(F.col("l.href"), F.col("map")).alias("page")))
-    return reach.join(hits, "map").select("top", "page").distinct()
+    hits = stored(hits.filter("map IS NOT NULL").distinct())
+    index = stored(locs.filter("is_index AND src IS NOT NULL").select("src", "loc").distinct())
+    # only indexes that name a map with pages are walked up from, over the links between indexes
+    named = index.join(hits.withColumnRenamed("map", "loc"), "loc").select(F.col("src").alias("carrier"), "page")
+    links_up = stored(index.join(index.select(F.col("src").alias("loc")).distinct(), "loc", "left_semi"))
+    carriers = index.join(hits.select(F.col("map").alias("loc")).distinct(), "loc", "left_semi").select("src").distinct()
+    level = reach = stored(carriers.select(F.col("src").alias("top"), F.col("src").alias("carrier")))
+    rounds = 0
+    while level.limit(1).count():
+        level = stored(level.withColumnRenamed("top", "loc").join(links_up, "loc").select(F.col("src").alias("top"), "carrier").distinct().join(
+            reach, ["top", "carrier"], "left_anti"))
+        reach, rounds = reach.unionByName(level), rounds + 1
+        if rounds % 16 == 0:  # keeps the plan short
+            reach = stored(reach)
+    return hits.withColumnRenamed("map", "top").unionByName(reach.join(named, "carrier").select("top", "page")).distinct()
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_per_host: int | None = None,
