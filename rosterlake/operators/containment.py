@@ -56,7 +56,8 @@ def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, g
     lex = lexicon.select("category", F.lower("keyword").alias("keyword"), "weight").filter(F.length("keyword") > 0)
     same = marked if boundary else (lambda c: c)
     rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"), F.lower(text).alias("_t")).filter("_t IS NOT NULL")
-    rows = stored(rows.withColumn("tokens", F.array_union(tokens_of(F.col("_t")), F.array(F.lit("")))))
+    # a text is marked once, not once for each keyword that is tested on it
+    rows = stored(rows.select("row", "_key", same(F.col("_t")).alias("_t"), F.array_union(tokens_of(F.col("_t")), F.array(F.lit(""))).alias("tokens")))
     tokens = rows.select("row", "_key", F.explode("tokens").alias("token"))
     vocabulary = stored(tokens.groupBy("token").agg(F.count("*").alias("df")))
     held = vocabulary.select("token", "df", F.explode(F.array_distinct(F.concat(*[_grams(F.col("token"), k) for k in range(1, gram + 1)]))).alias("gram"))
@@ -78,7 +79,7 @@ def contained_terms(texts: DataFrame, lexicon: DataFrame, key: str, text: str, g
     found = found.union(best.where("kind = 'whole'").select("kind", "piece", F.col("piece").alias("token")).distinct())
     filed = best.join(found, ["kind", "piece"]).groupBy("token").agg(F.collect_list(F.when(F.col("sure"), F.col("word")).otherwise(-1 - F.col("word"))).alias("words"))
     near = tokens.join(stored(filed), "token").select("row", "_key", F.explode("words").alias("word")).distinct()
-    tested = near.where("word < 0").select("row", "_key", (-1 - F.col("word")).alias("word")).join(best.select("word", "keyword"), "word").join(rows.select("row", "_t"), "row")
-    tested = tested.where(same(F.col("_t")).contains(same(F.col("keyword")))).select("_key", "word")
+    tested = near.where("word < 0").select("row", "_key", (-1 - F.col("word")).alias("word")).join(best.select("word", same(F.col("keyword")).alias("keyword")), "word").join(rows.select("row", "_t"), "row")
+    tested = tested.where(F.col("_t").contains(F.col("keyword"))).select("_key", "word")
     hits = near.where("word >= 0").select("_key", "word").union(tested)
     return hits.join(lex.join(best.select("word", "keyword"), "keyword"), "word").select(F.col("_key").alias(key), "category", "keyword", "weight")

@@ -44,6 +44,13 @@ def test_both_modes_against_a_loop(spark):
     assert contained_terms(texts.where("false"), lex, "k", "t").count() == 0
 
 
+def test_a_text_is_marked_once_and_not_for_each_keyword(spark):
+    texts, lex = spark.createDataFrame([(1, "oil & gas, oil"), (2, "oils & gas")], "k int, t string"), spark.createDataFrame([("c", "oil & gas", 1.0), ("c", "gas", 1.0)], "category string, keyword string, weight double")
+    hits = contained_terms(texts, lex, "k", "t", boundary=True)
+    assert "translate(_t" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.keyword) for r in hits.collect()) == [(1, "gas"), (1, "oil & gas"), (2, "gas")]
+
+
 def test_random_texts(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab c-_") for _ in range(rng.randint(0, 25))) for _ in range(120)]
