@@ -51,6 +51,15 @@ def test_a_text_is_marked_once_and_not_for_each_keyword(spark):
     assert sorted((r.k, r.keyword) for r in hits.collect()) == [(1, "gas"), (1, "oil & gas"), (2, "gas")]
 
 
+def test_pairs_of_text_and_keyword_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(i, f"the fathers, of other leathers {i % 7}x own-{i}") for i in range(300)], "k int, t string")
+    lex = spark.createDataFrame([("c", k, 1.0) for k in ("the", "her", "e", "x", "s,", "own-1", "zz")], "category string, keyword string, weight double")
+    hits = contained_terms(texts, lex, "k", "t")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "word#" in x]
+    assert sorted((r.k, r.keyword) for r in hits.collect()) == brute([r.t for r in texts.sort("k").collect()], [r.keyword for r in lex.collect()], False)
+
+
 def test_random_texts(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab c-_") for _ in range(rng.randint(0, 25))) for _ in range(120)]
