@@ -15,6 +15,7 @@ from rosterlake.functions.people import EMAIL_SYNTAX
 from rosterlake.functions.text import blank_to_null, nonblank
 from rosterlake.operators.similar import similar_names
 from rosterlake.session import cut_lineage
+from rosterlake.session import stored as written
 
 CONTACT_FIELDS = ["first_name", "last_name", "job_title", "phone"]
 
@@ -77,13 +78,14 @@ def match_finds(stored: DataFrame, found: DataFrame, within_organization: bool =
     """Give each find the stored row it belongs to: by e-mail, else by (organization, first, last), else none."""
     s = stored.select("id", "organization_id", "first_name", "last_name", email_key().alias("_k"))
     ekeys = ["_k", "organization_id"] if within_organization else ["_k"]
-    by_email = s.filter("_k IS NOT NULL").groupBy(*ekeys).agg(F.min("id").alias("_by_email"))
+    by_email = s.filter("_k IS NOT NULL").groupBy(*ekeys).agg(F.min("id").alias("_by_email"), F.min_by("organization_id", "id").alias("_org")).withColumn("_salt", F.lit(0).cast("bigint"))
     by_name = (s.withColumn("last_name", F.coalesce("last_name", F.lit("")))
                .groupBy("organization_id", "first_name", "last_name").agg(F.min("id").alias("_by_name")))
     f = (found.filter(nonblank("first_name") & F.col("organization_id").isNotNull()).withColumn("_k", email_key())
          .withColumn("last_name", F.coalesce("last_name", F.lit(""))))
-    # finds without an e-mail take no part in that join, so no task gets them all under one NULL key
-    j = f.filter("_k IS NOT NULL").join(by_email, ekeys, "left").unionByName(f.filter("_k IS NULL"), allowMissingColumns=True)
+    # finds without an e-mail match nothing in that join; they are dealt by their name, so that no task gets them all under one NULL key
+    f = f.withColumn("_salt", F.when(F.col("_k").isNull(), F.xxhash64("organization_id", "first_name", "last_name")).otherwise(0))
+    j = f.join(by_email, [*ekeys, "_salt"], "left").drop("_salt")
     j = j.join(by_name, ["organization_id", "first_name", "last_name"], "left")
     return (j.withColumn("target_id", F.coalesce("_by_email", "_by_name"))
             .withColumn("matched_by", F.when(F.col("_by_email").isNotNull(), "email").when(F.col("_by_name").isNotNull(), "name"))
@@ -97,25 +99,25 @@ def new_from_finds(matched: DataFrame, seq: str, defaults: dict[str, Column]) ->
     fresh = rank_within(matched.filter("target_id IS NULL").withColumn("_key", key), ["_k", "_key"], [F.asc(seq)], 1)
     for c, v in defaults.items():
         fresh = fresh.withColumn(c, v)
-    return fresh.drop("_key", "_k", "target_id", "matched_by")
+    return fresh.drop("_key", "_k", "_org", "target_id", "matched_by")
 
 
 def crawled_note_lines(stored: DataFrame, found: DataFrame, seq: str = "seq") -> DataFrame:
     """(id, ord, line): what :func:`upsert_crawled_contacts` notes about finds of another organization, one row per note."""
-    return _organization_notes(stored, match_finds(stored, found), seq)
+    return _organization_notes(match_finds(stored, found), seq)
 
 
-def _organization_notes(stored: DataFrame, matched: DataFrame, seq: str) -> DataFrame:
+def _organization_notes(matched: DataFrame, seq: str) -> DataFrame:
     hits = matched.filter((F.col("matched_by") == "email")).withColumn("id", F.col("target_id"))
-    old_org = stored.select("id", F.col("organization_id").alias("_org"))
-    return (hits.join(old_org, "id").filter(~F.col("organization_id").eqNullSafe(F.col("_org")))
+    return (hits.filter(~F.col("organization_id").eqNullSafe(F.col("_org")))
             .select("id", F.col(seq).alias("ord"), F.concat(F.lit("Also associated with organization ID: "), F.col("organization_id")).alias("line")))
 
 
 def upsert_crawled_contacts(stored: DataFrame, found: DataFrame, seq: str = "seq", decision_maker: str = "is_decision_maker") -> DataFrame:
     """E-mail match: fill blanks, raise relevance to 7 (decision makers) or 5, note another organization.
     Name match inside the organization: fill e-mail, phone and title. Otherwise a new row."""
-    m = match_finds(stored, found).withColumn("_rel", F.when(F.col(decision_maker), 7.0).otherwise(5.0))
+    # matched once and written: fills, notes and new rows all read it
+    m = written(match_finds(stored, found).withColumn("_rel", F.when(F.col(decision_maker), 7.0).otherwise(5.0)))
     order = F.col(seq)
     by_email, by_name = F.col("matched_by") == "email", F.col("matched_by") == "name"
     hits = m.filter("target_id IS NOT NULL").withColumn("id", F.col("target_id"))
@@ -129,7 +131,7 @@ def upsert_crawled_contacts(stored: DataFrame, found: DataFrame, seq: str = "seq
         kept = kept.withColumn(c, F.coalesce(blank_to_null(c), F.col(f"_n_{c}"), F.col(c)))
     rel = F.col("contact_relevance_score")
     kept = kept.withColumn("contact_relevance_score", F.when(F.col("_rel") > F.coalesce(rel, F.lit(0.0)), F.col("_rel")).otherwise(rel))
-    kept = attach_notes(kept.select(*stored.columns), _organization_notes(stored, m, seq), "notes")
+    kept = attach_notes(kept.select(*stored.columns), _organization_notes(m, seq), "notes")
     fresh = new_from_finds(m, seq, {"contact_relevance_score": F.col("_rel"), "contact_confidence_score": F.lit(0.7)})
     fresh = fresh.select([c for c in fresh.columns if c in kept.columns])
     return kept.unionByName(fresh, allowMissingColumns=True)

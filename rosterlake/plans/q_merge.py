@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.operators import merge as M
 from rosterlake.operators.similar import similar_names
 from rosterlake.operators.predicates import ts
+from rosterlake.plans.bindings import VIEWS
 from rosterlake.plans.registry import query
 
 AS_OF = dt.datetime(2001, 8, 2)
@@ -38,7 +39,9 @@ FINDS = ("SELECT seq, CASE WHEN seq % 3 = 0 THEN c.organization_id ELSE i.organi
 
 
 def finds(t):
-    return t.spark.sql(FINDS, i=t.incoming_contacts, c=t.contacts)
+    # dealt by order, the lines need no other shuffle for their groups and for the join to the orders
+    incoming = t.spark.sql(VIEWS["incoming_contacts"][0], lineitem=t.lineitem.repartition("l_orderkey"))
+    return t.spark.sql(FINDS, i=incoming, c=t.contacts)
 
 
 FINDS_CTE = f"finds AS ({FINDS.format(i='incoming_contacts', c='contacts')})"

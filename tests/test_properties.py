@@ -212,3 +212,17 @@ def test_parse_keeps_text_once(spark):
     html = "<div>a<div>b<div>c</div></div></div><script>var x = '<p>no</p>';</script>"
     r = H.parse_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).head()
     assert r["text"] == "abc" and [e["tag"] for e in r["elements"]] == ["div", "div", "div"]
+
+
+def test_finds_are_matched_once(spark):
+    stored = spark.createDataFrame([(1, 10, "Ann", "Bee", None, "a@x.org", None, 1.0), (2, 10, "Cy", "", None, None, None, None)],
+                                   "id long, organization_id long, first_name string, last_name string, job_title string, email string, phone string, contact_relevance_score double")
+    found = spark.range(4).selectExpr("id AS seq", "CASE id WHEN 0 THEN 11L ELSE 10L END AS organization_id", "element_at(array('Ann', 'Cy', 'New', 'Ann'), CAST(id AS INT) + 1) AS first_name", "CAST(NULL AS STRING) AS last_name",
+                                      "'Clerk' AS job_title", "CASE id WHEN 0 THEN ' A@X.org' WHEN 3 THEN 'a@x.org' END AS email", "CAST(NULL AS STRING) AS phone", "true AS is_decision_maker")
+    matched = M.match_finds(stored, found)
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert sorted((r.seq, r.target_id, r.matched_by) for r in matched.collect()) == [(0, 1, "email"), (1, 2, "name"), (2, None, None), (3, 1, "email")]
+    out = M.upsert_crawled_contacts(stored, found)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()  # read where the matches were written
+    assert sorted((r.id or 0, r.first_name, r.job_title, r.contact_relevance_score, r.notes) for r in out.collect()) == [
+        (0, "New", "Clerk", 7.0, None), (1, "Ann", "Clerk", 7.0, "Also associated with organization ID: 11"), (2, "Cy", "Clerk", None, None)]
