@@ -282,7 +282,7 @@ def table_rows(parsed: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> D
         F.transform(F.filter(H.descendants(t), lambda e: (e["tag"] == "th")), lambda e: F.lower(H.text_of(e))).alias("th"),
         F.transform(rows(t), lambda r: F.struct(r["seq"].alias("seq"), r["cls"].alias("cls"), F.transform(cells(r), lambda c: H.text_of(c)).alias("cells"),
                                                 F.transform(cells(r), mail).alias("mails"))).alias("rows")))
-    q = parsed.select(*keep, F.explode(found).alias("t"))
+    q = parsed.select(*keep, rows_of(found).alias("t"))
     first = F.transform(F.get("t.rows", F.lit(0))["cells"], F.lower)
     q = q.select(*keep, F.col("t.seq").alias("table_seq"), F.col("t.body").alias("table_text"), F.size("t.rows").alias("n_rows"),
                  F.size("t.th").alias("n_th"), F.when(F.size("t.th") > 0, F.col("t.th")).otherwise(first).alias("headers"),

@@ -6,6 +6,7 @@ Text is kept once per page; elements point into it. Unclosed tags end with the e
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,6 +20,8 @@ KEPT = {"div", "section", "article", "p", "span", "h1", "h2", "h3", "h4", "h5",
 ELEMENT = ("struct<seq:int,last:int,parent:int,tag:string,cls:string,ident:string,href:string,prop:string,itemtype:string,"
            "alt:string,content:string,t0:int,t1:int,head:int>")
 HEADS = {"h1", "h2", "h3", "h4"}
+BARE = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)>")  # tags without attributes, by far the most
+BARE_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
 PAGES_AT_ONCE = 128  # parsed rows that a worker holds before it hands them over
 
 
@@ -31,6 +34,25 @@ class _Elements(HTMLParser):
         self.open: list[tuple[str, int]] = []  # (tag, row number or -1)
         self.head = -1  # row number of the last heading met
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
+    def parse_starttag(self, i):
+        m = BARE.match(self.rawdata, i)
+        tag = m and m[1].lower()
+        if tag not in KEPT or self.cdata_elem:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [])
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = BARE_END.match(self.rawdata, i)
+        tag = m and m[1].lower()
+        if tag not in KEPT or self.cdata_elem:
+            return super().parse_endtag(i)
+        self.handle_endtag(tag)
+        return m.end()
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         row = -1

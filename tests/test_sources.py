@@ -52,3 +52,16 @@ def test_run_metrics_append(spark, tmp_path):
     for _ in range(2):
         TB.append_table(m, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+
+
+def test_bare_tags_are_read_without_the_general_parser(monkeypatch):
+    from html.parser import HTMLParser
+    from rosterlake.sources.html import _Elements
+    seen = []
+    general = HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: seen.append(self.rawdata[i : i + 12]) or general(self, i))
+    p = _Elements()
+    p.feed("<TABLE><tr class='x'><td>a &amp; b</TD></tr></table><script><p>no</p></script><p>yes</p>")
+    text, rows = p.done()
+    assert [x[:4] for x in seen] == ["<tr ", "<scr"]
+    assert text == "a & byes" and [(r["tag"], r["parent"], r["last"]) for r in rows] == [("table", -1, 2), ("tr", 0, 2), ("td", 1, 2), ("p", -1, 3)]
