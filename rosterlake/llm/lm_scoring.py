@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import base64
+import copy
 import math
 import struct
+from array import array
 from collections import Counter
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,15 @@ FOLDS, HELD_OUT = 10, 0
 COMMON_SHARE = 2e-6  # of all training tokens: at most 500,000 words can have it, so these are sent to all tasks
 CACHE = 400_000
 COUNTED_CHARS = 8 << 20  # text that is counted at once
-TRAIN_TEXTS = 1200  # texts whose windows teach the weights; all counts come from the whole training part
+TRAIN_TEXTS = 1200  # texts that the weights start from; then all training texts teach them
+LEARNED_CHARS = 2 << 20  # text whose windows are put in random order at once
 WIDTH, BLOCK, CONTEXT = 16, 16, 16  # of vectors; tokens scored by a window; tokens before them that it sees as well
 OWN_VECTORS, SHARED_VECTORS = 4000, 94
 OWN_CLASSES, CLASSES = 64, 128  # their difference is even, so that a class has only word beginnings or none
 STEPS, BATCH, RATE = 2400, 128, 0.01
+LATER_BATCH, LATER_RATE = 512, 0.004  # of the pass over all training texts
 CHUNK = 64  # windows computed at once, few enough for the arrays to stay in a core's cache
+GATE_CELLS = 32  # of a natural log, in which words are counted for the gate
 SMOOTH = 3.0  # weight of the single subwords' shares against the pairs
 END, BEGIN = OWN_VECTORS + SHARED_VECTORS, OWN_VECTORS + SHARED_VECTORS + 1
 
@@ -45,7 +50,12 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return words.filter(some), np.bincount(parent.filter(some).to_numpy(), minlength=len(texts))
 
 
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+
+
 TAIL = 6  # places after a word's ids that hold its member log and its count
+TAIL_OF = struct.Struct("<fq")
 
 
 class Subwords(dict):
@@ -62,13 +72,13 @@ class Subwords(dict):
             self.clear()
         ids = self.encoder.encode_ordinary(" " + word)
         c, member = self.known.get(word, (0, 0.0))
-        out = self[word] = struct.pack(f"<{len(ids)}Hfq", *ids, member, c)
+        out = self[word] = array("H", ids).tobytes() + TAIL_OF.pack(member, c)
         return out
 
     def encode_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, and of each word the number of ids, the member log and the count. Each distinct word is looked up once."""
         coded = words.dictionary_encode()
-        place, known = coded.indices.to_numpy(), list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        place, known = coded.indices.to_numpy(), list(map(self.__getitem__, strings(coded.dictionary)))
         width = np.fromiter(map(len, known), np.int64, len(known)) // 2
         flat, stop = np.frombuffer(b"".join(known), np.uint16), np.cumsum(width)
         tail = flat[stop[:, None] - np.arange(TAIL, 0, -1)]
@@ -107,6 +117,7 @@ class Attention:
         d = WIDTH
         self.p = {"e": small(BEGIN + 1, d), "q": small(d, d), "k": small(d, d), "v": small(d, d), "u": np.eye(d, dtype=np.float32) + small(d, d),
                   "near": np.zeros(BLOCK + CONTEXT, np.float32), "o": small(d, CLASSES), "b": np.log(share / share.sum()).astype(np.float32)}
+        self.means = np.log(share / share.sum())  # of each class: its log where it is the next one
 
     def follow(self, pairs: dict[int, int]) -> None:
         """Take counts of subword pairs, keyed by first << 16 | second."""
@@ -127,74 +138,123 @@ class Attention:
 
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vectors seen per window, target per scored place, text per window); every token and the end is a target once, else -1."""
-        seen, want, owner = [], [], []
-        for i, ids in enumerate(texts):
-            n = len(ids) + 1
-            blocks = -(-n // BLOCK)
-            line = np.full(CONTEXT + blocks * BLOCK, BEGIN, np.int32)
-            line[CONTEXT + 1 : CONTEXT + n] = self.vector[ids]
-            target = np.full(blocks * BLOCK, -1, np.int32)
-            target[: n - 1], target[n - 1] = ids, len(self.vector) - 1
-            at = np.arange(blocks)[:, None] * BLOCK + np.arange(CONTEXT + BLOCK)
-            seen.append(line[at])
-            want.append(target.reshape(blocks, BLOCK))
-            owner.append(np.full(blocks, i))
-        return np.concatenate(seen), np.concatenate(want), np.concatenate(owner)
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids, blocks = np.concatenate([*texts, np.empty(0, np.int32)]).astype(np.int64), n // BLOCK + 1
+        ahead = np.cumsum(blocks) - blocks
+        within = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        line = np.full(len(texts) * CONTEXT + int(blocks.sum()) * BLOCK, BEGIN, np.int64)
+        first = np.arange(len(texts)) * CONTEXT + ahead * BLOCK
+        line[np.repeat(first + CONTEXT + 1, n) + within] = self.vector[ids]
+        want = np.full(int(blocks.sum()) * BLOCK, -1, np.int32)
+        want[np.repeat(ahead * BLOCK, n) + within] = ids
+        want[ahead * BLOCK + n] = len(self.vector) - 1
+        owner = np.repeat(np.arange(len(texts)), blocks)
+        start = first[owner] + (np.arange(len(owner)) - ahead[owner]) * BLOCK
+        return line[start[:, None] + np.arange(CONTEXT + BLOCK)], want.reshape(-1, BLOCK), owner
 
     def _offsets(self) -> np.ndarray:
         """Bias of each key for each query of a window; keys after the query are masked."""
         gap = CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]
         return np.where(gap >= 0, self.p["near"][np.maximum(gap, 0)], -1e9).astype(np.float32)
 
+    def gradients(self, at: np.ndarray, to: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of windows: the gradients of the cross entropy summed over the scored places, the class of each of these, and log p of it."""
+        p, w, n = self.p, WIDTH, len(at)
+        ones, scale = np.ones((n * BLOCK, 1), np.float32), np.float32(w**-0.5)
+        flat = lambda y: y.reshape(-1, y.shape[-1])
+        shaped = lambda y: y.reshape(n, -1, y.shape[-1])
+        x = p["e"].take(at.ravel(), axis=0)
+        xq = np.ascontiguousarray(shaped(x)[:, CONTEXT:]).reshape(-1, w)
+        mine, theirs = np.c_[p["q"] * scale, p["u"]], np.c_[p["k"], p["v"]]
+        qu, kv = xq @ mine, shaped(x @ theirs)
+        q, k, v = shaped(qu[:, :w]), kv[:, :, :w], kv[:, :, w:]
+        a = q @ k.transpose(0, 2, 1)
+        a += self._offsets()
+        np.exp(np.minimum(a, 60, out=a), out=a)
+        parts = 1 / (flat(a) @ np.ones((CONTEXT + BLOCK, 1), np.float32))
+        c = flat(a @ v) * parts
+        h = c + qu[:, w:]
+        act = np.c_[np.maximum(h, 0), ones]
+        out = np.r_[p["o"], p["b"][None]]
+        z = act @ out
+        if z.max() > 60:
+            z -= z.max(axis=1, keepdims=True)
+        scored = np.flatnonzero(to.ravel() >= 0)
+        group = self.group[to.ravel()[scored]]
+        mark = z[scored, group]
+        np.exp(z, out=z)
+        sums = (z @ np.ones((CLASSES, 1), np.float32))[scored, 0]
+        z[scored, group] -= sums
+        share = np.zeros((len(z), 1), np.float32)
+        share[scored, 0] = 1 / sums
+        do = (act * share).T @ z
+        dh = (z @ p["o"].T) * share
+        dh *= h > 0
+        parts = parts * dh
+        ds = shaped(parts) @ v.transpose(0, 2, 1)
+        ds -= shaped((parts * c).sum(axis=1, keepdims=True))
+        ds *= a
+        gap = np.maximum(CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :], 0)
+        dqu = np.c_[flat(ds @ k), dh]
+        dkv = flat(np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ shaped(parts)], axis=2))
+        dmine, dtheirs = xq.T @ dqu, x.T @ dkv
+        dx = dkv @ theirs.T
+        shaped(dx)[:, CONTEXT:] += shaped(dqu @ mine.T)
+        order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
+        seen = at.ravel()[order]
+        start = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+        de = np.zeros_like(p["e"])
+        de[seen[start]] = np.add.reduceat(dx[order], start, axis=0)
+        near = np.bincount(gap.ravel(), ds.sum(axis=0).ravel(), BLOCK + CONTEXT).astype(np.float32)
+        g = {"e": de, "q": dmine[:, :w] * scale, "k": dtheirs[:, :w], "v": dtheirs[:, w:], "u": dmine[:, w:], "o": do[:w], "b": do[w], "near": near}
+        return g, group, mark - np.log(sums)
+
+    def descend(self, g: dict[str, np.ndarray], places: int, rate: float) -> None:
+        """One step of Adam with the mean of the summed gradients."""
+        if not hasattr(self, "moments"):
+            self.moments, self.steps = [{k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2)], 0
+        (m, s), self.steps = self.moments, self.steps + 1
+        for key, y in g.items():
+            y = y / np.float32(places)
+            m[key] += np.float32(0.1) * (y - m[key])
+            s[key] += np.float32(0.01) * (y * y - s[key])
+            self.p[key] -= np.float32(rate / (1 - 0.9**self.steps)) * m[key] / (np.sqrt(s[key] / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+
     def train(self, texts: list[np.ndarray], seed: int = 11) -> None:
         """Adam on random windows, in whole epochs of at least ``STEPS`` batches; gradients of the cross entropy written out."""
         seen, want, _ = self.windows(texts)
-        p, rng = self.p, np.random.default_rng(seed)
-        m, s, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        gap = np.maximum(CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :], 0)
-        scale, epochs = np.float32(WIDTH**-0.5), -(-STEPS // -(-len(seen) // BATCH))
+        rng, epochs, step = np.random.default_rng(seed), -(-STEPS // -(-len(seen) // BATCH)), 0
         total = epochs * -(-len(seen) // BATCH)
         for _ in range(epochs):
             order = rng.permutation(len(seen))
             for i in range(0, len(order), BATCH):
                 rows = order[i : i + BATCH]
-                at, to = seen[rows], want[rows]
-                x = p["e"][at]
-                xq = x[:, CONTEXT:]
-                q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
-                a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * scale + self._offsets(), 60))
-                a /= a.sum(axis=2, keepdims=True)
-                h = a @ v + xq @ p["u"]
-                act = np.maximum(h, 0)
-                z = act @ p["o"] + p["b"]
-                z = np.exp(z - z.max(axis=2, keepdims=True))
-                z /= z.sum(axis=2, keepdims=True)
-                valid = (to >= 0).astype(np.float32)
-                r, c = np.nonzero(to >= 0)
-                z[r, c, self.group[to[r, c]]] -= 1
-                dz = z * (valid / valid.sum())[:, :, None]
-                g = {"o": act.reshape(-1, WIDTH).T @ dz.reshape(-1, CLASSES), "b": dz.sum(axis=(0, 1))}
-                dh = (dz @ p["o"].T) * (h > 0)
-                da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-                ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-                g["near"] = np.bincount(gap.ravel(), ds.sum(axis=0).ravel(), BLOCK + CONTEXT).astype(np.float32)
-                dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-                flat = lambda y: y.reshape(-1, WIDTH)
-                g["q"], g["k"], g["v"], g["u"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv), flat(xq).T @ flat(dh)
-                dx = dk @ p["k"].T + dv @ p["v"].T
-                dx[:, CONTEXT:] += dq @ p["q"].T + dh @ p["u"].T
-                g["e"] = np.stack([np.bincount(at.ravel(), flat(dx)[:, j], BEGIN + 1) for j in range(WIDTH)], axis=1).astype(np.float32)
+                g, group, _ = self.gradients(seen[rows], want[rows])
                 step += 1
-                rate = RATE * (1 - 0.9 * step / total)
-                for key, y in g.items():
-                    m[key] += 0.1 * (y - m[key])
-                    s[key] += 0.01 * (y * y - s[key])
-                    p[key] -= rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(s[key] / (1 - 0.99**step)) + 1e-8)
+                self.descend(g, len(group), RATE * (1 - 0.9 * step / total))
+        del self.moments, self.steps
+
+    def go_on(self, texts: list[np.ndarray], rng: np.random.Generator, logs: np.ndarray) -> int:
+        """Train once on all windows of more texts, in random order; adds the number of targets of each class, and the sum of their logs
+        before they were learned, to ``logs``. Returns the number of windows."""
+        seen, want, _ = self.windows(texts)
+        order = rng.permutation(len(seen))
+        for i in range(0, len(order), LATER_BATCH):
+            total, places = {}, 0
+            for j in range(i, min(i + LATER_BATCH, len(order)), BATCH):
+                rows = order[j : min(j + BATCH, i + LATER_BATCH)]
+                g, group, gain = self.gradients(seen[rows], want[rows])
+                total, places = {k: total[k] + y if total else y for k, y in g.items()}, places + len(group)
+                logs += np.bincount(group, minlength=CLASSES), np.bincount(group, gain, CLASSES)
+            self.descend(total, places, LATER_RATE / (1 + getattr(self, "steps", 0) / 100) ** 0.5)
+        return len(seen)
 
     def fold(self) -> None:
         """Tables per embedding for scoring, in place of the projections."""
         p = self.p
-        self.tables = {"q": p["e"] @ p["q"] * np.float32(WIDTH**-0.5), "k": p["e"] @ p["k"], "v": p["e"] @ p["v"], "u": p["e"] @ p["u"], "offsets": self._offsets(), "o": np.r_[p["o"], p["b"][None]],
+        with_one = lambda x, one: np.c_[x, np.full(len(x), one, np.float32)]
+        q, k, v, u = p["e"] @ p["q"] * np.float32(WIDTH**-0.5), p["e"] @ p["k"], p["e"] @ p["v"], p["e"] @ p["u"]
+        self.tables = {"q": q, "k": k, "v": with_one(v, 1), "u": with_one(u, 0), "offsets": self._offsets(), "o": np.r_[p["o"], p["b"][None]],
                        "sums": np.c_[np.ones(CLASSES), self.opens].astype(np.float32)}
         self.p = {}
 
@@ -203,26 +263,37 @@ class Attention:
         t = self.tables
         seen, want, _ = self.windows(texts)
         gain, begins = np.empty((2, want.size), np.float32)
-        one = np.ones((CHUNK * BLOCK, 1), np.float32)
-        for i in range(0, len(seen), CHUNK):
-            at, to = seen[i : i + CHUNK], want[i : i + CHUNK].ravel()
-            mine = at[:, CONTEXT:]
-            a = np.matmul(t["q"][mine], t["k"][at].transpose(0, 2, 1))
+        most = min(CHUNK, len(seen))
+        scores, outs, place = np.empty((most, BLOCK, CONTEXT + BLOCK), np.float32), np.empty((most * BLOCK, CLASSES), np.float32), np.arange(most * BLOCK)
+        group = self.group[want.ravel()]
+
+        def logs(at: np.ndarray, group: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+            a, z, mine = scores[: len(at)], outs[: len(group)], at[:, CONTEXT:]
+            np.matmul(t["q"].take(mine, axis=0), t["k"].take(at, axis=0).transpose(0, 2, 1), out=a)
             a += t["offsets"]
-            np.minimum(a, 60, out=a)
+            if bounded:
+                np.minimum(a, 60, out=a)
             np.exp(a, out=a)
-            h = np.matmul(a, t["v"][at])
-            h /= a.sum(axis=2, keepdims=True)
-            h += t["u"][mine]
+            h = np.matmul(a, t["v"].take(at, axis=0))  # its last column holds the sums, and 1 after the division
+            h /= h[:, :, WIDTH:].copy()
+            h += t["u"].take(mine, axis=0)
             np.maximum(h, 0, out=h)
-            z = np.append(h.reshape(-1, WIDTH), one[: len(to)], axis=1) @ t["o"]
-            np.minimum(z, 80, out=z)
-            mark = z[np.arange(len(to)), self.group[to]]
+            np.matmul(h.reshape(-1, WIDTH + 1), t["o"], out=z)
+            if bounded:
+                np.minimum(z, 80, out=z)
+            mark = z[place[: len(z)], group]
             np.exp(z, out=z)
-            both = np.log(z @ t["sums"])
-            place = slice(i * BLOCK, i * BLOCK + len(to))
-            gain[place] = mark - both[:, 0]
-            begins[place] = both[:, 1] - both[:, 0]
+            return mark, np.log(z @ t["sums"])
+
+        for i in range(0, len(seen), CHUNK):
+            at = seen[i : i + CHUNK]
+            to = slice(i * BLOCK, (i + len(at)) * BLOCK)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                mark, both = logs(at, group[to], False)
+            if not np.isfinite(both).all():
+                mark, both = logs(at, group[to], True)
+            gain[to] = mark - both[:, 0]
+            begins[to] = both[:, 1] - both[:, 0]
         scored = want.ravel() >= 0
         return gain[scored], begins[scored]
 
@@ -274,8 +345,14 @@ def coded_words(words: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         encoder = Subwords(tokenizer).encoder
         for b in batches:
-            coded = [encoder.encode_ordinary(" " + w) for w in b.column("word").to_pylist()]
-            first, pairs = pa.array([ids[0] for ids in coded], pa.int32()), pa.array([[x << 16 | y for x, y in pairwise(ids)] for ids in coded], pa.list_(pa.int64()))
+            coded = [encoder.encode_ordinary(" " + w) for w in strings(b.column("word"))]
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids, start = np.fromiter(chain.from_iterable(coded), np.int64, int(size.sum())), np.cumsum(size) - size
+            inside = np.ones(len(ids), bool)
+            inside[start] = False  # no pair ends in the first subword of a word
+            after = np.flatnonzero(inside)
+            first = pa.array(ids[start], pa.int32())
+            pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size - 1)], pa.int32()), pa.array(ids[after - 1] << 16 | ids[after], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("wid"), b.column("word"), b.column("c"), first, pairs], names=["wid", "word", "c", "first", "pairs"])
 
     keyed = words.select(F.unhex(F.md5("word")).alias("wid"), "word", "c")
@@ -297,14 +374,15 @@ def subword_counts(coded: DataFrame, pairs: DataFrame, tokenizer: str) -> np.nda
 
 
 def member_table(coded: DataFrame, pairs: DataFrame, model: Attention) -> DataFrame:
-    """(word, c, member): log of the shares of each word's subwords inside their classes, each given the one before it, from all pairs."""
-    pieces = coded.sparkSession.createDataFrame(list(zip(range(len(model.within)), model.group.tolist(), model.within.tolist())), "first int, class int, share double")
+    """(word, c, member, mean): log of the shares of each word's subwords inside their classes, each given the one before it, from all
+    pairs; sum of the mean logs of these classes."""
+    pieces = coded.sparkSession.createDataFrame(list(zip(range(len(model.within)), model.group.tolist(), model.within.tolist(), model.means[model.group].tolist())), "first int, class int, share double, mean double")
     seconds = pairs.withColumn("first", F.expr("cast(key & 65535 as int)")).join(F.broadcast(pieces), "first").withColumn("at", F.shiftright("key", 16) * CLASSES + F.col("class"))
     after = seconds.groupBy("at").agg(F.sum("c").alias("after"))
-    logs = seconds.join(after, "at").select("key", F.log((F.col("c") + SMOOTH * F.col("share")) / (F.col("after") + SMOOTH)).alias("log"))
-    inner = join_sized(coded.select("wid", F.explode("pairs").alias("key")), spill(logs), ["key"]).groupBy("wid").agg(F.sum("log").alias("inner"))
+    logs = seconds.join(after, "at").select("key", F.log((F.col("c") + SMOOTH * F.col("share")) / (F.col("after") + SMOOTH)).alias("log"), "mean")
+    inner = join_sized(coded.select("wid", F.explode("pairs").alias("key")), spill(logs), ["key"]).groupBy("wid").agg(F.sum("log").alias("inner"), F.sum("mean").alias("means"))
     whole = coded.drop("pairs").join(F.broadcast(pieces), "first").join(inner, "wid", "left")
-    return whole.select("word", "c", (F.log("share") + F.coalesce("inner", F.lit(0.0))).alias("member"))
+    return whole.select("word", "c", (F.log("share") + F.coalesce("inner", F.lit(0.0))).alias("member"), (F.col("mean") + F.coalesce("means", F.lit(0.0))).alias("mean"))
 
 
 def composed_logs(model: Attention, subwords: Subwords, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -315,23 +393,59 @@ def composed_logs(model: Attention, subwords: Subwords, texts: list[str]) -> tup
     return model.word_logs(np.split(ids, cuts[:-1]), number, size, member), counts, words, number
 
 
-def learn(model: Attention, subwords: Subwords, texts: list[str], shares) -> float:
-    """Train on nine tenths of the texts and fold the model; the rest fits the gate of the word shares by expectation maximisation.
+def ids_of(subwords: Subwords, texts: list[str]) -> list[np.ndarray]:
+    words, number = words_of(texts)
+    ids, size, _, _ = subwords.encode_all(words)
+    return np.split(ids, np.r_[0, np.cumsum(size)][np.cumsum(number)][:-1])
 
-    ``shares(texts)`` gives the logs of the word shares for the texts that fit the gate, without their own occurrences, and makes their
-    words known to ``subwords``.
-    """
-    fit, rest = [x for i, x in enumerate(texts) if i % 10], [x for i, x in enumerate(texts) if not i % 10]
-    if fit:
-        words, number = words_of(fit)
-        ids, size, _, _ = subwords.encode_all(words)
-        model.train(np.split(ids, np.r_[0, np.cumsum(size)][np.cumsum(number)][:-1]))
-    model.fold()
+
+def go_on(model: Attention, learned: DataFrame, tokenizer: str) -> None:
+    """Train the weights once on all windows of all texts: each task goes on from the given weights over its own texts, and the results
+    are averaged by their numbers of windows. The driver gets one row per weight, and the mean log of each class before it was learned."""
+    held = learned.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def run(batches):
+        mine, subwords = copy.deepcopy(held.value), Subwords(tokenizer)
+        rng, logs, windows, texts, size = np.random.default_rng(17), np.zeros((2, CLASSES)), 0, [], 0
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                texts.append(t)
+                size += len(t)
+                if size > LEARNED_CHARS:
+                    windows += mine.go_on(ids_of(subwords, texts), rng, logs)
+                    texts, size = [], 0
+        if texts:
+            windows += mine.go_on(ids_of(subwords, texts), rng, logs)
+        if windows:
+            x = np.concatenate([*(mine.p[k].ravel() * float(windows) for k in names), logs.ravel(), [windows]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int32()), pa.array(x, pa.float64())], names=["i", "x"])
+
+    rows = learned.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    if rows:
+        x = np.zeros(len(rows))
+        x[[r["i"] for r in rows]] = [r["x"] for r in rows]
+        at = 0
+        for k in names:
+            n = model.p[k].size
+            model.p[k] = (x[at : at + n] / x[-1]).reshape(model.p[k].shape).astype(np.float32)
+            at += n
+        number, logs = x[at:-1].reshape(2, CLASSES)
+        model.means = np.where(number > 0, logs / np.maximum(number, 1), model.means)
+
+
+def gate_of(counts: DataFrame, model: Attention, total: int, n_texts: int) -> float:
+    """The weight of the word shares, by expectation maximisation over all words of the training part and the ends. A word counts as
+    often as it occurs, its share is that of its other occurrences, its probability from subwords that of the mean logs of its classes."""
+    ahead = F.log((F.col("c") - 1) / F.lit(float(max(total, 1)))) - F.col("mean") - F.col("member")
+    cells = F.floor(F.least(F.greatest(ahead, F.lit(-99.0)), F.lit(99.0)) * GATE_CELLS)
+    rows = counts.where("c > 0").select(F.when(F.col("c") > 1, cells).alias("cell"), "c").groupBy("cell").agg(F.sum("c").alias("c")).collect()
+    if not n_texts:
+        return 0.5
+    ahead, c = (np.array(x, float) for x in zip(*[(-np.inf if r["cell"] is None else (r["cell"] + 0.5) / GATE_CELLS, r["c"]) for r in rows], (math.log(n_texts / total) - model.means[OWN_CLASSES - 1], n_texts)))
     gate = 0.5
-    if fit:
-        counted, composed = shares(rest), composed_logs(model, subwords, rest)[0]
-        for _ in range(30):
-            gate = float(np.clip(np.exp(np.log(gate) + counted - mixed(counted, composed, gate)).mean(), 0.01, 0.99))
+    for _ in range(30):
+        gate = float(np.clip((c / (1 + (1 - gate) / gate * np.exp(-np.maximum(ahead, -200)))).sum() / c.sum(), 0.01, 0.99))
     return gate
 
 
@@ -342,8 +456,9 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, train_texts: int = TRAIN_
     part; its counts stay a table, of which only words with ``COMMON_SHARE`` of all tokens are sent to the tasks, while a document's
     other words are joined to it by shuffle. ``score`` is log10 of the model's probability of the same words and the end: the
     attention model spells each word in subwords, and a gate mixes in the share of
-    the whole word. Its weights are fitted on the ``train_texts`` training texts with the smallest hashes, its subword shares come from
-    the counts of the whole training part. A window scores ``BLOCK`` tokens and sees ``CONTEXT`` before them.
+    the whole word. Its weights start from the ``train_texts`` training texts with the smallest hashes and then learn from every window
+    of every training text; subword shares and gate come from the counts of the whole training part. A window scores ``BLOCK`` tokens
+    and sees ``CONTEXT`` before them.
 
     NULL and empty texts are the end alone; repeated rows are scored each (and counted each in training); a NULL doc_id hashes as the
     empty string; without training texts all counts are zero; an empty table gives no rows; other columns are ignored.
@@ -362,26 +477,19 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, train_texts: int = TRAIN_
     floor = total + 0.1 * (kinds + 1)
     pairs = spill(pair_counts(coded))
     model = Attention(subword_counts(coded, pairs, tokenizer), n_texts, ranks_of(tokenizer))
-    counts = spill(member_table(coded, pairs, model))
-    common = {r["word"]: (r["c"], r["member"]) for r in counts.where((F.col("c") > 0) & (F.col("c") >= COMMON_SHARE * total)).collect()}
     n_kinds_of_text = learned.select(F.xxhash64("text").alias("h")).distinct().count()
     below = -(2**63) + int(2**64 * min(1.0, 3 * train_texts / max(n_kinds_of_text, 1))) - 1  # a share of the hash range that holds enough texts
     hashed = learned.withColumn("h", F.xxhash64("text")).where(F.col("h") <= below).dropDuplicates(["h"])
-    sample = [r["text"] for r in hashed.orderBy("h").limit(train_texts).collect()]
-
-    def shares(texts: list[str]) -> np.ndarray:
-        split = [words_of([t])[0].to_pylist() for t in texts]
-        own = Counter(w for x in split for w in x)
-        asked = docs.sparkSession.createDataFrame([(w,) for w in own], "word string")
-        subwords.known = {r["word"]: (r["c"], r["member"]) for r in counts.join(F.broadcast(asked), "word").collect()}
-        subwords.clear()
-        logs = {w: math.log((subwords.known[w][0] - n) / total) for w, n in own.items() if subwords.known.get(w, (0, 0.0))[0] > n}
-        return np.array([y for x in split for y in [*(logs.get(w, -np.inf) for w in x), math.log(n_texts / total)]])
-
-    subwords = Subwords(tokenizer)
-    gate = learn(model, subwords, sample, shares)
+    start = [r["text"] for r in hashed.orderBy("h").limit(train_texts).collect()]
+    if start:
+        model.train(ids_of(Subwords(tokenizer), start))
+    go_on(model, learned, tokenizer)
+    counts = spill(member_table(coded, pairs, model))
+    common = {r["word"]: (r["c"], r["member"]) for r in counts.where((F.col("c") > 0) & (F.col("c") >= COMMON_SHARE * total)).collect()}
+    gate = gate_of(counts, model, total, n_texts)
+    model.fold()
     held = sc.broadcast((model, common))
-    
+
     def run(texts: list[str]) -> list[list]:
         model, common = held.value
         if not hasattr(model, "subwords"):

@@ -329,3 +329,68 @@ def test_class_ids_are_unique(spark):
     found = spark.createDataFrame([(b"a", 5), (b"a", 7), (b"b", 5), (b"c", None), (b"c", None), (b"d", None)], "root binary, doc_id long")
     got = {bytes(r.root): r.class_id for r in ngram_join.class_ids(found).collect()}
     assert got[b"a"] == 5 and len(set(got.values())) == 4 and all(got[x] < 0 for x in (b"b", b"c", b"d"))
+
+
+def test_attention_learns_from_every_training_text(spark):
+    """One text more among those after the start texts, its words known already in their counts, moves the weights."""
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    counts = np.random.default_rng(0).integers(0, 100, len(ranks))
+    learned = [" ".join(f"word{(i * j) % 37}" for j in range(1, 60)) for i in range(30)]
+    got = []
+    for texts in (learned, [*learned[:-1], " ".join(learned[-1].split()[::-1])], []):
+        model = lm_scoring.Attention(counts, 30, ranks)
+        before = {k: x.copy() for k, x in model.p.items()}
+        lm_scoring.go_on(model, spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), lm_scoring.TOKENIZER)
+        got.append({k: np.abs(x - before[k]).max() for k, x in model.p.items()} | {"weights": np.concatenate([x.ravel() for x in model.p.values()])})
+    assert all(got[0][k] > 0 for k in ("e", "q", "k", "v", "u", "o", "b", "near")) and (got[0]["weights"] != got[1]["weights"]).any()
+    assert all(got[2][k] == 0 for k in ("e", "q", "k", "v", "u", "o", "b", "near"))
+
+
+def test_weights_of_tasks_are_averaged_by_their_windows(spark):
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    counts = np.random.default_rng(0).integers(0, 100, len(ranks))
+    texts = [" ".join(f"a{(i * j) % 41}" for j in range(1, 30 + 40 * i)) for i in range(4)]
+    subwords, parts = lm_scoring.Subwords(lm_scoring.TOKENIZER), []
+    for t in texts:
+        alone = lm_scoring.Attention(counts, 4, ranks)
+        logs = np.zeros((2, lm_scoring.CLASSES))
+        parts.append((alone.go_on(lm_scoring.ids_of(subwords, [t]), np.random.default_rng(17), logs), alone.p, logs))
+    model = lm_scoring.Attention(counts, 4, ranks)
+    lm_scoring.go_on(model, spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], 4), "text string"), lm_scoring.TOKENIZER)
+    n = sum(w for w, _, _ in parts)
+    for k, x in model.p.items():
+        assert x == pytest.approx(sum(w * p[k] for w, p, _ in parts) / n, abs=1e-6)
+    number, logs = sum(x for _, _, x in parts)
+    assert model.means[number > 0] == pytest.approx((logs / np.maximum(number, 1))[number > 0])
+
+
+def test_gradients_are_the_slopes_of_the_cross_entropy():
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    counts = np.random.default_rng(0).integers(0, 100, len(ranks))
+    model, rng = lm_scoring.Attention(counts, 10, ranks), np.random.default_rng(1)
+    model.p = {k: x.astype(np.float64) + 0.3 * rng.standard_normal(x.shape) for k, x in model.p.items()}
+    seen, want, _ = model.windows([rng.integers(0, 3000, n) for n in (0, 5, 15, 16, 70)])
+    g, group, gain = model.gradients(seen, want)
+    assert len(group) == len(gain) == 5 + 106 and len(seen) == 1 + 1 + 1 + 2 + 5
+    used = int(seen[-1, 20])
+    for k, at in [("e", (used, 3)), ("q", (2, 5)), ("k", (1, 7)), ("v", (4, 4)), ("u", (6, 2)), ("o", (3, int(group[7]))), ("b", int(group[9])), ("near", 2)]:
+        kept, side = model.p[k][at], []
+        for step in (1e-4, -1e-4):
+            model.p[k][at] = kept + step
+            side.append(-model.gradients(seen, want)[2].sum())
+        model.p[k][at] = kept
+        assert g[k][at] == pytest.approx((side[0] - side[1]) / 2e-4, rel=2e-2, abs=2e-3), k
+
+
+def test_gate_comes_from_all_words(spark):
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    model = lm_scoring.Attention(np.ones(len(ranks), np.int64), 50, ranks)
+    rng = np.random.default_rng(5)
+    words = [(f"w{i}", int(rng.integers(0, 40)), -float(rng.uniform(1, 9)), -float(rng.uniform(1, 9))) for i in range(3000)]
+    total = sum(c for _, c, _, _ in words) + 50
+    got = lm_scoring.gate_of(spark.createDataFrame(words, "word string, c long, member double, mean double"), model, total, 50)
+    ahead = [(math.log((c - 1) / total) - m - n if c > 1 else -math.inf, c) for _, c, m, n in words if c] + [(math.log(50 / total) - model.means[lm_scoring.OWN_CLASSES - 1], 50)]
+    gate = 0.5
+    for _ in range(30):
+        gate = sum(c * gate * math.exp(d) / (gate * math.exp(d) + 1 - gate) for d, c in ahead) / total
+    assert got == pytest.approx(gate, abs=0.005) and 0.05 < gate < 0.95
