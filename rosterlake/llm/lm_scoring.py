@@ -142,7 +142,7 @@ class Attention:
         ids, blocks = np.concatenate([*texts, np.empty(0, np.int32)]).astype(np.int64), n // BLOCK + 1
         ahead = np.cumsum(blocks) - blocks
         within = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-        line = np.full(len(texts) * CONTEXT + int(blocks.sum()) * BLOCK, BEGIN, np.int64)
+        line = np.full(len(texts) * CONTEXT + int(blocks.sum()) * BLOCK, BEGIN, np.int32)
         first = np.arange(len(texts)) * CONTEXT + ahead * BLOCK
         line[np.repeat(first + CONTEXT + 1, n) + within] = self.vector[ids]
         want = np.full(int(blocks.sum()) * BLOCK, -1, np.int32)
@@ -422,6 +422,7 @@ def go_on(model: Attention, learned: DataFrame, tokenizer: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int32()), pa.array(x, pa.float64())], names=["i", "x"])
 
     rows = learned.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    held.destroy()
     if rows:
         x = np.zeros(len(rows))
         x[[r["i"] for r in rows]] = [r["x"] for r in rows]
