@@ -4,10 +4,9 @@ from __future__ import annotations
 import base64
 import copy
 import math
-import struct
-from array import array
+import re
 from collections import Counter
-from itertools import chain, pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: how texts are cut before this vocabulary's merges
 FOLDS, HELD_OUT = 10, 0
 COMMON_SHARE = 2e-6  # of all training tokens: at most 500,000 words can have it, so these are sent to all tasks
-CACHE = 400_000
+WIDE_SPACE, FILLER = re.compile(" [\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), "a"
 COUNTED_CHARS = 8 << 20  # text that is counted at once
 TRAIN_TEXTS = 1200  # texts that the weights start from; then all training texts teach them
 LEARNED_CHARS = 2 << 20  # text whose windows are put in random order at once
@@ -32,9 +31,12 @@ OWN_CLASSES, CLASSES = 64, 128  # their difference is even, so that a class has
 STEPS, BATCH, RATE = 2400, 128, 0.01
 LATER_BATCH, LATER_RATE = 512, 0.004  # of the pass over all training texts
 CHUNK = 64  # windows computed at once, few enough for the arrays to stay in a core's cache
+PIECE = 256  # rows of a product over all places that are added at once
 GATE_CELLS = 32  # of a natural log, in which words are counted for the gate
 SMOOTH = 3.0  # weight of the single subwords' shares against the pairs
 END, BEGIN = OWN_VECTORS + SHARED_VECTORS, OWN_VECTORS + SHARED_VECTORS + 1
+GAPS = CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]  # of query and key in a window
+GAPS[GAPS < 0] = CONTEXT + BLOCK  # the key comes after the query
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -54,38 +56,47 @@ def strings(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
 
 
-TAIL = 6  # places after a word's ids that hold its member log and its count
-TAIL_OF = struct.Struct("<fq")
+class Subwords:
+    """Subword ids of words, each after a blank; of words that ``known`` gives a row also the entries of ``count`` and ``member`` there, else 0."""
 
-
-class Subwords(dict):
-    """Of a blank and a word, as the bytes of an int array: the subword ids, the log share of these inside their classes (a float) and
-    the word's count (a long); both are 0 for words that ``known`` does not hold. The map empties when it grows past a fixed size."""
-
-    def __init__(self, path: str, known: dict[str, tuple[int, float]] | None = None):
-        super().__init__()
-        self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+    def __init__(self, path: str, known: dict[str, int] | None = None, count: np.ndarray | None = None, member: np.ndarray | None = None):
+        ranks = ranks_of(path)
+        self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a blank
+        self.opens[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
         self.known = known or {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.encoder.encode_ordinary(" " + word)
-        c, member = self.known.get(word, (0, 0.0))
-        out = self[word] = array("H", ids).tobytes() + TAIL_OF.pack(member, c)
-        return out
+        self.count, self.member = np.append(count if known else np.empty(0, np.int64), 0), np.append(member if known else np.empty(0), 0.0)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and the number of ids of each. The words are encoded as one text, which is cut as each of them is: a
+        blank stands in front of each word only, and a word that begins with a wider space comes after a filler, so that no two spaces meet."""
+        text, kept = " ".join(["", *words]), None
+        if WIDE_SPACE.search(text):
+            filled = [x for w in words for x in ((FILLER, w) if WIDE_SPACE.match(" " + w) else (w,))]
+            text, after = " ".join(["", *filled]), [WIDE_SPACE.match(" " + w) is not None for w in filled]
+            kept = ~np.array([*after[1:], False])
+        ids = np.array(self.encoder.encode_ordinary(text), np.int32)
+        start = np.flatnonzero(self.opens[ids])
+        size = np.diff(start, append=len(ids))
+        return (ids, size) if kept is None else (ids[np.repeat(kept, size)], size[kept])
 
     def encode_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and of each word the number of ids, the member log and the count. Each distinct word is looked up once."""
+        """Ids of all words in a row, and of each word the number of ids, the member log and the count. Each distinct word is encoded once."""
         coded = words.dictionary_encode()
-        place, known = coded.indices.to_numpy(), list(map(self.__getitem__, strings(coded.dictionary)))
-        width = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        flat, stop = np.frombuffer(b"".join(known), np.uint16), np.cumsum(width)
-        tail = flat[stop[:, None] - np.arange(TAIL, 0, -1)]
-        member, count = (np.ascontiguousarray(x).view(t).ravel() for x, t in ((tail[:, :2], np.float32), (tail[:, 2:], np.int64)))
-        size, first = (width - TAIL)[place], (stop - width)[place]
+        place, kinds = coded.indices.to_numpy(), strings(coded.dictionary)
+        flat, width = self.encode(kinds)
+        row = np.fromiter(map(self.known.get, kinds, repeat(-1)), np.int64, len(kinds))
+        size, first = width[place], (np.cumsum(width) - width)[place]
         at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-        return flat[at].astype(np.int32), size, member[place].astype(np.float64), count[place]
+        return flat[at], size, self.member[row][place], self.count[row][place]
+
+
+def tall_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y of many rows, added up over pieces that stay in a core's cache."""
+    out = x[:PIECE].T @ y[:PIECE]
+    for i in range(PIECE, len(x), PIECE):
+        out += x[i : i + PIECE].T @ y[i : i + PIECE]
+    return out
 
 
 class Attention:
@@ -154,60 +165,83 @@ class Attention:
 
     def _offsets(self) -> np.ndarray:
         """Bias of each key for each query of a window; keys after the query are masked."""
-        gap = CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]
-        return np.where(gap >= 0, self.p["near"][np.maximum(gap, 0)], -1e9).astype(np.float32)
+        return np.append(self.p["near"], self.p["near"].dtype.type(-1e9)).take(GAPS)
 
     def gradients(self, at: np.ndarray, to: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Of windows: the gradients of the cross entropy summed over the scored places, the class of each of these, and log p of it."""
+        g, dx, group, gain = self.slopes(at, to)
+        g["e"] = self.of_vectors(at, dx)
+        return g, group, gain
+
+    def slopes(self, at: np.ndarray, to: np.ndarray, bounded: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """As ``gradients``, with a row per place of the windows in place of the gradient of the vectors."""
         p, w, n = self.p, WIDTH, len(at)
-        ones, scale = np.ones((n * BLOCK, 1), np.float32), np.float32(w**-0.5)
+        kind, rows = p["e"].dtype, n * BLOCK
+        scale = kind.type(w**-0.5)
         flat = lambda y: y.reshape(-1, y.shape[-1])
         shaped = lambda y: y.reshape(n, -1, y.shape[-1])
-        x = p["e"].take(at.ravel(), axis=0)
-        xq = np.ascontiguousarray(shaped(x)[:, CONTEXT:]).reshape(-1, w)
-        mine, theirs = np.c_[p["q"] * scale, p["u"]], np.c_[p["k"], p["v"]]
+        x, xq = p["e"].take(at.ravel(), axis=0), p["e"].take(at[:, CONTEXT:].ravel(), axis=0)
+        mine, theirs = np.concatenate([p["q"] * scale, p["u"]], axis=1), np.concatenate([p["k"], p["v"]], axis=1)
         qu, kv = xq @ mine, shaped(x @ theirs)
-        q, k, v = shaped(qu[:, :w]), kv[:, :, :w], kv[:, :, w:]
-        a = q @ k.transpose(0, 2, 1)
-        a += self._offsets()
-        np.exp(np.minimum(a, 60, out=a), out=a)
-        parts = 1 / (flat(a) @ np.ones((CONTEXT + BLOCK, 1), np.float32))
-        c = flat(a @ v) * parts
-        h = c + qu[:, w:]
-        act = np.c_[np.maximum(h, 0), ones]
-        out = np.r_[p["o"], p["b"][None]]
-        z = act @ out
-        if z.max() > 60:
-            z -= z.max(axis=1, keepdims=True)
-        scored = np.flatnonzero(to.ravel() >= 0)
-        group = self.group[to.ravel()[scored]]
-        mark = z[scored, group]
-        np.exp(z, out=z)
-        sums = (z @ np.ones((CLASSES, 1), np.float32))[scored, 0]
-        z[scored, group] -= sums
-        share = np.zeros((len(z), 1), np.float32)
-        share[scored, 0] = 1 / sums
-        do = (act * share).T @ z
-        dh = (z @ p["o"].T) * share
-        dh *= h > 0
+        q, k, v = shaped(qu)[:, :, :w], kv[:, :, :w], kv[:, :, w:]
+        want = to.ravel()
+        scored, group = want >= 0, self.group.take(want, mode="clip")
+        place = np.arange(0, rows * CLASSES, CLASSES) + group
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            a = q @ k.transpose(0, 2, 1)
+            a += self._offsets()
+            if bounded:
+                a -= a.max(axis=2, keepdims=True)
+            np.exp(a, out=a)
+            parts = 1 / (flat(a) @ np.ones((CONTEXT + BLOCK, 1), kind))
+            c = flat(a @ v)
+            c *= parts
+            act = np.empty((rows, w + 1), kind)
+            act[:, w] = 1
+            np.add(c, qu[:, w:], out=act[:, :w])
+            np.maximum(act, 0, out=act)
+            z = act @ np.concatenate([p["o"], p["b"][None]])
+            if bounded:
+                z -= z.max(axis=1, keepdims=True)
+            mark = z.ravel().take(place)
+            np.exp(z, out=z)
+            sums = z @ np.ones(CLASSES, kind)
+            gain = mark - np.log(sums)
+        if not bounded and not np.isfinite(gain).all():
+            return self.slopes(at, to, True)
+        z.ravel()[place] -= sums
+        share = (scored / sums)[:, None]
+        dh = z @ p["o"].T
+        dh *= share
+        dh *= act[:, :w] > 0
+        act *= share
+        do = tall_product(act, z)
         parts = parts * dh
+        c *= parts
         ds = shaped(parts) @ v.transpose(0, 2, 1)
-        ds -= shaped((parts * c).sum(axis=1, keepdims=True))
+        ds -= shaped(c @ np.ones((w, 1), kind))
         ds *= a
-        gap = np.maximum(CONTEXT + np.arange(BLOCK)[:, None] - np.arange(CONTEXT + BLOCK)[None, :], 0)
-        dqu = np.c_[flat(ds @ k), dh]
-        dkv = flat(np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ shaped(parts)], axis=2))
-        dmine, dtheirs = xq.T @ dqu, x.T @ dkv
-        dx = dkv @ theirs.T
+        dqu, dkv = np.empty((rows, 2 * w), kind), np.empty((n, CONTEXT + BLOCK, 2 * w), kind)
+        np.matmul(ds, k, out=shaped(dqu)[:, :, :w])
+        dqu[:, w:] = dh
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :w])
+        np.matmul(a.transpose(0, 2, 1), shaped(parts), out=dkv[:, :, w:])
+        dmine, dtheirs = tall_product(xq, dqu), tall_product(x, flat(dkv))
+        dx = flat(dkv) @ theirs.T
         shaped(dx)[:, CONTEXT:] += shaped(dqu @ mine.T)
+        near = np.bincount(GAPS.ravel(), np.ones(n, kind) @ ds.reshape(n, -1))[:-1].astype(kind)
+        g = {"q": dmine[:, :w] * scale, "k": dtheirs[:, :w], "v": dtheirs[:, w:], "u": dmine[:, w:], "o": do[:w], "b": do[w], "near": near}
+        return g, dx, group[scored], gain[scored]
+
+    def of_vectors(self, at: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        """The rows of all places added up by their vectors."""
         order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
-        seen = at.ravel()[order]
+        seen = at.ravel().take(order)
         start = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-        de = np.zeros_like(p["e"])
-        de[seen[start]] = np.add.reduceat(dx[order], start, axis=0)
-        near = np.bincount(gap.ravel(), ds.sum(axis=0).ravel(), BLOCK + CONTEXT).astype(np.float32)
-        g = {"e": de, "q": dmine[:, :w] * scale, "k": dtheirs[:, :w], "v": dtheirs[:, w:], "u": dmine[:, w:], "o": do[:w], "b": do[w], "near": near}
-        return g, group, mark - np.log(sums)
+        de = np.zeros_like(self.p["e"])
+        two = np.result_type(dx.dtype, np.complex64)  # adds two columns at once
+        de[seen[start]] = np.add.reduceat(dx.take(order, axis=0).view(two), start, axis=0).view(dx.dtype)
+        return de
 
     def descend(self, g: dict[str, np.ndarray], places: int, rate: float) -> None:
         """One step of Adam with the mean of the summed gradients."""
@@ -240,12 +274,15 @@ class Attention:
         seen, want, _ = self.windows(texts)
         order = rng.permutation(len(seen))
         for i in range(0, len(order), LATER_BATCH):
-            total, places = {}, 0
-            for j in range(i, min(i + LATER_BATCH, len(order)), BATCH):
-                rows = order[j : min(j + BATCH, i + LATER_BATCH)]
-                g, group, gain = self.gradients(seen[rows], want[rows])
+            total, places, kept = {}, 0, []
+            rows = order[i : i + LATER_BATCH]
+            at, to = seen.take(rows, axis=0), want.take(rows, axis=0)
+            for j in range(0, len(rows), BATCH):
+                g, dx, group, gain = self.slopes(at[j : j + BATCH], to[j : j + BATCH])
                 total, places = {k: total[k] + y if total else y for k, y in g.items()}, places + len(group)
+                kept.append(dx)
                 logs += np.bincount(group, minlength=CLASSES), np.bincount(group, gain, CLASSES)
+            total["e"] = self.of_vectors(at, np.concatenate(kept))
             self.descend(total, places, LATER_RATE / (1 + getattr(self, "steps", 0) / 100) ** 0.5)
         return len(seen)
 
@@ -272,7 +309,7 @@ class Attention:
             np.matmul(t["q"].take(mine, axis=0), t["k"].take(at, axis=0).transpose(0, 2, 1), out=a)
             a += t["offsets"]
             if bounded:
-                np.minimum(a, 60, out=a)
+                a -= a.max(axis=2, keepdims=True)
             np.exp(a, out=a)
             h = np.matmul(a, t["v"].take(at, axis=0))  # its last column holds the sums, and 1 after the division
             h /= h[:, :, WIDTH:].copy()
@@ -280,7 +317,7 @@ class Attention:
             np.maximum(h, 0, out=h)
             np.matmul(h.reshape(-1, WIDTH + 1), t["o"], out=z)
             if bounded:
-                np.minimum(z, 80, out=z)
+                z -= z.max(axis=1, keepdims=True)
             mark = z[place[: len(z)], group]
             np.exp(z, out=z)
             return mark, np.log(z @ t["sums"])
@@ -343,11 +380,10 @@ def coded_words(words: DataFrame, tokenizer: str) -> DataFrame:
     """(wid, word, c, first, pairs): of each word a short key, its count, its first subword and its pairs, as first << 16 | second."""
 
     def run(batches):
-        encoder = Subwords(tokenizer).encoder
+        subwords = Subwords(tokenizer)
         for b in batches:
-            coded = [encoder.encode_ordinary(" " + w) for w in strings(b.column("word"))]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids, start = np.fromiter(chain.from_iterable(coded), np.int64, int(size.sum())), np.cumsum(size) - size
+            ids, size = subwords.encode(strings(b.column("word")))
+            ids, start = ids.astype(np.int64), np.cumsum(size) - size
             inside = np.ones(len(ids), bool)
             inside[start] = False  # no pair ends in the first subword of a word
             after = np.flatnonzero(inside)
@@ -486,15 +522,15 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, train_texts: int = TRAIN_
         model.train(ids_of(Subwords(tokenizer), start))
     go_on(model, learned, tokenizer)
     counts = spill(member_table(coded, pairs, model))
-    common = {r["word"]: (r["c"], r["member"]) for r in counts.where((F.col("c") > 0) & (F.col("c") >= COMMON_SHARE * total)).collect()}
+    common = counts.where((F.col("c") > 0) & (F.col("c") >= COMMON_SHARE * total)).select("word", "c", "member").collect()
     gate = gate_of(counts, model, total, n_texts)
     model.fold()
-    held = sc.broadcast((model, common))
+    held = sc.broadcast((model, {r["word"]: i for i, r in enumerate(common)}, np.array([r["c"] for r in common], np.int64), np.array([r["member"] for r in common], np.float64)))
 
     def run(texts: list[str]) -> list[list]:
-        model, common = held.value
+        model, *known = held.value
         if not hasattr(model, "subwords"):
-            model.subwords = Subwords(tokenizer, common)
+            model.subwords = Subwords(tokenizer, *known)
         composed, counts, words, number = composed_logs(model, model.subwords, texts)
         first = np.cumsum(number + 1) - number - 1
         is_end = np.zeros(len(composed), bool)

@@ -1,8 +1,10 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing column names, operator by operator."""
 import gzip
+import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +396,42 @@ def test_gate_comes_from_all_words(spark):
     for _ in range(30):
         gate = sum(c * gate * math.exp(d) / (gate * math.exp(d) + 1 - gate) for d, c in ahead) / total
     assert got == pytest.approx(gate, abs=0.005) and 0.05 < gate < 0.95
+
+
+def test_words_encoded_together_have_the_subwords_of_each():
+    wide = [chr(i) for i in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    words = ["".join(x) for n in (1, 2, 3) for x in itertools.product(["a", "1", "'", "é", "中", "\xa0", "\u3000"], repeat=n)]
+    words += [*wide, *(s + "x" for s in wide), *("x" + s for s in wide), "don't", "it's,", "\x1ca", "\x00", "\u200b", "😀😀", "unbelievable", "x" * 3000, "a"]
+    subwords, rng = lm_scoring.Subwords(lm_scoring.TOKENIZER, {"don't": 0, "é": 1}, np.array([7, 9]), np.array([-1.5, -2.5])), np.random.default_rng(0)
+    for _ in range(3):
+        mixed = [words[i] for i in rng.permutation(len(words))]
+        exact = [subwords.encoder.encode_ordinary(" " + w) for w in mixed]
+        ids, size = subwords.encode(mixed)
+        assert size.tolist() == list(map(len, exact)) and ids.tolist() == list(itertools.chain.from_iterable(exact))
+    ids, size, member, count = subwords.encode_all(pa.array(["é", "z", "don't", "é"]))
+    assert ids.tolist() == [i for w in ("é", "z", "don't", "é") for i in subwords.encoder.encode_ordinary(" " + w)] and len(size) == 4
+    assert member.tolist() == [-2.5, 0, -1.5, -2.5] and count.tolist() == [9, 0, 7, 9]
+    assert [len(x) for x in subwords.encode([])] == [0, 0] and [len(x) for x in lm_scoring.ids_of(subwords, ["", "a"])] == [0, 1]
+
+
+def test_attention_bounds_no_logs_where_exponents_overflow():
+    ranks = lm_scoring.ranks_of(lm_scoring.TOKENIZER)
+    counts, rng = np.random.default_rng(0).integers(0, 100, len(ranks)), np.random.default_rng(2)
+    model = lm_scoring.Attention(counts, 10, ranks)
+    model.p |= {k: (rng.standard_normal(model.p[k].shape) * s).astype(np.float32) for k, s in (("e", 2), ("q", 2), ("k", 2), ("o", 4))}
+    texts = [rng.integers(0, 3000, 40).astype(np.int32)]
+    p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    line, logs, highest = [lm_scoring.BEGIN] * (lm_scoring.CONTEXT + 1) + [int(model.vector[i]) for i in texts[0]], [], []
+    for j, target in enumerate([*texts[0].tolist(), len(model.vector) - 1]):
+        x = p["e"][line[j // lm_scoring.BLOCK * lm_scoring.BLOCK : j + lm_scoring.CONTEXT + 1]]
+        s = x @ p["k"] @ (x[-1] @ p["q"]) / np.sqrt(lm_scoring.WIDTH) + p["near"][np.arange(len(x))[::-1]]
+        a = np.exp(s - s.max())
+        z = np.maximum(a / a.sum() @ (x @ p["v"]) + x[-1] @ p["u"], 0) @ p["o"] + p["b"]
+        logs.append(z[model.group[target]] - z.max() - np.log(np.exp(z - z.max()).sum()))
+        highest.append(s.max())
+    assert max(highest) > 100
+    seen, want, _ = model.windows(texts)
+    g, _, gain = model.gradients(seen, want)
+    assert gain == pytest.approx(logs, rel=1e-3, abs=1e-2) and all(np.isfinite(x).all() for x in g.values())
+    model.fold()
+    assert model.next_logs(texts)[0] == pytest.approx(logs, rel=1e-3, abs=1e-2)
